@@ -22,3 +22,8 @@ def band(pct: Column) -> Column:
 def money(column: Column) -> Column:
     """Exact decimal sums leave the library as DOUBLE."""
     return column.cast("double")
+
+
+def shown(column: Column, digits: int) -> Column:
+    """Display text with a fixed number of decimals, ties to even."""
+    return F.bround(column, digits).cast(f"decimal(20,{digits})").cast("string")

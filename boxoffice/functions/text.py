@@ -19,7 +19,7 @@ def has_text(column: Column, needle: str | Column, *, wildcards: bool = False) -
     """Substring test. With ``wildcards`` the characters % and _ in the needle act as in LIKE."""
     needle = F.lit(needle) if isinstance(needle, str) else needle
     if wildcards:
-        return F.lower(column).like(F.lower(F.concat(F.lit("%"), needle, F.lit("%"))))
+        return F.like(F.lower(column), F.lower(F.concat(F.lit("%"), needle, F.lit("%"))))
     return F.contains(F.collate(column, SEARCH_COLLATION), F.collate(needle, SEARCH_COLLATION))
 
 

@@ -205,8 +205,10 @@ def message_state(t: Tables, reads: DataFrame, deletions: DataFrame) -> DataFram
     """Messages after openings of threads (thread_id, reader_id, read_at) and deletion requests
     (message_id, requester_id). Opening marks what the other party sent before; only the sender
     can delete."""
-    # A thread has two participants, so at most two readers.
-    last = reads.groupBy("thread_id", "reader_id").agg(F.max("read_at").alias("read_at"))
+    sides = _viewers(t).select("thread_id", F.col("viewer_id").alias("reader_id"))
+    # Only the two participants of a thread can open it, so each thread gathers at most two rows.
+    last = reads.groupBy("thread_id", "reader_id").agg(F.max("read_at").alias("read_at")).join(
+        sides, ["thread_id", "reader_id"], "left_semi")
     readers = last.groupBy("thread_id").agg(F.collect_list(F.struct("reader_id", "read_at")).alias("readers"))
     gone = deletions.select(F.col("message_id").alias("id"), F.col("requester_id").alias("sender_id")).distinct().withColumn("gone", F.lit(True))
     seen = F.exists(F.coalesce(F.col("readers"), F.array().cast("array<struct<reader_id:bigint,read_at:timestamp_ntz>>")),

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.schema import LISTING_STATUSES, PAYMENT_STATUSES, REGISTRATION_STATUSES, ROLES
+from boxoffice.schema import LISTING_STATUSES, LISTING_TYPES, PAYMENT_STATUSES, REGISTRATION_STATUSES, ROLES
 from boxoffice.sources.tables import Tables
 
 
@@ -35,7 +35,7 @@ def _row_rules(frame: DataFrame, rules: dict) -> DataFrame:
     return counts.select(F.inline(pairs))
 
 
-def integrity_audit(t: Tables) -> DataFrame:
+def integrity_audit(t: Tables, *, types: tuple = LISTING_TYPES) -> DataFrame:
     """Violations per rule: unique keys, domains, required values, references."""
     parts = [
         _repeated(t.users.select(F.lower("email").alias("email")), ["email"], "users.email unique"),
@@ -46,7 +46,8 @@ def integrity_audit(t: Tables) -> DataFrame:
             "users.role domain": ~F.col("role").isin(*ROLES), "users.name required": F.col("name").isNull(),
             "users.name length": F.length("name") > 100}),
         _row_rules(t.listings, {
-            "listings.status domain": ~F.col("status").isin(*LISTING_STATUSES), "listings.title required": F.col("title").isNull(),
+            "listings.status domain": ~F.col("status").isin(*LISTING_STATUSES),
+            "listings.type domain": ~F.col("type").isin(*[k for k, _ in types]), "listings.title required": F.col("title").isNull(),
             "listings.date_start required": F.col("date_start").isNull()}),
         _row_rules(t.registrations, {
             "registrations.status domain": ~F.col("status").isin(*REGISTRATION_STATUSES)}),

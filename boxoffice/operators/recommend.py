@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from boxoffice.functions.times import micros, ntz
 from boxoffice.operators.attendees import top_types
 from boxoffice.operators.base import Ids, live, positions, restrict
+from boxoffice.session import materialize
 from boxoffice.sources.tables import Tables
 
 NEWEST, SHUFFLED, OF_TYPE = "newest", "shuffled", "type:"
@@ -27,25 +28,41 @@ def _open_lists(t: Tables, as_of: datetime, seed: str) -> DataFrame:
         F.struct(F.concat(F.lit(OF_TYPE), "type").alias("list"), age.alias("age"), F.lit("").alias("mix")),
         F.struct(F.lit(SHUFFLED).alias("list"), F.lit(0).cast("bigint").alias("age"), shuffle.alias("mix")))
     rows = shows.select(F.col("id").alias("listing_id"), F.inline(entry))
-    return positions(rows, ["list"], [F.asc("age"), F.asc("mix"), F.asc("listing_id")], "position").select(
-        "list", "listing_id", F.col("position").cast("bigint").alias("position"))
+    placed = positions(rows, ["list"], [F.asc("age"), F.asc("mix"), F.asc("listing_id")], "position")
+    # Small (three rows per open listing) and read several times below.
+    return materialize(placed.select("list", "listing_id", F.col("position").cast("bigint").alias("position")), "open-lists")
 
 
-def _free_positions(wants: DataFrame, taken: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` positions of each attendee's list that they have not registered for.
+def _wanted_lists(t: Tables, lists: DataFrame, ids: Ids) -> DataFrame:
+    """Each attendee's list, and for those with a history the shuffled one to fall back on, with the
+    position just behind its end."""
+    people = restrict(t.users.filter(F.col("role") == "user").select(F.col("id").alias("user_id")), "user_id", ids)
+    liked = people.join(top_types(t, ids=ids), "user_id", "left")
+    names = F.when(F.col("top_type").isNull(), F.array(F.lit(NEWEST))).otherwise(
+        F.array(F.concat(F.lit(OF_TYPE), "top_type"), F.lit(SHUFFLED)))
+    # One row per list: the enumerated listing types plus two.
+    ends = lists.groupBy("list").agg((F.count("*") + 1).alias("position"))
+    return liked.select("user_id", F.explode(names).alias("list")).join(F.broadcast(ends), "list").select("user_id", "list", "position")
+
+
+def _free_positions(wanted: DataFrame, taken: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` positions of each wanted list that the attendee has not registered for.
 
     Taken positions leave gaps; the k-th taken position p has p - k free ones before it, so each gap
-    knows the ordinals of its free positions and yields only those up to ``limit``.
+    knows the ordinals of its free positions and yields only those up to ``limit``. The end of the
+    list closes the last gap, and marks the list as wanted.
     """
-    ends = wants.join(F.broadcast(sizes), "list").select("user_id", "list", (F.col("size") + 1).alias("position"))
-    marks = taken.select("user_id", "list", "position").unionByName(ends)
-    order = Window.partitionBy("user_id", "list").orderBy("position")
+    marks = taken.select("user_id", "list", "position", F.lit(False).alias("end")).unionByName(
+        wanted.select("user_id", "list", "position", F.lit(True).alias("end")))
+    whole = Window.partitionBy("user_id", "list")
+    order = whole.orderBy("position")
     gaps = marks.select(
         "user_id", "list", "position", F.row_number().over(order).cast("bigint").alias("k"),
-        F.lag("position", 1, 0).over(order).cast("bigint").alias("prior"))
+        F.lag("position", 1, 0).over(order).cast("bigint").alias("prior"),
+        F.max("end").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("wanted"))
     already = F.col("prior") - (F.col("k") - 1)  # free positions before this gap
     last = F.least(F.col("position") - 1, F.col("prior") + F.lit(limit) - already)
-    return gaps.filter(last > F.col("prior")).select(
+    return gaps.filter(F.col("wanted") & (last > F.col("prior"))).select(
         "user_id", "list", F.posexplode(F.sequence(F.col("prior") + 1, last)).alias("step", "position"),
         (already + 1).alias("from")).select(
         "user_id", "list", "position", (F.col("from") + F.col("step")).alias("ordinal"))
@@ -63,19 +80,13 @@ def _at_positions(picked: DataFrame, lists: DataFrame) -> DataFrame:
 def recommendations(t: Tables, *, as_of: datetime, limit: int = 6, seed: str = "0", ids: Ids = None) -> DataFrame:
     """Newest open listings of the attendee's top type that they do not hold; when that yields none,
     any open ones in shuffled order; without history, the newest of any type."""
-    people = restrict(t.users.filter(F.col("role") == "user").select(F.col("id").alias("user_id")), "user_id", ids)
     lists = _open_lists(t, as_of, seed)
-    # One row per list: the listing types plus two.
-    sizes = lists.groupBy("list").agg(F.count("*").alias("size"))
     held = restrict(live(t.registrations), "user_id", ids).select("user_id", "listing_id").distinct().join(lists, "listing_id")
-
-    wants = people.join(top_types(t, ids=ids), "user_id", "left").select(
-        "user_id", F.coalesce(F.concat(F.lit(OF_TYPE), "top_type"), F.lit(NEWEST)).alias("list"))
-    first = _free_positions(wants, held.join(wants, ["user_id", "list"], "left_semi"), sizes, limit)
-    unserved = wants.filter(F.col("list") != NEWEST).join(first.select("user_id").distinct(), "user_id", "left_anti").select(
-        "user_id", F.lit(SHUFFLED).alias("list"))
-    fallback = _free_positions(unserved, held.join(unserved, ["user_id", "list"], "left_semi"), sizes, limit)
-    picked = _at_positions(first.unionByName(fallback), lists)
+    free = _free_positions(_wanted_lists(t, lists, ids), held, limit)
+    # At most two lists of ``limit`` rows in each window: keep the fallback only where it stands alone.
+    has_first = F.max(F.col("list") != SHUFFLED).over(Window.partitionBy("user_id"))
+    chosen = free.withColumn("has_first", has_first).filter((F.col("list") != SHUFFLED) | ~F.col("has_first"))
+    picked = _at_positions(chosen.select("user_id", "list", "position", "ordinal"), lists)
     shows = t.listings.select(F.col("id").alias("listing_id"), "title", "type", "city", "date_start", "price")
     return picked.join(shows, "listing_id").select(
         "user_id", "ordinal", "listing_id", "title", "type", "city", "date_start", F.col("price").cast("double").alias("price"),

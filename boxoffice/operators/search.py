@@ -11,12 +11,12 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxoffice.functions.ratios import whole_percent
+from boxoffice.functions.ratios import shown, whole_percent
 from boxoffice.functions.replies import field_or, object_fields
 from boxoffice.functions.text import first_filled, folded, has_text, label, shortened
 from boxoffice.functions.times import countdown, ntz
 from boxoffice.operators.base import live, seat_counts, top_per_key
-from boxoffice.schema import PAGE_ADMIN, PAGE_CATALOGUE
+from boxoffice.schema import CURRENCY, PAGE_ADMIN, PAGE_CATALOGUE
 from boxoffice.sources.tables import Tables
 
 SORTS = {
@@ -132,27 +132,35 @@ def user_search_counts(t: Tables, *, search: str = "", role: str = "all", per_pa
     return _page_counts(_searched_users(t, search, role), per_page)
 
 
-def registration_ledger(t: Tables) -> DataFrame:
-    """Every registration with attendee and listing names, newest first."""
+def _with_user_names(t: Tables) -> DataFrame:
     people = t.users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
+    return t.registrations.select(
+        F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status", "created_at").join(people, "user_id")
+
+
+def _with_titles(t: Tables, rows: DataFrame) -> DataFrame:
     shows = t.listings.select(F.col("id").alias("listing_id"), F.col("title").alias("listing_title"))
-    return (
-        t.registrations.select(F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status", "created_at")
-        .join(people, "user_id").join(shows, "listing_id")
-        .select("registration_id", "ticket_code", "status", "created_at", "listing_title", "user_name")
-    )
+    return shows.join(rows, "listing_id").select(
+        "registration_id", "ticket_code", "status", "created_at", "listing_title", "user_name")
+
+
+def registration_ledger(t: Tables) -> DataFrame:
+    """Every registration with attendee and listing names, newest first."""
+    return _with_titles(t, _with_user_names(t)).orderBy(F.desc("created_at"), "registration_id")
 
 
 def _searched_registrations(t: Tables, search: str, status: str) -> DataFrame:
-    rows = registration_ledger(t)
+    rows = _with_user_names(t)
     if search:
         rows = rows.filter(has_text(F.col("ticket_code"), search) | has_text(F.col("user_name"), search))
     return rows.filter(F.col("status") == status) if status != "all" else rows
 
 
 def registration_search(t: Tables, *, search: str = "", status: str = "all", page: int = 1, per_page: int = PAGE_ADMIN) -> DataFrame:
-    rows = _searched_registrations(t, search, status)
-    return rows.orderBy(F.desc("created_at"), "registration_id").offset((page - 1) * per_page).limit(per_page)
+    """One page; listing titles (every registration has its listing) are looked up for the page only."""
+    order = [F.desc("created_at"), F.asc("registration_id")]
+    rows = _searched_registrations(t, search, status).orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    return _with_titles(t, F.broadcast(rows)).orderBy(*order)  # at most ``per_page`` rows
 
 
 def registration_search_counts(t: Tables, *, search: str = "", status: str = "all", per_page: int = PAGE_ADMIN) -> DataFrame:
@@ -212,7 +220,7 @@ def listing_card(t: Tables, *, as_of: datetime) -> DataFrame:
         first_filled(F.col("city"), F.col("venue"), F.lit("Online")).alias("place"),
         F.coalesce(F.date_format("date_start", "MMM dd, yyyy hh:mm a"), F.lit("TBD")).alias("starts"),
         countdown(F.col("date_start"), as_of).alias("countdown"),
-        F.when(F.col("price") == 0, "FREE").otherwise(F.col("price").cast("string")).alias("price_text"))
+        F.when(F.col("price") == 0, "FREE").otherwise(F.concat(F.lit(CURRENCY), shown(F.col("price"), 0))).alias("price_text"))
 
 
 def seat_availability(t: Tables) -> DataFrame:

@@ -131,7 +131,7 @@ for _name, _build in {
     "verdict_parse": lambda t: replies.verdict_parse(t.model_replies),
     "price_parse": lambda t: replies.price_parse(t.model_replies),
     "filter_parse": lambda t: search.parsed_requests(t.search_replies, [k for k, _ in TYPES]),
-    "integrity_audit": integrity.integrity_audit,
+    "integrity_audit": lambda t: integrity.integrity_audit(t, types=TYPES),
 }.items():
     _register(_name, _build)
 

@@ -452,7 +452,7 @@ BODIES: dict[str, str] = {
                coalesce(strftime(date_start, '%b %d, %Y %I:%M %p'), 'TBD') AS starts,
                CASE WHEN date_start < {NOW} THEN 'Event Started' ELSE
                     CASE WHEN s // 86400 > 0 THEN (s // 86400) || 'd ' ELSE '' END || (s % 86400 // 3600) || 'h ' || (s % 3600 // 60) || 'm' END AS countdown,
-               CASE WHEN price = 0 THEN 'FREE' ELSE CAST(price AS VARCHAR) END AS price_text FROM shown""",
+               CASE WHEN price = 0 THEN 'FREE' ELSE '₹' || CAST(round_even(CAST(price AS DOUBLE), 0) AS BIGINT) END AS price_text FROM shown""",
     "seat_availability": f"""
         SELECT l.id AS listing_id, CAST(l.capacity AS BIGINT) AS capacity, coalesce(s.registered, 0) AS registered,
                CASE WHEN l.capacity > 0 THEN l.capacity - coalesce(s.registered, 0) END AS spots_left,
@@ -696,7 +696,7 @@ BODIES: dict[str, str] = {
         _where("users.role domain", "users", "role NOT IN ('admin', 'creator', 'user')"),
         _where("users.name required", "users", "name IS NULL"), _where("users.name length", "users", "length(name) > 100"),
         _where("listings.status domain", "listings", "status NOT IN ('draft', 'published', 'cancelled', 'upcoming', 'live', 'ended')"),
-        _where("listings.title required", "listings", "title IS NULL"), _where("listings.date_start required", "listings", "date_start IS NULL"),
+        _where("listings.type domain", "listings", f"type NOT IN ({_list(k for k, _ in TYPES)})"), _where("listings.title required", "listings", "title IS NULL"), _where("listings.date_start required", "listings", "date_start IS NULL"),
         _where("registrations.status domain", "registrations", "status NOT IN ('confirmed', 'pending', 'cancelled', 'checked_in')"),
         _where("payments.status domain", "payments", "status NOT IN ('success', 'pending', 'failed', 'refunded')"),
         _where("payments.amount required", "payments", "amount IS NULL"), _where("reviews.rating range", "reviews", "rating NOT BETWEEN 1 AND 5"),

@@ -102,6 +102,7 @@ REQUIRED_DETAILS = (
     ("charity", "ngo_name"),
 )
 BOOKING_FEE = 10
+CURRENCY = "₹"
 PAGE_CATALOGUE = 12
 PAGE_ADMIN = 20
 TICKET_PREFIX = "EE-"
