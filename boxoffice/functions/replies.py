@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- Fixed values: fallback answers of the reply reader. ----
@@ -20,14 +20,17 @@ def json_object(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
-def object_fields(text: Column) -> Column:
-    """The object's fields as a map, NULL unless the braces hold exactly one valid object.
+def with_fields(rows: DataFrame, text: str) -> DataFrame:
+    """Add ``object`` (the braces' text, '' when there are none) and ``fields`` (its entries as a map,
+    NULL unless the braces hold exactly one valid object).
 
-    Reading it as a one-element array makes trailing text or a second object an error.
+    Reading it as a one-element array makes trailing text or a second object an error. The steps are
+    columns of their own, so each reply is searched and parsed once.
     """
-    wrapped = F.concat(F.lit("["), json_object(text), F.lit("]"))
-    parsed = F.from_json(wrapped, "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    return F.when((json_object(text) != "") & (F.size(parsed) == 1), parsed.getItem(0))
+    found = rows.withColumn("object", json_object(F.col(text)))
+    listed = F.from_json(F.concat(F.lit("["), "object", F.lit("]")), "array<map<string,string>>", {"allowSingleQuotes": "false"})
+    read = found.withColumn("fields", F.when(F.col("object") != "", listed))
+    return read.withColumn("fields", F.when(F.size("fields") == 1, F.col("fields").getItem(0)))
 
 
 def field_or(fields: Column, name: str, default: Column) -> Column:

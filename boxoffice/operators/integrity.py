@@ -2,66 +2,93 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxoffice.operators.base import zero_filled
 from boxoffice.schema import LISTING_STATUSES, LISTING_TYPES, PAYMENT_STATUSES, REGISTRATION_STATUSES, ROLES
 from boxoffice.sources.tables import Tables
 
 
-def _count(frame: DataFrame, rule: str) -> DataFrame:
-    return frame.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-
-
-def _repeated(frame: DataFrame, keys: list[str], rule: str) -> DataFrame:
-    return _count(frame.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1), rule)
-
-
-def _orphans(child: DataFrame, key: str, parent: DataFrame, rule: str) -> DataFrame:
-    """References without a parent. Each distinct reference is looked up once, so a hot parent does
-    not skew the join; the rows behind it are added up."""
-    used = child.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
-    lost = used.join(parent.select("id"), "id", "left_anti")
-    return lost.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-
-
-def _row_rules(frame: DataFrame, rules: dict) -> DataFrame:
-    """All row rules of a table in one scan."""
+UNIQUE_KEYS = {
+    "users.email unique": ("users", ["email"]),
+    "registrations.ticket_code unique": ("registrations", ["ticket_code"]),
+    "saves pair unique": ("saves", ["user_id", "listing_id"]),
+    "follows pair unique": ("follows", ["follower_id", "creator_id"]),
+}
+# Per referring table: referring column and the table it points to.
+REFERENCES = {
+    "listings": {"creator_id": "users"},
+    "registrations": {"user_id": "users", "listing_id": "listings"},
+    "payments": {"registration_id": "registrations"},
+    "threads": {"listing_id": "listings"},
+    "messages": {"thread_id": "threads"},
+}
+
+
+def _repeated_keys(t: Tables) -> DataFrame:
+    """One row for each key value that occurs more than once; keys ignore case."""
+    parts = [
+        getattr(t, table).select(F.lit(rule).alias("rule"), F.lower(F.concat_ws("|", *keys)).alias("key"))
+        for rule, (table, keys) in UNIQUE_KEYS.items()]
+    counts = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") > 1).select("rule", F.lit(1).cast("bigint").alias("violations"))
+
+
+def _orphans(t: Tables) -> DataFrame:
+    """References without a parent, all in one anti join.
+
+    Rows are folded to distinct references first, so each is looked up once and a hot parent does not
+    skew the join; the rows behind a lost one are added up.
+    """
+    used = []
+    for table, columns in REFERENCES.items():
+        targets = F.array(*[
+            F.struct(F.lit(f"{table}.{c} reference").alias("rule"), F.lit(parent).alias("parent"), F.col(c).alias("id"))
+            for c, parent in columns.items()])
+        used.append(getattr(t, table).select(F.inline(targets)))
+    counts = reduce(DataFrame.unionByName, used).filter(F.col("id").isNotNull()).groupBy("rule", "parent", "id").agg(
+        F.count("*").alias("violations"))
+    names = sorted({p for columns in REFERENCES.values() for p in columns.values()})
+    parents = reduce(DataFrame.unionByName, [getattr(t, n).select(F.lit(n).alias("parent"), "id") for n in names])
+    return counts.join(parents, ["parent", "id"], "left_anti").select("rule", "violations")
+
+
+def _broken_rows(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """All row rules of a table in one scan. A rule that comes out NULL is broken."""
     names = list(rules)
     counts = frame.agg(*[F.count_if(F.coalesce(rules[n], F.lit(True))).alias(f"c{i}") for i, n in enumerate(names)])
     pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"c{i}").alias("violations")) for i, n in enumerate(names)])
     return counts.select(F.inline(pairs))
 
 
-def integrity_audit(t: Tables, *, types: tuple = LISTING_TYPES) -> DataFrame:
-    """Violations per rule: unique keys, domains, required values, references."""
-    parts = [
-        _repeated(t.users.select(F.lower("email").alias("email")), ["email"], "users.email unique"),
-        _repeated(t.registrations, ["ticket_code"], "registrations.ticket_code unique"),
-        _repeated(t.saves, ["user_id", "listing_id"], "saves pair unique"),
-        _repeated(t.follows, ["follower_id", "creator_id"], "follows pair unique"),
-        _row_rules(t.users, {
+def _row_rules(types: Sequence[tuple[str, str]]) -> dict[str, dict[str, Column]]:
+    return {
+        "users": {
             "users.role domain": ~F.col("role").isin(*ROLES), "users.name required": F.col("name").isNull(),
-            "users.name length": F.length("name") > 100}),
-        _row_rules(t.listings, {
+            "users.name length": F.length("name") > 100},
+        "listings": {
             "listings.status domain": ~F.col("status").isin(*LISTING_STATUSES),
-            "listings.type domain": ~F.col("type").isin(*[k for k, _ in types]), "listings.title required": F.col("title").isNull(),
-            "listings.date_start required": F.col("date_start").isNull()}),
-        _row_rules(t.registrations, {
-            "registrations.status domain": ~F.col("status").isin(*REGISTRATION_STATUSES)}),
-        _row_rules(t.payments, {
-            "payments.status domain": ~F.col("status").isin(*PAYMENT_STATUSES), "payments.amount required": F.col("amount").isNull()}),
-        _row_rules(t.reviews, {"reviews.rating range": ~F.col("rating").between(1, 5)}),
-        _orphans(t.listings, "creator_id", t.users, "listings.creator_id reference"),
-        _orphans(t.registrations, "user_id", t.users, "registrations.user_id reference"),
-        _orphans(t.registrations, "listing_id", t.listings, "registrations.listing_id reference"),
-        _orphans(t.payments, "registration_id", t.registrations, "payments.registration_id reference"),
-        _orphans(t.threads, "listing_id", t.listings, "threads.listing_id reference"),
-        _orphans(t.messages, "thread_id", t.threads, "messages.thread_id reference"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+            "listings.type domain": ~F.col("type").isin(*[k for k, _ in types]),
+            "listings.title required": F.col("title").isNull(), "listings.date_start required": F.col("date_start").isNull()},
+        "registrations": {"registrations.status domain": ~F.col("status").isin(*REGISTRATION_STATUSES)},
+        "payments": {
+            "payments.status domain": ~F.col("status").isin(*PAYMENT_STATUSES), "payments.amount required": F.col("amount").isNull()},
+        "reviews": {"reviews.rating range": ~F.col("rating").between(1, 5)},
+    }
+
+
+def integrity_audit(t: Tables, *, types: Sequence[tuple[str, str]] = LISTING_TYPES) -> DataFrame:
+    """Violations per rule: unique keys, domains, required values, references. Clean rules show 0."""
+    rules = _row_rules(types)
+    found = [_repeated_keys(t), _orphans(t), *[_broken_rows(getattr(t, table), checks) for table, checks in rules.items()]]
+    names = [*UNIQUE_KEYS, *[f"{table}.{c} reference" for table, columns in REFERENCES.items() for c in columns],
+             *[n for checks in rules.values() for n in checks]]
+    axis = t.spark.createDataFrame([(n,) for n in names], "rule string")
+    return zero_filled(reduce(DataFrame.unionByName, found), axis, ["rule"], ["violations"])
 
 
 def cascade_prune(t: Tables, gone_users: DataFrame) -> dict[str, DataFrame]:

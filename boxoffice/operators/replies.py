@@ -10,18 +10,18 @@ from boxoffice.functions import replies as r
 
 def verdict_parse(rows: DataFrame) -> DataFrame:
     """Moderation verdict and reason; a readable object without a reason quotes the whole reply."""
-    fields = r.object_fields(F.col("reply"))
-    none, broken = r.json_object(F.col("reply")) == "", fields.isNull()
+    fields = F.col("fields")
+    none, broken = F.col("object") == "", fields.isNull()
     status = F.when(none | broken, r.VERDICT_DEFAULT).otherwise(r.field_or(fields, "status", F.lit(r.VERDICT_DEFAULT)))
     reason = F.when(none, r.VERDICT_NO_OBJECT).when(broken, r.VERDICT_BROKEN).otherwise(r.field_or(fields, "reason", F.col("reply")))
-    return rows.select("doc_id", status.alias("status"), reason.alias("reason"))
+    return r.with_fields(rows, "reply").select("doc_id", status.alias("status"), reason.alias("reason"))
 
 
 def price_parse(rows: DataFrame) -> DataFrame:
     """Suggested price as text, and the reason; without an object the reply itself is the reason."""
-    fields = r.object_fields(F.col("reply"))
-    none, broken = r.json_object(F.col("reply")) == "", fields.isNull()
+    fields = F.col("fields")
+    none, broken = F.col("object") == "", fields.isNull()
     price = F.when(none | broken, r.PRICE_DEFAULT).otherwise(r.field_or(fields, "price", F.lit(r.PRICE_DEFAULT)))
     reason = F.when(none, F.col("reply")).when(broken, r.PRICE_REASON_BROKEN).otherwise(
         r.field_or(fields, "reason", F.lit(r.PRICE_REASON_DEFAULT)))
-    return rows.select("doc_id", price.alias("price"), reason.alias("reason"))
+    return r.with_fields(rows, "reply").select("doc_id", price.alias("price"), reason.alias("reason"))

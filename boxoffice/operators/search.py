@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.functions.ratios import shown, whole_percent
-from boxoffice.functions.replies import field_or, object_fields
+from boxoffice.functions.replies import field_or, with_fields
 from boxoffice.functions.text import first_filled, folded, has_text, label, shortened
 from boxoffice.functions.times import countdown, ntz
 from boxoffice.operators.base import live, seat_counts, top_per_key
@@ -237,11 +237,11 @@ def seat_availability(t: Tables) -> DataFrame:
 
 def parsed_requests(replies: DataFrame, known_types: Sequence[str]) -> DataFrame:
     """Search filters from free-text replies. A type the form does not offer applies no filter."""
-    fields = object_fields(F.col("reply"))
+    fields = F.col("fields")
     kind = F.coalesce(field_or(fields, "type", F.lit("")), F.lit(""))
     city = F.coalesce(field_or(fields, "city", F.lit("")), F.lit(""))
     price = F.coalesce(field_or(fields, "price_range", F.lit("")), F.lit(""))
-    return replies.select(
+    return with_fields(replies, "reply").select(
         "request_id", F.when(kind.isin(*known_types), kind).otherwise("").alias("type"), city.alias("city"),
         (F.lower(price) == "free").alias("free_only"))
 

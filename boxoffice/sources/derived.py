@@ -65,7 +65,7 @@ def users(customer: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFr
 
 def listings(part: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
-    owner = F.floor(key / 20).cast("bigint")
+    owner = F.expr("p_partkey div 20")
     start = _day("1996-01-01 18:00:00", key * 11 % 2500)
     end = _day("1996-01-01 21:00:00", key * 11 % 2500 + key % 3)
     city = (
@@ -93,14 +93,14 @@ def listings(part: DataFrame, supplier: DataFrame, nation: DataFrame) -> DataFra
 
 def registrations(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """One registration per (order, part). Lines are folded before the join, so repeated lines
-    of a hot order never travel."""
-    lines = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.max("l_returnflag").alias("flag"))
-    confirmed = F.col("flag") == "R"
+    of a hot order never travel; the flag's character code keeps that aggregation hash-based."""
+    lines = lineitem.groupBy("l_orderkey", "l_partkey").agg(F.max(F.ascii("l_returnflag")).alias("flag"))
+    cancelled, pending, confirmed = (F.col("flag") == ord(c) for c in "ANR")
     checked = confirmed & (F.col("l_orderkey") % 3 == 0)
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         _registration_id().alias("id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("listing_id"),
         F.concat_ws("-", F.lit(TICKET_PREFIX.rstrip("-")), F.col("l_partkey"), _registration_id()).alias("ticket_code"),
-        F.when(F.col("flag") == "A", "cancelled").when(F.col("flag") == "N", "pending").otherwise("confirmed").alias("status"),
+        F.when(cancelled, "cancelled").when(pending, "pending").otherwise("confirmed").alias("status"),
         checked.alias("checked_in"), F.when(checked, _plus_days(F.col("o_orderdate"), 1)).alias("checked_in_at"),
         F.col("o_orderdate").alias("created_at"),
     )
@@ -342,7 +342,7 @@ def profile_edits(orders: DataFrame, part: DataFrame) -> DataFrame:
         F.concat(F.lit("city "), F.col("o_orderstatus")).alias("city"), F.lit("promo,small").alias("preferences"),
         F.when(order % 5 == 0, F.concat(F.lit("avatar-"), order.cast("string"))).alias("avatar"))
     creators = part.select(
-        key.alias("edit_id"), (F.floor(key / 20).cast("bigint") + CREATOR_BASE).alias("user_id"),
+        key.alias("edit_id"), (F.expr("p_partkey div 20") + CREATOR_BASE).alias("user_id"),
         _day("1995-01-01 00:00:00", key * 3 % 2300).alias("ts"), F.col("p_name").alias("name"),
         F.lpad(key.cast("string"), 10, "6").alias("phone"), F.col("p_brand").alias("bio"),
         F.concat(F.lit("org "), key.cast("string")).alias("organization_name"), F.lit("nowhere").alias("city"),
