@@ -47,13 +47,13 @@ def _orphans(t: Tables) -> DataFrame:
     used = []
     for table, columns in REFERENCES.items():
         targets = F.array(*[
-            F.struct(F.lit(f"{table}.{c} reference").alias("rule"), F.lit(parent).alias("parent"), F.col(c).alias("id"))
+            F.struct(F.lit(f"{table}.{c} reference").alias("rule"), F.lit(parent).alias("parent"), F.col(c).cast("string").alias("id"))
             for c, parent in columns.items()])
         used.append(getattr(t, table).select(F.inline(targets)))
     counts = reduce(DataFrame.unionByName, used).filter(F.col("id").isNotNull()).groupBy("rule", "parent", "id").agg(
         F.count("*").alias("violations"))
     names = sorted({p for columns in REFERENCES.values() for p in columns.values()})
-    parents = reduce(DataFrame.unionByName, [getattr(t, n).select(F.lit(n).alias("parent"), "id") for n in names])
+    parents = reduce(DataFrame.unionByName, [getattr(t, n).select(F.lit(n).alias("parent"), F.col("id").cast("string").alias("id")) for n in names])
     return counts.join(parents, ["parent", "id"], "left_anti").select("rule", "violations")
 
 

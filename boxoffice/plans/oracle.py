@@ -12,7 +12,7 @@ from boxoffice.plans.catalog import AS_OF, DETAIL_RULES, TREND_AS_OF, TYPES, YEA
 from boxoffice.schema import SETTING_DEFAULTS
 
 NOW = f"TIMESTAMP '{AS_OF}'"
-C = "1000000000"
+C = "1000000000000000"
 
 
 def _list(values) -> str:
@@ -47,16 +47,16 @@ VIEWS: dict[str, str] = {
                TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey * 3 % 2300 AS INTEGER)) AS created_at
         FROM part JOIN supplier ON s_suppkey = p_partkey // 20 JOIN nation ON s_nationkey = n_nationkey""",
     "registrations": """
-        SELECT id, user_id, listing_id, 'EE-' || listing_id || '-' || id AS ticket_code,
+        SELECT id, user_id, listing_id, 'EE-' || listing_id || '-' || ok AS ticket_code,
                CASE flag WHEN 'A' THEN 'cancelled' WHEN 'N' THEN 'pending' ELSE 'confirmed' END AS status,
                flag = 'R' AND ok % 3 = 0 AS checked_in,
                CASE WHEN flag = 'R' AND ok % 3 = 0 THEN created_at + to_days(1) END AS checked_in_at, created_at
-        FROM (SELECT l_orderkey * 1000000 + l_partkey AS id, l_orderkey AS ok, o_custkey AS user_id, l_partkey AS listing_id,
+        FROM (SELECT l_orderkey || '-' || l_partkey AS id, l_orderkey AS ok, o_custkey AS user_id, l_partkey AS listing_id,
                      max(l_returnflag) AS flag, o_orderdate AS created_at
               FROM lineitem JOIN orders ON l_orderkey = o_orderkey
               GROUP BY l_orderkey, l_partkey, o_custkey, o_orderdate)""",
     "payments": """
-        SELECT l_orderkey * 1000000 + l_partkey AS registration_id, CAST(l_extendedprice AS DECIMAL(10,2)) AS amount,
+        SELECT l_orderkey || '-' || l_partkey AS registration_id, CAST(l_extendedprice AS DECIMAL(10,2)) AS amount,
                CASE l_linenumber % 3 WHEN 0 THEN 'upi' WHEN 1 THEN 'card' ELSE 'netbanking' END AS method,
                CASE WHEN l_linestatus = 'F' THEN 'success' WHEN l_returnflag = 'A' THEN 'refunded'
                     WHEN l_returnflag = 'N' THEN 'pending' ELSE 'failed' END AS status,
@@ -92,13 +92,13 @@ VIEWS: dict[str, str] = {
         SELECT DISTINCT reg || '/' || line || '/' || strftime(moment, '%Y%m%d%H') || '/' || CAST(quantity AS INTEGER) AS scan_id,
                scanner_id, ticket_code, listing_id, moment AS ts
         FROM (SELECT reg, line, quantity, b.ts + to_hours(again) AS moment,
-                     CASE WHEN reg % 50 = 0 THEN l.creator_id + 1 ELSE l.creator_id END AS scanner_id,
-                     CASE WHEN reg % 97 > 0 THEN 'EE-' || part || '-' || reg END AS ticket_code,
+                     CASE WHEN mix % 50 = 0 THEN l.creator_id + 1 ELSE l.creator_id END AS scanner_id,
+                     CASE WHEN mix % 97 > 0 THEN 'EE-' || part || '-' || ok END AS ticket_code,
                      CASE WHEN line = 7 THEN part + 1 ELSE part END AS listing_id
-              FROM (SELECT l_orderkey * 1000000 + l_partkey AS reg, l_partkey AS part, l_linenumber AS line, l_shipdate AS ts,
+              FROM (SELECT l_orderkey || '-' || l_partkey AS reg, l_orderkey AS ok, l_orderkey * 7 + l_partkey AS mix, l_partkey AS part, l_linenumber AS line, l_shipdate AS ts,
                            l_quantity AS quantity FROM lineitem WHERE l_linenumber <= 2 OR l_linenumber = 7) b
               JOIN listings l ON l.id = part
-              JOIN (VALUES (0), (1)) v(again) ON again = 0 OR reg % 5 = 0)""",
+              JOIN (VALUES (0), (1)) v(again) ON again = 0 OR mix % 5 = 0)""",
     "threads": f"""
         SELECT conv_id AS id, conv_id % 150 AS user_id, {C} + conv_id % 10 AS creator_id,
                CASE WHEN conv_id % 4 > 0 THEN conv_id % 200 END AS listing_id,
@@ -118,16 +118,16 @@ VIEWS: dict[str, str] = {
         FROM conversations WHERE turn = 1 AND conv_id % 5 < 2""",
     "waitlist": """
         SELECT r.id, r.listing_id, u.email, r.created_at FROM registrations r JOIN users u ON r.user_id = u.id
-        WHERE r.status = 'pending' AND r.id % 9 = 0""",
+        WHERE r.status = 'pending' AND (r.user_id * 7 + r.listing_id) % 9 = 0""",
     "listing_details": """
         SELECT p_partkey * 2 AS id, p_partkey AS listing_id, 'brand' AS field_key, p_brand AS field_value FROM part
         UNION ALL SELECT p_partkey * 2 + 1, p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part""",
     "registration_answers": """
-        SELECT CAST(l_linenumber AS BIGINT) AS id, l_orderkey * 1000000 + l_partkey AS registration_id, 'qty' AS question_key,
+        SELECT CAST(l_linenumber AS BIGINT) AS id, l_orderkey || '-' || l_partkey AS registration_id, 'qty' AS question_key,
                CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS answer FROM lineitem
-        UNION ALL SELECT l_linenumber, l_orderkey * 1000000 + l_partkey, 'flag', l_returnflag FROM lineitem""",
+        UNION ALL SELECT l_linenumber, l_orderkey || '-' || l_partkey, 'flag', l_returnflag FROM lineitem""",
     "listing_edits": """
-        SELECT l_orderkey * 1000000 + l_partkey AS edit_id, l_partkey AS listing_id, max(l_shipdate) AS ts, 'edit ' || l_orderkey AS title,
+        SELECT l_orderkey || '-' || l_partkey AS edit_id, l_partkey AS listing_id, max(l_shipdate) AS ts, 'edit ' || l_orderkey AS title,
                CAST(max(l_quantity) AS INTEGER) AS capacity, max(CAST(l_extendedprice AS DECIMAL(10,2))) AS price,
                CASE WHEN l_orderkey % 3 > 0 THEN 'banner-' || l_orderkey END AS banner
         FROM lineitem WHERE l_orderkey % 4 = 1 GROUP BY l_orderkey, l_partkey""",
@@ -650,7 +650,7 @@ BODIES: dict[str, str] = {
                concat_ws(',', CASE WHEN title = '' THEN 'title' END, CASE WHEN type = '' THEN 'type' END, CASE WHEN date_start IS NULL THEN 'date_start' END) AS errors
         FROM forms""",
     "answer_quality": """
-        , forms AS (SELECT l_orderkey * 1000000 + l_partkey AS registration_id, l_orderkey % 31 = 0 OR l_orderkey % 37 = 0 AS bad_phone,
+        , forms AS (SELECT l_orderkey || '-' || l_partkey AS registration_id, l_orderkey % 31 = 0 OR l_orderkey % 37 = 0 AS bad_phone,
                            CAST(max(l_quantity) AS INTEGER) % 8 NOT BETWEEN 1 AND 5 AS bad_qty FROM lineitem GROUP BY l_orderkey, l_partkey)
         SELECT registration_id, concat_ws(',', CASE WHEN bad_phone THEN 'phone' END, CASE WHEN bad_qty THEN 'qty' END) AS errors,
                NOT bad_phone AND NOT bad_qty AS accepted FROM forms""",

@@ -13,6 +13,7 @@ def _table(*columns: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in columns])
 
 
+# Registration ids are text: natural keys need not fit into a number.
 SCHEMAS: dict[str, T.StructType] = {
     "users": _table(
         ("id", _LONG), ("name", _STR), ("email", _STR), ("role", _STR), ("created_at", _TS),
@@ -27,20 +28,20 @@ SCHEMAS: dict[str, T.StructType] = {
         ("id", _LONG), ("listing_id", _LONG), ("field_key", _STR), ("field_value", _STR),
     ),
     "registrations": _table(
-        ("id", _LONG), ("user_id", _LONG), ("listing_id", _LONG), ("ticket_code", _STR), ("status", _STR),
+        ("id", _STR), ("user_id", _LONG), ("listing_id", _LONG), ("ticket_code", _STR), ("status", _STR),
         ("checked_in", _BOOL), ("checked_in_at", _TS), ("created_at", _TS),
     ),
     "registration_answers": _table(
-        ("id", _LONG), ("registration_id", _LONG), ("question_key", _STR), ("answer", _STR),
+        ("id", _LONG), ("registration_id", _STR), ("question_key", _STR), ("answer", _STR),
     ),
     "payments": _table(
-        ("registration_id", _LONG), ("amount", _MONEY), ("method", _STR), ("status", _STR), ("created_at", _TS),
+        ("registration_id", _STR), ("amount", _MONEY), ("method", _STR), ("status", _STR), ("created_at", _TS),
     ),
     "listing_views": _table(("listing_id", _LONG), ("date", _DATE), ("views", _LONG)),
     "reply_log": _table(
         ("user_id", _LONG), ("prompt", _STR), ("response", _STR), ("model_used", _STR), ("created_at", _TS),
     ),
-    "waitlist": _table(("id", _LONG), ("listing_id", _LONG), ("email", _STR), ("created_at", _TS)),
+    "waitlist": _table(("id", _STR), ("listing_id", _LONG), ("email", _STR), ("created_at", _TS)),
     "threads": _table(
         ("id", _LONG), ("user_id", _LONG), ("creator_id", _LONG), ("listing_id", _LONG), ("last_message_at", _TS),
     ),

@@ -14,10 +14,8 @@ from boxoffice.schema import TICKET_PREFIX
 from boxoffice.operators import engagement
 from boxoffice.sources.tables import Tables
 
-CREATOR_BASE = 1_000_000_000
-# Registration id = order * stride + part. Holds while part keys stay below the stride;
-# native tables carry their own ids and do not need this.
-ID_STRIDE = 1_000_000
+# Creator ids start here, beyond any customer key.
+CREATOR_BASE = 1_000_000_000_000_000
 
 
 def _day(start: str, days: Column) -> Column:
@@ -33,7 +31,18 @@ def _money(column: Column) -> Column:
 
 
 def _registration_id() -> Column:
-    return F.col("l_orderkey") * F.lit(ID_STRIDE) + F.col("l_partkey")
+    """Order and part as text. At full scale the two keys no longer fit into one BIGINT, and a hash
+    of them would collide."""
+    return F.concat_ws("-", "l_orderkey", "l_partkey")
+
+
+def _mix() -> Column:
+    """A number per (order, part), for the rules that vary rows."""
+    return F.col("l_orderkey") * 7 + F.col("l_partkey")
+
+
+def _ticket_code() -> Column:
+    return F.concat(F.lit(TICKET_PREFIX), F.concat_ws("-", "l_partkey", "l_orderkey"))
 
 
 def activity_key(props: Column) -> Column:
@@ -99,7 +108,7 @@ def registrations(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     checked = confirmed & (F.col("l_orderkey") % 3 == 0)
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         _registration_id().alias("id"), F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("listing_id"),
-        F.concat_ws("-", F.lit(TICKET_PREFIX.rstrip("-")), F.col("l_partkey"), _registration_id()).alias("ticket_code"),
+        _ticket_code().alias("ticket_code"),
         F.when(cancelled, "cancelled").when(pending, "pending").otherwise("confirmed").alias("status"),
         checked.alias("checked_in"), F.when(checked, _plus_days(F.col("o_orderdate"), 1)).alias("checked_in_at"),
         F.col("o_orderdate").alias("created_at"),
@@ -227,17 +236,18 @@ def scan_rows(lineitem: DataFrame, listing_frame: DataFrame) -> DataFrame:
     base = (
         lineitem.filter((F.col("l_linenumber") <= 2) | (F.col("l_linenumber") == 7))
         .select(
-            _registration_id().alias("reg"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"),
+            _registration_id().alias("reg"), _mix().alias("mix"), _ticket_code().alias("code"),
+            F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"),
             F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("quantity"),
         )
     )
     owners = listing_frame.select(F.col("id").alias("part"), F.col("creator_id").alias("owner"))
     tried = base.join(owners, "part").select(
         "reg", "quantity",
-        F.when(F.col("reg") % 50 == 0, F.col("owner") + 1).otherwise(F.col("owner")).alias("scanner_id"),
-        F.when(F.col("reg") % 97 > 0, F.concat_ws("-", F.lit(TICKET_PREFIX.rstrip("-")), "part", "reg")).alias("ticket_code"),
+        F.when(F.col("mix") % 50 == 0, F.col("owner") + 1).otherwise(F.col("owner")).alias("scanner_id"),
+        F.when(F.col("mix") % 97 > 0, F.col("code")).alias("ticket_code"),
         F.when(F.col("line") == 7, F.col("part") + 1).otherwise(F.col("part")).alias("listing_id"), "ts", "line",
-        F.explode(F.when(F.col("reg") % 5 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"),
+        F.explode(F.when(F.col("mix") % 5 == 0, F.sequence(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("again"),
     )
     moment = F.col("ts") + F.make_dt_interval(F.lit(0), F.col("again"))
     scan_id = F.concat_ws("/", F.col("reg"), F.col("line"), F.date_format(moment, "yyyyMMddHH"), F.col("quantity").cast("int"))
@@ -284,7 +294,7 @@ def delete_log(conversations: DataFrame) -> DataFrame:
 
 
 def waitlist(registration_frame: DataFrame, user_frame: DataFrame) -> DataFrame:
-    waiting = registration_frame.filter((F.col("status") == "pending") & (F.col("id") % 9 == 0))
+    waiting = registration_frame.filter((F.col("status") == "pending") & ((F.col("user_id") * 7 + F.col("listing_id")) % 9 == 0))
     people = user_frame.select(F.col("id").alias("user_id"), "email")
     return waiting.join(people, "user_id").select("id", "listing_id", "email", "created_at")
 

@@ -71,7 +71,7 @@ def test_cascade(tables, spark):
                threads=[{"id": 1, "user_id": 1, "creator_id": 901, "listing_id": 1}, {"id": 2, "user_id": 2, "creator_id": 901, "listing_id": 2}],
                messages=[{"id": 1, "thread_id": 1}, {"id": 2, "thread_id": 2}])
     left = integrity.cascade_prune(t, spark.createDataFrame([(900,), (2,)], "id long"))
-    assert rows(left["registrations"], "id") == [(2,)] and rows(left["payments"], "registration_id") == [(2,)]
+    assert rows(left["registrations"], "id") == [("2",)] and rows(left["payments"], "registration_id") == [("2",)]
     assert [(r.id, r.listing_id) for r in left["threads"].collect()] == [(1, None)] and rows(left["messages"], "id") == [(1,)]
 
 

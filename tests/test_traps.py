@@ -108,7 +108,7 @@ def test_fee_and_single_charge(tables):
     t = tables(users=[user(1)], listings=[listing(1, price=Decimal("90.00")), listing(2)], registrations=[
         reg(1, 1, 1, "pending"), reg(2, 1, 1, "pending"), reg(3, 1, 2, "pending"), reg(4, 1, 1, "confirmed")],
         payments=[pay(1, "1.00", created_at=ts("2026-03-05")), pay(1, "2.00", created_at=ts("2026-03-04"), method="upi"), pay(4, "3.00")])
-    got = {r.registration_id: r for r in tickets.settlement(t).collect()}
+    got = {int(r.registration_id): r for r in tickets.settlement(t).collect()}
     assert (got[1].outcome, got[1].charged, got[1].method, got[1].paid_at) == ("paid", 100.0, "upi", ts("2026-03-04"))
     assert (got[2].outcome, got[2].new_status, got[2].amount_due) == ("awaiting_payment", "pending", 100.0)
     assert (got[3].outcome, got[3].new_status, got[3].charged) == ("free", "confirmed", 0.0)
@@ -130,7 +130,7 @@ def test_check_in_verdicts(tables, spark):
 def test_cancelled_future_ticket_is_past_in_the_book_and_absent_from_indicators(tables):
     t = tables(users=[user(1)], listings=[listing(1), listing(2, date_start=None), listing(3, date_start=ts("2026-01-01"))], registrations=[
         reg(1, 1, 1, "cancelled"), reg(2, 1, 1), reg(3, 1, 2), reg(4, 1, 3)])
-    book = {r.registration_id: r.bucket for r in attendees.ticket_book(t, as_of=NOW).collect()}
+    book = {int(r.registration_id): r.bucket for r in attendees.ticket_book(t, as_of=NOW).collect()}
     assert book == {1: "past", 2: "upcoming", 3: None, 4: "past"}
     got = attendees.user_summary(t, as_of=NOW).collect()[0]
     assert (got.tickets_total, got.upcoming_listings, got.past_listings) == (3, 1, 2)
