@@ -123,9 +123,9 @@ def zero_filled(facts: DataFrame, axis: DataFrame, keys: Sequence[str], sums: Se
 def key_value_map(frame: DataFrame, entity: str, key: str, value: str, order: str) -> DataFrame:
     """Key/value rows to one map per entity; of repeated keys the last row wins.
 
-    Repeats are folded first, so an entity gathers at most one entry per distinct form field.
+    Repeats are cut first, so an entity gathers at most one entry per distinct form field.
     """
-    last = frame.groupBy(entity, key).agg(F.max_by(value, F.struct(order, value)).alias(value))
+    last = top_per_key(frame.select(entity, key, value, order), [entity, key], [F.desc(order), F.desc(value)], 1, "_n")
     entries = F.array_sort(F.collect_list(F.struct(key, value)))
     return last.groupBy(entity).agg(F.map_from_entries(entries).alias("fields"))
 

@@ -31,11 +31,17 @@ REFERENCES = {
 
 def _repeated_keys(t: Tables) -> DataFrame:
     """One row for each key value that occurs more than once; keys ignore case."""
-    parts = [
-        getattr(t, table).select(F.lit(rule).alias("rule"), F.lower(F.concat_ws("|", *keys)).alias("key"))
-        for rule, (table, keys) in UNIQUE_KEYS.items()]
-    counts = reduce(DataFrame.unionByName, parts).groupBy("rule", "key").agg(F.count("*").alias("n"))
-    return counts.filter(F.col("n") > 1).select("rule", F.lit(1).cast("bigint").alias("violations"))
+    rules = list(UNIQUE_KEYS)
+    parts = []
+    for number, (table, keys) in enumerate(UNIQUE_KEYS.values()):
+        parts.append(getattr(t, table).select(F.lit(number).alias("number"), F.lower(F.concat_ws("|", *keys)).alias("key")))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("number", "key").agg(F.count("*").alias("n"))
+    return counts.filter(F.col("n") > 1).select(_named(rules).alias("rule"), F.lit(1).cast("bigint").alias("violations"))
+
+
+def _named(rules: Sequence[str]) -> Column:
+    """Rules travel as small numbers and get their names at the end."""
+    return F.array(*[F.lit(r) for r in rules])[F.col("number")]
 
 
 def _orphans(t: Tables) -> DataFrame:
@@ -44,17 +50,22 @@ def _orphans(t: Tables) -> DataFrame:
     Rows are folded to distinct references first, so each is looked up once and a hot parent does not
     skew the join; the rows behind a lost one are added up.
     """
-    used = []
+    rules, parents, used = [], [], []
     for table, columns in REFERENCES.items():
-        targets = F.array(*[
-            F.struct(F.lit(f"{table}.{c} reference").alias("rule"), F.lit(parent).alias("parent"), F.col(c).cast("string").alias("id"))
-            for c, parent in columns.items()])
-        used.append(getattr(t, table).select(F.inline(targets)))
-    counts = reduce(DataFrame.unionByName, used).filter(F.col("id").isNotNull()).groupBy("rule", "parent", "id").agg(
+        targets = []
+        for column, parent in columns.items():
+            targets.append(F.struct(F.lit(len(rules)).alias("number"), F.col(column).cast("string").alias("id")))
+            rules.append(f"{table}.{column} reference")
+            parents.append(parent)
+        used.append(getattr(t, table).select(F.inline(F.array(*targets))))
+    counts = reduce(DataFrame.unionByName, used).filter(F.col("id").isNotNull()).groupBy("number", "id").agg(
         F.count("*").alias("violations"))
-    names = sorted({p for columns in REFERENCES.values() for p in columns.values()})
-    parents = reduce(DataFrame.unionByName, [getattr(t, n).select(F.lit(n).alias("parent"), F.col("id").cast("string").alias("id")) for n in names])
-    return counts.join(parents, ["parent", "id"], "left_anti").select("rule", "violations")
+    names = sorted(set(parents))
+    parent = F.array(*[F.lit(names.index(p)) for p in parents])[F.col("number")]
+    known = reduce(DataFrame.unionByName, [
+        getattr(t, n).select(F.lit(i).alias("parent"), F.col("id").cast("string").alias("id")) for i, n in enumerate(names)])
+    lost = counts.withColumn("parent", parent).join(known, ["parent", "id"], "left_anti")
+    return lost.select(_named(rules).alias("rule"), "violations")
 
 
 def _broken_rows(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -81,7 +81,10 @@ def recommendations(t: Tables, *, as_of: datetime, limit: int = 6, seed: str = "
     """Newest open listings of the attendee's top type that they do not hold; when that yields none,
     any open ones in shuffled order; without history, the newest of any type."""
     lists = _open_lists(t, as_of, seed)
-    held = restrict(live(t.registrations), "user_id", ids).select("user_id", "listing_id").distinct().join(lists, "listing_id")
+    # Attendees who get the unfiltered list hold nothing, so it needs no taken positions. Joining first
+    # leaves only registrations for open listings to be made distinct.
+    held = restrict(live(t.registrations), "user_id", ids).select("user_id", "listing_id").join(
+        lists.filter(F.col("list") != NEWEST), "listing_id").select("user_id", "list", "position").distinct()
     free = _free_positions(_wanted_lists(t, lists, ids), held, limit)
     # At most two lists of ``limit`` rows in each window: keep the fallback only where it stands alone.
     has_first = F.max(F.col("list") != SHUFFLED).over(Window.partitionBy("user_id"))

@@ -67,7 +67,7 @@ def attendee_export(t: Tables, *, ids: Ids = None) -> DataFrame:
     return regs.join(first_payments(t), "registration_id", "left").join(people, "user_id").select(
         "listing_id", F.col("ticket_code").alias("Ticket Code"), F.col("name").alias("Name"), F.col("email").alias("Email"),
         F.col("status").alias("Status"), F.date_format("created_at", "yyyy-MM-dd").alias("Date"),
-        F.col("paid_amount").cast("double").alias("Amount Paid"))
+        F.col("paid_amount").cast("string").alias("Amount Paid"))
 
 
 def attendee_stats(t: Tables, *, ids: Ids = None) -> DataFrame:
@@ -127,12 +127,10 @@ def admission(requests: DataFrame, listings: DataFrame, users: DataFrame, regist
     """
     people = users.filter(F.col("role") == "user").select(F.col("id").alias("user_id"), F.lit(True).alias("attendee"))
     shows = listings.filter(F.col("status") == "published").select(F.col("id").alias("listing_id"), "capacity")
-    # Folded per pair before any join: repeated requests never travel.
-    first = (
-        requests.groupBy("user_id", "listing_id").agg(F.min(F.struct("created_at", "id")).alias("m"))
-        .select("user_id", "listing_id", F.col("m.created_at").alias("created_at"), F.col("m.id").alias("id"))
-        .join(people, "user_id", "left_semi")
-    )
+    # Cut per pair before any join: each task sends a pair's first request only.
+    pairs = requests.select("user_id", "listing_id", "created_at", "id")
+    first = top_per_key(pairs, ["user_id", "listing_id"], [F.asc("created_at"), F.asc("id")], 1, "_n").drop("_n").join(
+        people, "user_id", "left_semi")
     if registered is not None:
         first = first.join(registered.select("user_id", "listing_id").distinct(), ["user_id", "listing_id"], "left_anti")
         taken = registered.groupBy("listing_id").agg(F.count("*").alias("taken"))

@@ -472,7 +472,7 @@ BODIES: dict[str, str] = {
         LEFT JOIN answer_text a ON a.registration_id = r.id LEFT JOIN first_paid p ON p.registration_id = r.id""",
     "attendee_export": """
         SELECT r.listing_id, r.ticket_code AS "Ticket Code", u.name AS "Name", u.email AS "Email", r.status AS "Status",
-               strftime(r.created_at, '%Y-%m-%d') AS "Date", CAST(p.amount AS DOUBLE) AS "Amount Paid"
+               strftime(r.created_at, '%Y-%m-%d') AS "Date", CAST(p.amount AS VARCHAR) AS "Amount Paid"
         FROM registrations r JOIN users u ON r.user_id = u.id LEFT JOIN first_paid p ON p.registration_id = r.id""",
     "attendee_stats": f"""
         SELECT l.id AS listing_id, count(r.id) AS total, count(CASE WHEN r.status = 'confirmed' THEN 1 END) AS confirmed,

@@ -7,6 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Settings meant for a large cluster; spark.checkpoint.dir must be set there as well.
+CLUSTER_SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    # Start with many shuffle partitions and let adaptive execution merge small and split hot ones.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256MB",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+    # Toggle and check-in streams keep a row per key; that state belongs on disk.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
 
 def local_session(cpus: int | str = "*", app: str = "boxoffice") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""

@@ -23,7 +23,7 @@ def test_attendee_csv(spark, tables):
     path = new_folder(spark, "csv")
     files.write_attendee_csv(tickets.attendee_export(t), path)
     found = [line for f in _local(path).glob("listing_id=1/*.csv") for line in list(csv.reader(f.open()))[1:]]
-    assert sorted(found) == [["C1", "n1", "e1@x.y", "confirmed", "2026-03-01", "5.5"], ["C2", "n2", "e2@x.y", "confirmed", "2026-03-01", ""]]
+    assert sorted(found) == [["C1", "n1", "e1@x.y", "confirmed", "2026-03-01", "5.50"], ["C2", "n2", "e2@x.y", "confirmed", "2026-03-01", ""]]
     header = next(csv.reader(next(_local(path).glob("listing_id=2/*.csv")).open()))
     assert header == ["Ticket Code", "Name", "Email", "Status", "Date", "Amount Paid"]
 
