@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxoffice.llm import lm
+from boxoffice.llm import decontam, langid, lm, mixing, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,28 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.document_scores(table(spark, sf_dir, "documents"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.document_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
+    "op3_source_mix": op3_source_mix,
+    "op6_contamination": op6_contamination,
+    "op8_simhash_groups": op8_simhash_groups,
+    "op9_languages": op9_languages,
 }
 
 ORACLE: dict[str, str] = {}

@@ -105,3 +105,11 @@ def hashed_words(column, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     data, offsets = text_buffers(column)
     starts, counts = word_spans(data, offsets, separator)
     return word_hashes(data, starts, separator), counts
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
