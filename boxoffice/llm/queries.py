@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxoffice.llm import decontam, langid, lm, mixing, simhash
+from boxoffice.llm import decontam, langid, lm, mixing, simhash, tokenfiles
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.document_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +38,7 @@ def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op3_source_mix": op3_source_mix,
+    "op5_token_files": op5_token_files,
     "op6_contamination": op6_contamination,
     "op8_simhash_groups": op8_simhash_groups,
     "op9_languages": op9_languages,
