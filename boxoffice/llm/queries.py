@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxoffice.llm import decontam, langid, lm, mixing, simhash, tokenfiles
+from boxoffice.llm import decontam, langid, lm, mixing, simhash, tokenfiles, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.document_scores(table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.links_and_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
+    "op2_embedding_groups": op2_embedding_groups,
     "op3_source_mix": op3_source_mix,
     "op5_token_files": op5_token_files,
     "op6_contamination": op6_contamination,
