@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxoffice.llm import decontam, langid, lm, mixing, simhash, tokenfiles, vectors
+from boxoffice.llm import decontam, langid, licenses, lm, mixing, pii, simhash, tokenfiles, toxicity, vectors
+
+#: The key of the registered query; real runs pass a secret of their own.
+PSEUDONYM_KEY = "registered query"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +26,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.document_tokens(table(spark, sf_dir, "documents"))
 
@@ -31,6 +38,10 @@ def op6_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.document_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -39,14 +50,21 @@ def op9_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.document_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_embedding_groups": op2_embedding_groups,
     "op3_source_mix": op3_source_mix,
+    "op4_licenses": op4_licenses,
     "op5_token_files": op5_token_files,
     "op6_contamination": op6_contamination,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash_groups": op8_simhash_groups,
     "op9_languages": op9_languages,
+    "op10_pseudonyms": op10_pseudonyms,
 }
 
 ORACLE: dict[str, str] = {}
