@@ -98,7 +98,9 @@ KNOWN = (
     ("Zlib", _ZLIB),
 )
 
-COPYRIGHT_LINES = r"(?im)^[ \t/*#;%.-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Lines that claim copyright (with a mark, year or placeholder), not those that speak of "copyright notice" and the like.
+COPYRIGHT_LINES = (r"(?im)^[ \t/*#;%.-]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|by[ \t]|[<\[{])[^\n]*|\(c\)[ \t]*(?:copyright|[0-9]{4})[^\n]*|©[^\n]*"
+                   r"|all rights reserved[^\p{L}\p{N}\n]*)$")
 
 
 def canonical(text: Column) -> Column:

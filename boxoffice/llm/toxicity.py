@@ -30,7 +30,7 @@ from boxoffice.session import materialize
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 VOTERS = 1500
-LEAST_TOXIC = 4  # sample documents in which a voter fires
+LEAST_TOXIC = 3  # sample documents in which a voter fires
 LEAST_LIFT = 4.0  # how much more often in toxic than in clean ones
 PREFIXES = (3, 4, 5, 6)  # bytes
 THRESHOLD = 0.3
