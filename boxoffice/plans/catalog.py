@@ -12,8 +12,8 @@ from boxoffice.operators import (
     attendees, charts, creators, engagement, intake, integrity, lifecycle, platform, recommend, replies, search, tickets,
 )
 from boxoffice.operators.search import ListingFilter
-from boxoffice.schema import ACTIVITY_SCHEMA, CHAT_SCHEMA, LINEITEM_SCHEMA, PART_SCHEMA, SETTING_DEFAULTS
-from boxoffice.session import new_folder
+from boxoffice.schema import ACTIVITY_SCHEMA, CHAT_SCHEMA, LINEITEM_SCHEMA, SETTING_DEFAULTS
+from boxoffice.session import materialize, new_folder
 from boxoffice.sources import derived, files
 from boxoffice.sources.tables import Tables
 from boxoffice.streaming import activity
@@ -175,7 +175,7 @@ def following_flags(t: Tables) -> DataFrame:
 
 @_query
 def thread_since(t: Tables) -> DataFrame:
-    cursors = t.read_log.select("thread_id", (F.col("thread_id") * 100 + 2).alias("last_id"))
+    cursors = t.read_log.select("thread_id", derived.message_id(F.col("thread_id"), 2).alias("last_id"))
     return engagement.thread_since(t, cursors)
 
 
@@ -234,36 +234,59 @@ def _appended(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
 
 def _versioned(spark: SparkSession, frame: DataFrame, name: str, keys: list[str]) -> DataFrame:
     path = new_folder(spark, name)
-    activity.version_stream(frame, f"{path}/rows", f"{path}/progress").awaitTermination()
+    activity.version_stream(frame, f"{path}/rows", f"{path}/progress", keys).awaitTermination()
     return activity.latest_versions(spark, f"{path}/rows", frame.schema, keys)
 
 
+def _stored(t: Tables, *names: str) -> Tables:
+    """The named tables written to the shared folder: what streams join, or read, again and again."""
+    return Tables.of(t.spark, **{n: materialize(getattr(t, n), n) for n in names})
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.read_stream(spark, f"{sf_dir}/events.parquet", ACTIVITY_SCHEMA)
 
 
 def stream_daily_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _appended(spark, activity.daily_views(derived.view_hits(_events(spark, sf_dir))), "views")
+    return _versioned(spark, engagement.daily_views(derived.view_hits(_events(spark, sf_dir))), "views", ["listing_id", "day"])
 
 
 def stream_first_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = derived.from_trade_tables(spark, sf_dir)
+    t = _stored(derived.from_trade_tables(spark, sf_dir), "listings", "registrations")
     lines = activity.read_stream(spark, f"{sf_dir}/lineitem.parquet", LINEITEM_SCHEMA)
     valid = activity.valid_scans(derived.scan_rows(lines, t.listings), t.listings, t.registrations)
     return _versioned(spark, activity.first_scans(valid), "scans", ["registration_id"])
 
 
 def stream_activity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _versioned(spark, activity.activity_counts(_events(spark, sf_dir)), "kpis", ["event_type"])
+    return _versioned(spark, activity.activity_counts(_events(spark, sf_dir)), "activity", ["event_type"])
+
+
+def stream_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline numbers over streams of the four marketplace tables."""
+    t, new = derived.from_trade_tables(spark, sf_dir), {}
+    for name in ("users", "listings", "registrations", "payments"):
+        frame, path = getattr(t, name), new_folder(spark, name)
+        frame.write.parquet(path)
+        new[name] = activity.read_stream(spark, path, frame.schema)
+    return activity.kpi_row(_versioned(spark, activity.kpi_totals(**new, as_of=AS_OF), "kpis", ["kpi"]))
 
 
 def stream_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versioned(spark, activity.unread_counts(derived.notifications(_events(spark, sf_dir))), "unread", ["user_id"])
 
 
+def stream_unread_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _stored(derived.from_trade_tables(spark, sf_dir), "threads")
+    return _versioned(spark, activity.unread_messages(_messages(spark, sf_dir), t.threads), "unread-messages", ["user_id"])
+
+
 def stream_publish_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices to whoever follows at the moment of publishing: the batch operator on a stream."""
     t = derived.from_trade_tables(spark, sf_dir)
-    return _appended(spark, activity.publish_notices(derived.status_log(_events(spark, sf_dir)), t.listings, t.users, t.follows), "notices")
+    spans = materialize(engagement.follow_spans(t.follow_toggles), "spans")
+    log = derived.status_log(_events(spark, sf_dir), derived.sizes(spark, sf_dir))
+    return _appended(spark, engagement.publish_fanout(_stored(t, "listings", "users"), log, spans), "notices")
 
 
 def stream_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,20 +296,29 @@ def stream_saves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = ["follower_id", "creator_id"]
-    return _versioned(spark, activity.toggle_state(derived.follow_toggles(_events(spark, sf_dir)), pair), "follows", pair)
+    toggles = derived.follow_toggles(_events(spark, sf_dir), derived.sizes(spark, sf_dir)).filter("follower_id <> creator_id")
+    return _versioned(spark, activity.toggle_state(toggles, pair), "follows", pair)
 
 
 def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    parts = activity.read_stream(spark, f"{sf_dir}/part.parquet", PART_SCHEMA)
-    return _appended(spark, activity.lifecycle_changes(derived.listings(parts, read("supplier"), read("nation")), as_of=AS_OF), "lifecycle")
+    """One tick of the sweep over all stored listings."""
+    path, t = new_folder(spark, "sweep"), _stored(derived.from_trade_tables(spark, sf_dir), "listings")
+    spark.createDataFrame([(AS_OF,)], "tick timestamp_ntz").write.parquet(f"{path}/ticks")
+    ticks = activity.read_stream(spark, f"{path}/ticks", spark.read.parquet(f"{path}/ticks").schema)
+    activity.lifecycle_sweep(ticks, lambda: t.listings, f"{path}/rows", f"{path}/progress").awaitTermination()
+    schema = lifecycle.lifecycle_update(t.listings, as_of=AS_OF).schema
+    return activity.latest_versions(spark, f"{path}/rows", schema, ["listing_id"])
 
 
-def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = activity.read_stream(spark, f"{sf_dir}/conversations.parquet", CHAT_SCHEMA)
-    return _appended(spark, derived.messages(talk).select("thread_id", "id", "sender_id", "message_text", "sent_at"), "messages")
+    return derived.messages(talk, derived.sizes(spark, sf_dir))
+
+
+def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _appended(spark, _messages(spark, sf_dir).select("thread_id", "id", "sender_id", "message_text", "sent_at"), "messages")
 
 
-for _stream in (stream_daily_views, stream_first_scans, stream_activity_counts, stream_unread, stream_publish_notices,
-                stream_saves, stream_follows, stream_lifecycle, stream_messages):
+for _stream in (stream_daily_views, stream_first_scans, stream_activity_counts, stream_kpis, stream_unread, stream_unread_messages,
+                stream_publish_notices, stream_saves, stream_follows, stream_lifecycle, stream_messages):
     QUERIES[_stream.__name__] = _stream

@@ -13,6 +13,11 @@ from boxoffice.schema import SETTING_DEFAULTS
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 C = "1000000000000000"
+# Restated sizes of the derivation: attendees, creators, listings; the parties of a conversation; its days.
+_N, _S, _P = (f"(SELECT greatest(1, count(*)) FROM {t})" for t in ("customer", "supplier", "part"))
+_CHAT_USER, _CHAT_CREATOR = f"conv_id // 3 % {_N}", f"{C} + conv_id // 2 % {_S}"
+_CHAT_DAY = "TIMESTAMP '2001-01-01' + to_days(CAST(conv_id % 300 * 10 + {turn} AS INTEGER))"
+_MESSAGE = "conv_id * 16777216 + {turn}"
 
 
 def _list(values) -> str:
@@ -68,10 +73,10 @@ VIEWS: dict[str, str] = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_returnflag = 'R'""",
     "activity": "SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "save_toggles": "SELECT event_id, user_id, k AS listing_id, ts FROM activity WHERE event_type = 'click'",
-    "follow_toggles": f"SELECT event_id, user_id AS follower_id, {C} + k % 10 AS creator_id, ts FROM activity WHERE event_type = 'signup'",
+    "follow_toggles": f"SELECT event_id, user_id AS follower_id, {C} + (user_id * 13 + k) % {_S} AS creator_id, ts FROM activity WHERE event_type = 'signup'",
     "view_hits": "SELECT event_id, k AS listing_id, ts FROM activity WHERE event_type = 'view'",
-    "status_log": """
-        SELECT event_id, k AS listing_id, ts,
+    "status_log": f"""
+        SELECT event_id, (event_id * 31 + k) % {_P} AS listing_id, ts,
                CASE event_id % 3 WHEN 0 THEN 'published' WHEN 1 THEN 'cancelled' ELSE 'draft' END AS status
         FROM activity WHERE event_type = 'error'""",
     "ban_log": """
@@ -86,7 +91,8 @@ VIEWS: dict[str, str] = {
         SELECT event_id AS id, user_id, 'listing ' || k AS message, event_id % 2 = 0 AS is_read, ts AS created_at
         FROM activity WHERE event_type = 'error'""",
     "thread_requests": f"""
-        SELECT event_id AS request_id, user_id, {C} + k % 10 AS creator_id, CASE WHEN event_id % 3 > 0 THEN k END AS listing_id, ts
+        SELECT event_id AS request_id, user_id, {C} + (user_id * 13 + k) % {_S} AS creator_id,
+               CASE WHEN event_id % 3 > 0 THEN (user_id * 13 + k) % {_P} END AS listing_id, ts
         FROM activity WHERE event_type = 'purchase'""",
     "scans": """
         SELECT DISTINCT reg || '/' || line || '/' || strftime(moment, '%Y%m%d%H') || '/' || CAST(quantity AS INTEGER) AS scan_id,
@@ -96,25 +102,24 @@ VIEWS: dict[str, str] = {
                      CASE WHEN mix % 97 > 0 THEN 'EE-' || part || '-' || ok END AS ticket_code,
                      CASE WHEN line = 7 THEN part + 1 ELSE part END AS listing_id
               FROM (SELECT l_orderkey || '-' || l_partkey AS reg, l_orderkey AS ok, l_orderkey * 7 + l_partkey AS mix, l_partkey AS part, l_linenumber AS line, l_shipdate AS ts,
-                           l_quantity AS quantity FROM lineitem WHERE l_linenumber <= 2 OR l_linenumber = 7) b
+                           l_quantity AS quantity FROM lineitem) b
               JOIN listings l ON l.id = part
               JOIN (VALUES (0), (1)) v(again) ON again = 0 OR mix % 5 = 0)""",
     "threads": f"""
-        SELECT conv_id AS id, conv_id % 150 AS user_id, {C} + conv_id % 10 AS creator_id,
-               CASE WHEN conv_id % 4 > 0 THEN conv_id % 200 END AS listing_id,
-               TIMESTAMP '2001-01-01' + to_days(CAST(conv_id * 10 + max(turn) AS INTEGER)) AS last_message_at
+        SELECT conv_id AS id, {_CHAT_USER} AS user_id, {_CHAT_CREATOR} AS creator_id,
+               CASE WHEN conv_id % 4 > 0 THEN conv_id % {_P} END AS listing_id, {_CHAT_DAY.format(turn="max(turn)")} AS last_message_at
         FROM conversations GROUP BY conv_id""",
     "messages": f"""
-        SELECT conv_id * 100 + turn AS id, conv_id AS thread_id,
-               CASE WHEN role = 'assistant' THEN {C} + conv_id % 10 ELSE conv_id % 150 END AS sender_id, text AS message_text,
-               turn % 3 <> 0 AS is_read, TIMESTAMP '2001-01-01' + to_days(CAST(conv_id * 10 + turn AS INTEGER)) AS sent_at
+        SELECT {_MESSAGE.format(turn="turn")} AS id, conv_id AS thread_id,
+               CASE WHEN role = 'assistant' THEN {_CHAT_CREATOR} ELSE {_CHAT_USER} END AS sender_id, text AS message_text,
+               turn % 3 <> 0 AS is_read, {_CHAT_DAY.format(turn="turn")} AS sent_at
         FROM conversations WHERE role <> 'system'""",
     "read_log": f"""
-        SELECT conv_id AS thread_id, CASE WHEN conv_id % 2 = 0 THEN conv_id % 150 ELSE {C} + conv_id % 10 END AS reader_id,
-               TIMESTAMP '2001-01-01' + to_days(CAST(conv_id * 10 + turn AS INTEGER)) AS read_at
+        SELECT conv_id AS thread_id, CASE WHEN conv_id % 2 = 0 THEN {_CHAT_USER} ELSE {_CHAT_CREATOR} END AS reader_id,
+               {_CHAT_DAY.format(turn="turn")} AS read_at
         FROM conversations WHERE turn = 2""",
     "delete_log": f"""
-        SELECT conv_id * 100 + 1 AS message_id, CASE WHEN conv_id % 5 = 0 THEN {C} + conv_id % 10 ELSE conv_id % 150 END AS requester_id
+        SELECT {_MESSAGE.format(turn="1")} AS message_id, CASE WHEN conv_id % 5 = 0 THEN {_CHAT_CREATOR} ELSE {_CHAT_USER} END AS requester_id
         FROM conversations WHERE turn = 1 AND conv_id % 5 < 2""",
     "waitlist": """
         SELECT r.id, r.listing_id, u.email, r.created_at FROM registrations r JOIN users u ON r.user_id = u.id
@@ -130,7 +135,7 @@ VIEWS: dict[str, str] = {
         SELECT l_orderkey || '-' || l_partkey AS edit_id, l_partkey AS listing_id, max(l_shipdate) AS ts, 'edit ' || l_orderkey AS title,
                CAST(max(l_quantity) AS INTEGER) AS capacity, max(CAST(l_extendedprice AS DECIMAL(10,2))) AS price,
                CASE WHEN l_orderkey % 3 > 0 THEN 'banner-' || l_orderkey END AS banner
-        FROM lineitem WHERE l_orderkey % 4 = 1 GROUP BY l_orderkey, l_partkey""",
+        FROM lineitem GROUP BY l_orderkey, l_partkey""",
     "listing_edit_details": """
         SELECT edit_id, listing_id, 'size' AS field_key, CAST(capacity AS VARCHAR) AS field_value FROM listing_edits
         UNION ALL SELECT edit_id, listing_id, 'brand', CAST(capacity AS VARCHAR) FROM listing_edits WHERE capacity % 2 = 0""",
@@ -154,10 +159,11 @@ VIEWS: dict[str, str] = {
     "parsed_replies": r"""
         SELECT *, regexp_extract(reply, '(?s)\{.*\}') AS obj, obj <> '' AND json_valid(obj) AS good FROM model_replies""",
     "search_requests": """
-        SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 3 = 0 THEN '' ELSE type END AS type,
+        SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 3 = 0 THEN '' ELSE coalesce(type, '') END AS type,
                CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 2 > 0 THEN '' ELSE coalesce(city, '') END AS city,
                o_orderkey % 17 > 0 AND o_orderkey % 5 = 0 AS free_only
-        FROM orders JOIN listings ON o_orderkey = id""",
+        FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS first FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey
+        LEFT JOIN listings ON first = id""",
     "live": "SELECT * FROM registrations WHERE status <> 'cancelled'",
     "paid": "SELECT * FROM payments WHERE status = 'success'",
     "seats": "SELECT listing_id, count(*) AS registered FROM live GROUP BY listing_id",
@@ -579,7 +585,7 @@ BODIES: dict[str, str] = {
     "thread_since": """
         SELECT m.thread_id, m.id AS message_id, m.sender_id, m.message_text, m.sent_at FROM messages m
         LEFT JOIN (SELECT DISTINCT thread_id FROM read_log) c ON c.thread_id = m.thread_id
-        WHERE m.id > CASE WHEN c.thread_id IS NULL THEN 0 ELSE c.thread_id * 100 + 2 END""",
+        WHERE m.id > CASE WHEN c.thread_id IS NULL THEN 0 ELSE c.thread_id * 16777216 + 2 END""",
     "thread_upsert": """
         , keyed AS (
             SELECT q.request_id, CASE WHEN q.listing_id IS NOT NULL THEN coalesce(
@@ -638,7 +644,7 @@ BODIES: dict[str, str] = {
     "review_intake": """
         , forms AS (
             SELECT l_partkey AS listing_id, o_custkey AS user_id, l_shipdate AS created_at, CAST(l_quantity AS INTEGER) AS q
-            FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
         SELECT listing_id, user_id, CASE WHEN q % 11 > 0 AND q % 13 > 0 THEN CAST(q % 8 AS BIGINT) END AS rating, 'review ' || listing_id AS review_text, created_at,
                q % 11 > 0 AND q % 13 > 0 AND q % 8 BETWEEN 1 AND 5 AS accepted,
                CASE WHEN q % 11 > 0 AND q % 13 > 0 AND q % 8 BETWEEN 1 AND 5 THEN '' ELSE 'rating' END AS errors FROM forms""",
@@ -704,23 +710,19 @@ BODIES: dict[str, str] = {
         _orphans("registrations", "listing_id", "listings"), _orphans("payments", "registration_id", "registrations"),
         _orphans("threads", "listing_id", "listings"), _orphans("messages", "thread_id", "threads"),
     ]) + ") x(a, b)",
-    # Streams: what a drained stream has emitted. A day of views is final once the newest view lies
-    # a day past its end.
-    "stream_daily_views": """
-        SELECT listing_id, strftime(day, '%Y-%m-%d') AS day, views FROM (
-            SELECT listing_id, date_trunc('day', ts) AS day, count(*) AS views FROM view_hits GROUP BY ALL)
-        WHERE day + to_days(1) <= (SELECT max(ts) - to_days(1) FROM view_hits)""",
+    # Streams: what a drained stream has emitted.
+    "stream_daily_views": "SELECT listing_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS views FROM view_hits GROUP BY ALL",
     "stream_first_scans": """
         SELECT registration_id, scan_id, ts AS checked_in_at FROM (SELECT *, row_number() OVER (PARTITION BY registration_id ORDER BY ts, scan_id) AS n
             FROM judged_scans WHERE verdict = 'success') WHERE n = 1""",
     "stream_activity_counts": "SELECT event_type, count(*) AS events FROM events GROUP BY 1",
     "stream_unread": "SELECT user_id, count(CASE WHEN NOT is_read THEN 1 END) AS unread FROM notifications GROUP BY 1",
-    "stream_publish_notices": """
-        SELECT g.event_id, f.follower_id AS user_id, u.name || ' has published a new event: ' || l.title AS message, g.ts
-        FROM status_log g JOIN listings l ON l.id = g.listing_id JOIN users u ON u.id = l.creator_id JOIN follows f ON f.creator_id = l.creator_id
-        WHERE g.status = 'published'""",
+    "stream_unread_messages": """
+        SELECT p.id AS user_id, count(CASE WHEN NOT m.is_read THEN 1 END) AS unread
+        FROM (SELECT user_id AS id, id AS thread_id FROM threads UNION SELECT creator_id, id FROM threads) p
+        JOIN messages m ON m.thread_id = p.thread_id AND m.sender_id <> p.id GROUP BY 1""",
     "stream_saves": "SELECT user_id, listing_id, count(*) % 2 = 1 AS is_on FROM save_toggles GROUP BY ALL",
-    "stream_follows": "SELECT follower_id, creator_id, count(*) % 2 = 1 AS is_on FROM follow_toggles GROUP BY ALL",
+    "stream_follows": "SELECT follower_id, creator_id, count(*) % 2 = 1 AS is_on FROM follow_toggles WHERE follower_id <> creator_id GROUP BY ALL",
     "stream_lifecycle": f"""
         SELECT id AS listing_id, status AS old_status, CASE status WHEN 'published' THEN 'ended' ELSE 'cancelled' END AS new_status FROM listings
         WHERE (status = 'published' AND date_end < {NOW}) OR (status = 'draft' AND date_start < {NOW})""",
@@ -748,4 +750,8 @@ def _statement(body: str) -> str:
     return f"WITH {views}\n{body}" if views else body
 
 
+# Streams that end up with what a batch report gives.
+for _stream, _batch in {"stream_kpis": "platform_kpis", "stream_publish_notices": "publish_fanout"}.items():
+    BODIES[_stream] = BODIES[_batch]
+
 ORACLE: dict[str, str] = {name: _statement(body) for name, body in BODIES.items()}

@@ -7,6 +7,9 @@ Everything is a plain projection, join or aggregate, so Catalyst prunes and push
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,25 @@ from boxoffice.sources.tables import Tables
 
 # Creator ids start here, beyond any customer key.
 CREATOR_BASE = 1_000_000_000_000_000
+# Message ids: room for so many turns in a conversation.
+TURNS = 1 << 24
+# Conversations start on one of so many ten-day steps, so that no date leaves the calendar.
+START_STEPS = 300
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """How many attendees, creators and listings there are; their keys count from 0. What the activity and chat tables
+    refer to is spread over all of them, so no key's share of the rows stays fixed as the data grows."""
+
+    attendees: int
+    creators: int
+    listings: int
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> Sizes:
+    """Row counts of the three tables, from the file footers."""
+    return Sizes(*(max(1, spark.read.parquet(f"{sf_dir}/{n}.parquet").count()) for n in ("customer", "supplier", "part")))
 
 
 def _day(start: str, days: Column) -> Column:
@@ -45,6 +67,22 @@ def _ticket_code() -> Column:
     return F.concat(F.lit(TICKET_PREFIX), F.concat_ws("-", "l_partkey", "l_orderkey"))
 
 
+def _creator_of(key: Column, n: Sizes) -> Column:
+    return key % n.creators + CREATOR_BASE
+
+
+def _chat_day(turn: Column) -> Column:
+    return _day("2001-01-01 00:00:00", F.col("conv_id") % START_STEPS * 10 + turn)
+
+
+def _chat_attendee(n: Sizes) -> Column:
+    return F.expr("conv_id div 3") % n.attendees
+
+
+def _chat_creator(n: Sizes) -> Column:
+    return _creator_of(F.expr("conv_id div 2"), n)
+
+
 def activity_key(props: Column) -> Column:
     return F.get_json_object(props, "$.k").cast("bigint")
 
@@ -139,9 +177,8 @@ def reviews(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
 def review_forms(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Review submissions as typed into the form: unchecked text."""
-    lines = lineitem.filter(F.col("l_linenumber") == 1)
     quantity = F.col("l_quantity").cast("int")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_partkey").alias("listing_id"), F.col("o_custkey").alias("user_id"),
         F.when(quantity % 11 == 0, "great").when(quantity % 13 == 0, F.lit(None))
         .otherwise((quantity % 8).cast("string")).alias("rating"),
@@ -179,10 +216,10 @@ def save_toggles(events: DataFrame) -> DataFrame:
         "event_id", "user_id", activity_key(F.col("props")).alias("listing_id"), "ts")
 
 
-def follow_toggles(events: DataFrame) -> DataFrame:
+def follow_toggles(events: DataFrame, n: Sizes) -> DataFrame:
     return events.filter(F.col("event_type") == "signup").select(
         "event_id", F.col("user_id").alias("follower_id"),
-        (activity_key(F.col("props")) % 10 + CREATOR_BASE).alias("creator_id"), "ts")
+        _creator_of(F.col("user_id") * 13 + activity_key(F.col("props")), n).alias("creator_id"), "ts")
 
 
 def view_hits(events: DataFrame) -> DataFrame:
@@ -190,10 +227,10 @@ def view_hits(events: DataFrame) -> DataFrame:
         "event_id", activity_key(F.col("props")).alias("listing_id"), "ts")
 
 
-def status_log(events: DataFrame) -> DataFrame:
+def status_log(events: DataFrame, n: Sizes) -> DataFrame:
     turn = F.col("event_id") % 3
     return events.filter(F.col("event_type") == "error").select(
-        "event_id", activity_key(F.col("props")).alias("listing_id"),
+        "event_id", ((F.col("event_id") * 31 + activity_key(F.col("props"))) % n.listings).alias("listing_id"),
         F.when(turn == 0, "published").when(turn == 1, "cancelled").otherwise("draft").alias("status"), "ts")
 
 
@@ -224,18 +261,17 @@ def notifications(events: DataFrame) -> DataFrame:
         F.col("ts").alias("created_at"))
 
 
-def thread_requests(events: DataFrame) -> DataFrame:
-    key = activity_key(F.col("props"))
+def thread_requests(events: DataFrame, n: Sizes) -> DataFrame:
+    key = F.col("user_id") * 13 + activity_key(F.col("props"))
     return events.filter(F.col("event_type") == "purchase").select(
-        F.col("event_id").alias("request_id"), "user_id", (key % 10 + CREATOR_BASE).alias("creator_id"),
-        F.when(F.col("event_id") % 3 > 0, key).alias("listing_id"), "ts")
+        F.col("event_id").alias("request_id"), "user_id", _creator_of(key, n).alias("creator_id"),
+        F.when(F.col("event_id") % 3 > 0, key % n.listings).alias("listing_id"), "ts")
 
 
 def scan_rows(lineitem: DataFrame, listing_frame: DataFrame) -> DataFrame:
     """Door scans: some without a code, at the wrong listing or by the wrong creator, some repeated."""
     base = (
-        lineitem.filter((F.col("l_linenumber") <= 2) | (F.col("l_linenumber") == 7))
-        .select(
+        lineitem.select(
             _registration_id().alias("reg"), _mix().alias("mix"), _ticket_code().alias("code"),
             F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"),
             F.col("l_shipdate").alias("ts"), F.col("l_quantity").alias("quantity"),
@@ -259,38 +295,38 @@ def scans(lineitem: DataFrame, listing_frame: DataFrame) -> DataFrame:
     return scan_rows(lineitem, listing_frame).distinct()
 
 
-def threads(conversations: DataFrame) -> DataFrame:
+def threads(conversations: DataFrame, n: Sizes) -> DataFrame:
     conv = F.col("conv_id")
     return conversations.groupBy("conv_id").agg(F.max("turn").alias("last_turn")).select(
-        conv.alias("id"), (conv % 150).alias("user_id"), (conv % 10 + CREATOR_BASE).alias("creator_id"),
-        F.when(conv % 4 > 0, conv % 200).alias("listing_id"),
-        _day("2001-01-01 00:00:00", conv * 10 + F.col("last_turn")).alias("last_message_at"))
+        conv.alias("id"), _chat_attendee(n).alias("user_id"), _chat_creator(n).alias("creator_id"),
+        F.when(conv % 4 > 0, conv % n.listings).alias("listing_id"), _chat_day(F.col("last_turn")).alias("last_message_at"))
+
 
+def message_id(conversation: Column, turn: Column | int) -> Column:
+    return conversation * TURNS + turn
 
-def messages(conversations: DataFrame) -> DataFrame:
+
+def messages(conversations: DataFrame, n: Sizes) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     return conversations.filter(F.col("role") != "system").select(
-        (conv * 100 + turn).alias("id"), conv.alias("thread_id"),
-        F.when(F.col("role") == "assistant", conv % 10 + CREATOR_BASE).otherwise(conv % 150).alias("sender_id"),
-        F.col("text").alias("message_text"), (turn % 3 != 0).alias("is_read"),
-        _day("2001-01-01 00:00:00", conv * 10 + turn).alias("sent_at"))
+        message_id(conv, turn).alias("id"), conv.alias("thread_id"),
+        F.when(F.col("role") == "assistant", _chat_creator(n)).otherwise(_chat_attendee(n)).alias("sender_id"),
+        F.col("text").alias("message_text"), (turn % 3 != 0).alias("is_read"), _chat_day(turn).alias("sent_at"))
 
 
-def read_log(conversations: DataFrame) -> DataFrame:
+def read_log(conversations: DataFrame, n: Sizes) -> DataFrame:
     """Thread openings: even threads by the attendee, odd ones by the creator, at the second turn."""
     conv = F.col("conv_id")
     return conversations.filter(F.col("turn") == 2).select(
-        conv.alias("thread_id"),
-        F.when(conv % 2 == 0, conv % 150).otherwise(conv % 10 + CREATOR_BASE).alias("reader_id"),
-        _day("2001-01-01 00:00:00", conv * 10 + F.col("turn")).alias("read_at"))
+        conv.alias("thread_id"), F.when(conv % 2 == 0, _chat_attendee(n)).otherwise(_chat_creator(n)).alias("reader_id"),
+        _chat_day(F.col("turn")).alias("read_at"))
 
 
-def delete_log(conversations: DataFrame) -> DataFrame:
+def delete_log(conversations: DataFrame, n: Sizes) -> DataFrame:
     """Deletion requests for the second message of a thread, some by the wrong party."""
     conv = F.col("conv_id")
     return conversations.filter((F.col("turn") == 1) & (conv % 5 < 2)).select(
-        (conv * 100 + 1).alias("message_id"),
-        F.when(conv % 5 == 0, conv % 10 + CREATOR_BASE).otherwise(conv % 150).alias("requester_id"))
+        message_id(conv, 1).alias("message_id"), F.when(conv % 5 == 0, _chat_creator(n)).otherwise(_chat_attendee(n)).alias("requester_id"))
 
 
 def waitlist(registration_frame: DataFrame, user_frame: DataFrame) -> DataFrame:
@@ -326,7 +362,7 @@ def listing_edits(lineitem: DataFrame) -> DataFrame:
     lines = lineitem.groupBy("l_orderkey", "l_partkey").agg(
         F.max("l_shipdate").alias("ts"), F.max("l_quantity").alias("quantity"),
         F.max(_money(F.col("l_extendedprice"))).alias("price"))
-    return lines.filter(order % 4 == 1).select(
+    return lines.select(
         _registration_id().alias("edit_id"), F.col("l_partkey").alias("listing_id"), "ts",
         F.concat(F.lit("edit "), order.cast("string")).alias("title"),
         F.col("quantity").cast("int").alias("capacity"), "price",
@@ -372,15 +408,16 @@ def model_replies(labels: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit('Sure! {"status": "'), word, F.lit('",\n "price": '), doc, F.lit("}\ndone"))).alias("reply"))
 
 
-def search_replies(orders: DataFrame, listing_frame: DataFrame) -> DataFrame:
-    """One free-text reply with search filters per order, about the listing with the same number."""
-    wanted = listing_frame.select(F.col("id").alias("o_orderkey"), "type", "city")
+def search_replies(orders: DataFrame, lineitem: DataFrame, listing_frame: DataFrame) -> DataFrame:
+    """One free-text reply with search filters per order, about the first of the order's listings."""
+    first = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("listing_id"))
+    wanted = listing_frame.select(F.col("id").alias("listing_id"), "type", "city")
     order = F.col("o_orderkey")
-    return orders.select("o_orderkey").join(wanted, "o_orderkey").select(
+    return orders.select("o_orderkey").join(first.join(wanted, "listing_id"), "o_orderkey", "left").select(
         order.alias("request_id"),
         F.when(order % 17 == 0, "nothing to see").otherwise(F.concat(
-            F.lit('Filters: {"type": "'), F.when(order % 3 > 0, F.col("type")).otherwise(""),
-            F.lit('", "city": "'), F.when(order % 2 == 0, F.coalesce(F.col("city"), F.lit(""))).otherwise(""),
+            F.lit('Filters: {"type": "'), F.when(order % 3 > 0, F.coalesce("type", F.lit(""))).otherwise(""),
+            F.lit('", "city": "'), F.when(order % 2 == 0, F.coalesce("city", F.lit(""))).otherwise(""),
             F.lit('", "price_range": "'), F.when(order % 5 == 0, "Free").otherwise("cheap"), F.lit('"}'))).alias("reply"))
 
 
@@ -395,6 +432,7 @@ def from_trade_tables(spark: SparkSession, sf_dir: str) -> Tables:
 
     line, order, event = (lambda: read("lineitem")), (lambda: read("orders")), (lambda: read("events"))
     talk, part = (lambda: read("conversations")), (lambda: read("part"))
+    counted = cache(lambda: sizes(spark, sf_dir))
     makers = {
         "users": lambda: users(read("customer"), read("supplier"), read("nation")),
         "listings": lambda: listings(part(), read("supplier"), read("nation")),
@@ -405,18 +443,18 @@ def from_trade_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "listing_forms": lambda: listing_forms(part()),
         "booking_forms": lambda: booking_forms(line()),
         "save_toggles": lambda: save_toggles(event()),
-        "follow_toggles": lambda: follow_toggles(event()),
+        "follow_toggles": lambda: follow_toggles(event(), counted()),
         "view_hits": lambda: view_hits(event()),
-        "status_log": lambda: status_log(event()),
+        "status_log": lambda: status_log(event(), counted()),
         "ban_log": lambda: ban_log(event()),
         "setting_log": lambda: setting_log(event()),
         "notifications": lambda: notifications(event()),
-        "thread_requests": lambda: thread_requests(event()),
+        "thread_requests": lambda: thread_requests(event(), counted()),
         "scans": lambda: scans(line(), tables.listings),
-        "threads": lambda: threads(talk()),
-        "messages": lambda: messages(talk()),
-        "read_log": lambda: read_log(talk()),
-        "delete_log": lambda: delete_log(talk()),
+        "threads": lambda: threads(talk(), counted()),
+        "messages": lambda: messages(talk(), counted()),
+        "read_log": lambda: read_log(talk(), counted()),
+        "delete_log": lambda: delete_log(talk(), counted()),
         "waitlist": lambda: waitlist(tables.registrations, tables.users),
         "listing_details": lambda: listing_details(part()),
         "registration_answers": lambda: registration_answers(line()),
@@ -424,7 +462,7 @@ def from_trade_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "listing_edit_details": lambda: listing_edit_details(line()),
         "profile_edits": lambda: profile_edits(order(), part()),
         "model_replies": lambda: model_replies(read("labels")),
-        "search_replies": lambda: search_replies(order(), tables.listings),
+        "search_replies": lambda: search_replies(order(), line(), tables.listings),
         "saves": lambda: engagement.save_state(tables.save_toggles),
         "follows": lambda: engagement.follow_state(tables.follow_toggles),
     }

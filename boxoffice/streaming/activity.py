@@ -1,27 +1,32 @@
-"""Streams over the activity, chat, scan and listing files.
+"""Streams over the activity, chat, scan and marketplace files.
 
 Append streams write Parquet directly. Aggregates whose values change (counters, toggles) run in
 update mode; each micro-batch's changed keys are written as a new version of those keys, and readers
-take the latest version. A replayed batch overwrites its own version, so results stay exact.
+take the latest version. A replayed batch overwrites its own version, so results stay exact. Every
+``COMPACT_EVERY`` batches the versions so far are folded into a new base, so readers never meet more.
+
+State is one row per key and has no expiry: every hit, scan and toggle counts however late it comes.
+``CLUSTER_SETTINGS`` keeps that state on disk. Static sides of joins should be stored tables, because
+each micro-batch reads them again.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
-from boxoffice.functions.times import micros
-from boxoffice.operators.engagement import publish_message
+from boxoffice.functions.ratios import money
+from boxoffice.functions.times import days_before, ntz, on_day
+from boxoffice.operators.base import live, successful
 from boxoffice.operators.lifecycle import lifecycle_update
 
-VIEW_DELAY = "1 day"
-
-# Refresh periods of the running service.
-KPI_REFRESH, UNREAD_REFRESH, MESSAGE_REFRESH, SWEEP_PERIOD = "60 seconds", "30 seconds", "5 seconds", "1 hour"
+COMPACT_EVERY = 100
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, *, files_per_trigger: int | None = None) -> DataFrame:
@@ -36,18 +41,6 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, *, files_per
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def daily_views(hits: DataFrame) -> DataFrame:
-    """Views per listing and day; a day is final once the watermark has passed its end.
-
-    Watermarks need instants, so the zone-less time is read as UTC whatever the session's zone.
-    """
-    instant = F.timestamp_micros(micros(F.col("ts")))
-    day = F.date_from_unix_date(F.floor(F.unix_seconds("day.start") / 86400).cast("int"))
-    return hits.select("listing_id", instant.alias("at")).withWatermark("at", VIEW_DELAY).groupBy(
-        F.window("at", "1 day").alias("day"), "listing_id").agg(F.count("*").alias("views")).select(
-        "listing_id", F.date_format(day, "yyyy-MM-dd").alias("day"), "views")
-
-
 def valid_scans(scans: DataFrame, listings: DataFrame, registrations: DataFrame) -> DataFrame:
     """Scans by the owner of the right listing for a confirmed ticket, against static tables."""
     owners = listings.select(F.col("id").alias("listing_id"), F.col("creator_id").alias("scanner_id"))
@@ -75,40 +68,83 @@ def toggle_state(toggles: DataFrame, pair: list[str]) -> DataFrame:
     return toggles.groupBy(*pair).agg((F.count("*") % 2 == 1).alias("is_on"))
 
 
-def publish_notices(status_log: DataFrame, listings: DataFrame, users: DataFrame, follows: DataFrame) -> DataFrame:
-    """A notification to every present follower as listings are published."""
-    names = users.select(F.col("id").alias("creator_id"), "name")
-    shows = listings.select(F.col("id").alias("listing_id"), "creator_id", "title").join(names, "creator_id")
-    return status_log.filter(F.col("status") == "published").join(shows, "listing_id").join(
-        follows.select("creator_id", F.col("follower_id").alias("user_id")), "creator_id").select(
-        "event_id", "user_id", publish_message(F.col("name"), F.col("title")).alias("message"), "ts")
+def unread_messages(messages: DataFrame, threads: DataFrame) -> DataFrame:
+    """Unread messages per recipient; ``threads`` is a stored table."""
+    sides = threads.select(F.col("id").alias("thread_id"), F.explode(F.array("user_id", "creator_id")).alias("viewer_id"))
+    received = messages.select("thread_id", "sender_id", "is_read").join(sides, "thread_id").filter(F.col("sender_id") != F.col("viewer_id"))
+    return received.groupBy(F.col("viewer_id").alias("user_id")).agg(F.count_if(~F.col("is_read")).alias("unread"))
+
+
+KPIS = ("total_users", "total_creators", "total_listings", "total_registrations", "total_revenue", "listings_today", "new_users_this_week")
+
 
+def kpi_totals(users: DataFrame, listings: DataFrame, registrations: DataFrame, payments: DataFrame, *, as_of: datetime) -> DataFrame:
+    """Running total of each headline number over four streams of new rows; the state is seven rows."""
+    attendee, published = F.col("role") == "user", F.col("status") == "published"
+    rules = (
+        (users, "total_users", attendee), (users, "total_creators", F.col("role") == "creator"),
+        (users, "new_users_this_week", attendee & (F.col("created_at") >= ntz(days_before(as_of, 7)))),
+        (listings, "total_listings", published), (listings, "listings_today", published & on_day(F.col("date_start"), as_of)),
+        (live(registrations), "total_registrations", F.lit(True)), (successful(payments), "total_revenue", F.lit(True)))
+    by_table: dict[int, tuple[DataFrame, list]] = {}
+    for table, name, rule in rules:
+        amount = F.col("amount") if name == "total_revenue" else F.lit(1)
+        by_table.setdefault(id(table), (table, []))[1].append(F.when(rule, F.struct(F.lit(name).alias("kpi"), amount.cast("decimal(30,2)").alias("amount"))))
+    parts = [table.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.*") for table, found in by_table.values()]
+    return reduce(DataFrame.unionByName, parts).groupBy("kpi").agg(F.sum("amount").alias("amount"))
 
-def lifecycle_changes(listings: DataFrame, *, as_of: datetime) -> DataFrame:
-    return lifecycle_update(listings, as_of=as_of)
+
+def kpi_row(totals: DataFrame) -> DataFrame:
+    """The latest totals as one row, like the batch report."""
+    value = lambda name: F.coalesce(F.max(F.when(F.col("kpi") == name, F.col("amount"))), F.lit(0))
+    return totals.agg(*[(money(value(n)) if n == "total_revenue" else value(n).cast("bigint")).alias(n) for n in KPIS])
+
+
+def lifecycle_sweep(ticks: DataFrame, stored: Callable[[], DataFrame], path: str, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
+    """At each tick, judge all stored listings as of the tick; what changes is a new version.
+
+    ``ticks`` has one column, tick: for example the timestamps of a rate source with a period of an hour.
+    """
+    def sweep(batch: DataFrame, number: int) -> None:
+        as_of = batch.agg(F.max("tick")).first()[0]
+        if as_of is not None:
+            lifecycle_update(stored(), as_of=as_of).write.mode("overwrite").parquet(f"{path}/base=0/version={number}")
+
+    return _start(ticks.writeStream.foreachBatch(sweep).option("checkpointLocation", checkpoint), every).start()
+
+
+def _start(writer, every: str | None):
+    return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
 def append_stream(frame: DataFrame, path: str, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
     """Start an append query into Parquet; without a period it drains what is there and stops."""
     writer = frame.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start(path)
+    return _start(writer, every).start(path)
 
 
-def version_stream(frame: DataFrame, path: str, checkpoint: str, *, every: str | None = None) -> StreamingQuery:
+def version_stream(frame: DataFrame, path: str, checkpoint: str, keys: list[str], *, every: str | None = None,
+                   compact_every: int = COMPACT_EVERY) -> StreamingQuery:
     """Start an update query that writes the changed keys of each micro-batch as a new version."""
+    schema = frame.schema
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+        base = number - number % compact_every
+        if number and number == base:
+            earlier = latest_versions(batch.sparkSession, path, schema, keys, base=base - compact_every)
+            batch = earlier.join(batch.select(*keys), keys, "left_anti").select(*batch.columns).unionByName(batch)
+        batch.write.mode("overwrite").parquet(f"{path}/base={base}/version={number}")
 
     writer = frame.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
-    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
-    return writer.start()
+    return _start(writer, every).start()
 
 
-def latest_versions(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
-    """The newest version of each key."""
-    versioned = StructType([*schema.fields, StructField("version", LongType())])
+def latest_versions(spark: SparkSession, path: str, schema: StructType, keys: list[str], *, base: int | None = None) -> DataFrame:
+    """The newest version of each key, from the newest base unless another is named."""
+    versioned = StructType([*schema.fields, StructField("base", LongType()), StructField("version", LongType())])
     rows = spark.read.schema(versioned).option("basePath", path).parquet(path)
-    values = [c for c in rows.columns if c not in [*keys, "version"]]
+    base = rows.agg(F.max("base")).first()[0] if base is None else base
+    rows = rows.filter(F.col("base") == F.lit(base)) if base is not None else rows
+    values = [f.name for f in schema.fields if f.name not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("v"))
     return newest.select(*keys, "v.*")

@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from boxoffice.plans.catalog import QUERIES
+from boxoffice.plans.oracle import ORACLE
 from tests.conftest import SF
 
 NAMES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
@@ -27,13 +29,14 @@ def _plain(value):
 
 
 def test_every_query_has_a_statement():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLE.keys()
+    assert QUERIES.items() <= registry.queries().items() and ORACLE.items() <= registry.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_statement(spark, duck, name):
-    df = registry.queries()[name](spark, SF)
-    want = duck.execute(registry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    want = duck.execute(ORACLE[name])
     kinds = {c[0]: str(c[1]) for c in want.description}
     assert {f.name: TYPES[f.dataType.simpleString()] for f in df.schema} == kinds
     order = [c[0] for c in want.description]
