@@ -25,14 +25,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxoffice.llm.decontam import split_words
-from boxoffice.llm.text import ALNUM, fresh, id_crc, lower_az
+from boxoffice.llm.text import ALNUM, fresh, id_crc, lower_az, slices
 from boxoffice.session import materialize
 
 SAMPLE_DOCS = 1000
 ROUNDS = 4
 SMOOTHING = 0.05  # added to each piece's expected count
 LONG = 48  # bytes; longer words are computed one at a time
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 WORD_START = b" "  # stands for the vocabulary's mark of a word start
 MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, learnable: Column, model_path: str | None = None) -
         pieces = Pieces(vocabulary(model_path))
         known: dict[bytes, int] = {}
         logs = np.zeros((0, len(langs)))
-        for batch in batches:
+        for batch in slices(batches):
             texts = [split_words(t) if ok else [] for t, ok in zip(batch.column("text").to_pylist(), batch.column(letter).to_pylist())]
             if len(known) > CACHE_WORDS:
                 known, logs = {}, logs[:0]

@@ -113,3 +113,10 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def slices(batches, rows: int = 256):
+    """The record batches in pieces, so that a task holds the words of few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

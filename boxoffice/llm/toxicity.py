@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxoffice.llm.decontam import split_words
-from boxoffice.llm.text import id_crc
+from boxoffice.llm.text import id_crc, slices
 from boxoffice.session import materialize
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
@@ -143,7 +143,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> tu
 def mine_voters(sample: DataFrame) -> list[bytes]:
     """The ``VOTERS`` features with the strongest association among those that pass the least counts."""
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             counts: dict[bytes, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
                 for f in features(text):
