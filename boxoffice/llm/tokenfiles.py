@@ -9,8 +9,10 @@ block of 256 ids its minimum, bit width, number of exceptions and start in the p
 minus the minimum, packed at the width that covers a percentile of them, and then the positions and values of the
 exceptions that do not fit. Of ``PERCENTILES`` each block takes the one that makes it smallest.
 
-Encoding looks up each piece that the tokenizer's own splitting would give; only new pieces are passed to the tokenizer.
-Texts of other than plain or Latin characters go by white-space words, texts that hold a special token's mark as a whole.
+Texts of plain and Latin letters are split into the tokenizer's own pieces on their byte arrays; pieces are known by
+64-bit fingerprints, and only new ones are passed to the tokenizer's model (with the at most ``CACHE_PIECES`` pieces known
+at a time, two of them share a fingerprint with a chance below 1e-7). Texts with contractions are split by a regular
+expression, others by white-space words, and texts that hold a special token's mark are encoded as a whole.
 
 Defined results: null and empty texts have the end id alone; null ids come first; rows with equal ids are in order of their
 text's hash; no rows give no files; other columns are ignored.
@@ -23,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,20 +35,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxoffice.llm.text import IS_WHITE, word_hashes
 from boxoffice.session import materialize, new_folder
 
 END_ID = 2
 BLOCK = 256
 FILE_IDS = 4_000_000
 PERCENTILES = (0.80, 0.90, 0.96, 1.0)
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 MAGIC = b"PFORIDS1"
 HEADER = struct.Struct("<8sQQQ")
 
 LATIN = "a-zß-öø-ÿ"
 PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
+CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)", re.IGNORECASE)
 PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN}]+|[0-9]|[^\s0-9{LATIN}]+")
 
+# Bytes of plain and Latin text (UTF-8): classes, and A-Z and À-Þ made lower case.
+_WHITE, _LETTER, _DIGIT, _OTHER = range(4)
+_byte = np.arange(256)
+CLASS = np.where(IS_WHITE, _WHITE, np.where((_byte >= 0x80) | ((_byte | 32) >= 97) & ((_byte | 32) <= 122) & (_byte >= 65), _LETTER,
+                 np.where((_byte >= 48) & (_byte <= 57), _DIGIT, _OTHER))).astype(np.uint8)
+LOWER = np.where((_byte >= 65) & (_byte <= 90) | (_byte >= 0x80) & (_byte <= 0x9E), _byte + 32, _byte).astype(np.uint8)
+NOT_IN_PIECE = CLASS == _WHITE
+# The characters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others above them.
+_printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+BYTE_LEVEL = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _printable)}
+
 
 class Encoder:
     """Token ids of many texts, each followed by the end id."""
@@ -59,37 +75,82 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict = {None: 0}
-        self.ids, self.first, self.length = np.array([END_ID], np.uint32), np.array([0]), np.array([1])
-
-    def pieces(self, text: str) -> list:
-        if self.marks.search(text):
-            return [text]
-        if PLAIN.fullmatch(text):
-            return PIECE.findall(text.lower())
-        return [w.decode() for w in text.encode().split()]
+        self.known: dict = {}
+        self.ids, self.first, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, keys: list, pieces: list[list[int]]) -> None:
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.first = np.append(self.first, len(self.ids) + np.cumsum(length) - length)
+        self.length = np.append(self.length, length)
+        self.ids = np.append(self.ids, np.fromiter(chain.from_iterable(pieces), np.uint32, int(length.sum())))
+        self.known.update(zip(keys, range(len(self.known), len(self.known) + len(keys))))
+
+    def gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known pieces in a row, and where each piece ends in them."""
+        length = self.length[codes]
+        ends = np.cumsum(length)
+        return self.ids[np.arange(int(length.sum())) + np.repeat(self.first[codes] - ends + length, length)], ends
+
+    def split(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts of plain and Latin letters without contractions."""
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
+        kind = CLASS[data]
+        first = np.ones(len(kind), bool)
+        first[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        offsets = np.cumsum(sizes) - sizes
+        first[offsets[sizes > 0]] = True
+        starts = np.flatnonzero(first)
+        inside = kind[starts] != _WHITE
+        hashes = word_hashes(data, starts, NOT_IN_PIECE)[inside]
+        ends = np.append(starts[1:], len(data))[inside]
+        starts = starts[inside]
+        keys, where, index = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = keys.tolist()
+        fresh = [i for i, k in enumerate(keys) if k not in self.known]
+        whole, tokenize = data.tobytes(), self.tokenizer.model.tokenize
+        spans = zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist())
+        self.learn([keys[i] for i in fresh], [[t.id for t in tokenize(whole[a:b].decode("latin-1").translate(BYTE_LEVEL))] for a, b in spans])
+        codes = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[index]
+        ids, piece_ends = self.gather(codes)
+        last = np.searchsorted(starts, offsets + sizes)  # pieces up to the end of each text
+        return np.split(ids, np.append(0, piece_ends)[last[:-1]])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids per text."""
         if len(self.known) > CACHE_PIECES:
             self.clear()
-        split = [self.pieces(t or "") for t in texts]
-        known = self.known
-        new = list({p for pieces in split for p in pieces if p not in known})
-        if new:
-            got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            length = np.fromiter(map(len, got), np.int64, len(got))
-            self.first = np.append(self.first, len(self.ids) + np.cumsum(length) - length)
-            self.length = np.append(self.length, length)
-            self.ids = np.append(self.ids, np.array([i for ids in got for i in ids], np.uint32))
-            for p in new:
-                known[p] = len(known)
-        codes = np.fromiter((known[p] for pieces in split for p in (*pieces, None)), np.int64)
-        length = self.length[codes]
-        ends = np.cumsum(length)
-        ids = self.ids[np.arange(ends[-1]) + np.repeat(self.first[codes] - ends + length, length)]
-        last = np.cumsum([len(p) + 1 for p in split]) - 1
-        return ids, np.diff(ends[last], prepend=0)
+        out: list = [None] * len(texts)
+        plain, words = [], []
+        for i, text in enumerate(texts):
+            text = text or ""
+            if self.marks.search(text):
+                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            elif not PLAIN.fullmatch(text):
+                words.append((i, [w.decode() for w in text.encode().split()]))
+            elif CONTRACTION.search(text):
+                words.append((i, PIECE.findall(text.lower())))
+            else:
+                plain.append(i)
+        new = list({p for _, pieces in words for p in pieces if p not in self.known})
+        self.learn(new, [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)])
+        for i, pieces in words:
+            out[i], _ = self.gather(np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces)))
+        for i, ids in zip(plain, self.split([texts[i] or "" for i in plain]) if plain else ()):
+            out[i] = ids
+        end = np.array([END_ID], np.uint32)
+        return np.concatenate([x for ids in out for x in (ids, end)]), np.fromiter(map(len, out), np.int64, len(out)) + 1
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """One encoder per Python worker: later tasks go on with the pieces of earlier ones."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _to_bits(values: np.ndarray, width: int) -> np.ndarray:
@@ -192,7 +253,7 @@ def _write(folder: str, name: str, content: bytes) -> None:
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes every row of ``docs`` (doc_id, text) into files in ``folder``; the manifest: name, ids, first_id."""
     def encode(batches):
-        encoder, number = Encoder(tokenizer), 0
+        encoder, number = encoder_of(tokenizer), 0
         partition = TaskContext.get().partitionId()
         held, held_docs, held_counts, size = [], [], [], 0
 
