@@ -29,7 +29,8 @@ from boxoffice.llm.text import id_crc, slices
 from boxoffice.session import materialize
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
-VOTERS = 1500
+VOTERS = 800
+CORRELATE_EVERY = 5  # rounds of the label model
 LEAST_TOXIC = 3  # sample documents in which a voter fires
 LEAST_LIFT = 4.0  # how much more often in toxic than in clean ones
 PREFIXES = (3, 4, 5, 6)  # bytes
@@ -77,25 +78,27 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def _correlation(votes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """For each voter, the sum of its positive correlations with all voters, itself included, in one weighted class."""
+    total = w.sum() + 1e-9
+    centred = ((votes - (w @ votes) / total) * np.sqrt(w / total)[:, None]).astype(np.float32)
+    spread = np.sqrt((centred ** 2).sum(0)) + 1e-9
+    return np.clip((centred.T @ centred) / spread / spread[:, None], 0, 1).sum(0)
+
+
 def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 15) -> np.ndarray:
     """Posterior probability of the class "toxic" for rows of votes (rows by voters, 0/1) with a given 0/1 label.
 
     Each voter fires independently given the class, but for its share: 1 / (1 + the sum of its positive correlations
-    with other voters within the classes).
+    with other voters within the classes), estimated anew every few rounds.
     """
     given = np.column_stack([votes, label]).astype(np.float64)
     posterior = np.where(label == 1, 0.9, 0.1)
-    for _ in range(rounds):
-        rates, together = [], 0
-        for side in (posterior, 1 - posterior):
-            w = weight * side
-            total = w.sum() + 1e-9
-            rates.append((w @ given + 0.5) / (total + 1))
-            centred = (votes - (w @ votes) / total) * np.sqrt(w / total)[:, None]
-            spread = np.sqrt((centred ** 2).sum(0)) + 1e-9
-            together = together + total * np.clip((centred.T @ centred) / spread / spread[:, None], 0, 1)
-        correlation = together / weight.sum()
-        share = np.append(1 / np.maximum(1, correlation.sum(0)), 1.0)
+    for turn in range(rounds):
+        sides = [weight * side for side in (posterior, 1 - posterior)]
+        rates = [(w @ given + 0.5) / (w.sum() + 1) for w in sides]
+        if turn % CORRELATE_EVERY == 0:
+            share = np.append(1 / np.maximum(1, sum(w.sum() * _correlation(votes, w) for w in sides) / weight.sum()), 1.0)
         fire = np.log(rates[0] / rates[1]) * share
         rest = np.log((1 - rates[0]) / (1 - rates[1])) * share
         prior = np.clip((weight @ posterior) / weight.sum(), 1e-6, 1 - 1e-6)
@@ -172,13 +175,15 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[list[b
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "fired": pa.array([votes.of(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int32()))})
 
-    rows = sample.mapInArrow(fired, "toxic int, fired array<int>").collect()  # bounded by the sample
-    votes = np.zeros((len(rows), len(voters)), np.float32)
+    # texts in which the same voters fire are one row; most clean ones have none
+    patterns = sample.mapInArrow(fired, "toxic int, fired array<int>").groupBy("toxic", "fired").agg(F.count("*").alias("n"))
+    rows = patterns.collect()  # bounded by the sample
+    votes = np.zeros((len(rows), len(voters)))
     for i, r in enumerate(rows):
         votes[i, r["fired"]] = 1
-    label = np.array([r["toxic"] for r in rows])
-    weight = np.where(label == 1, totals[1] / max(1, (label == 1).sum()), totals[0] / max(1, (label == 0).sum()))
-    weight = weight / weight.mean()
+    label, n = np.array([r["toxic"] for r in rows]), np.array([r["n"] for r in rows])
+    weight = n * np.where(label == 1, totals[1] / max(1, n[label == 1].sum()), totals[0] / max(1, n[label == 0].sum()))
+    weight = weight * n.sum() / weight.sum()
     posterior = label_model(votes, label, weight)
     return voters, linear_classifier(votes, posterior, weight)
 
