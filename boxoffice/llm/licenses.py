@@ -13,7 +13,7 @@ license; known texts with the same form give the smallest id; repeated rows get
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Equivalent spellings in license texts, each written the first way (words of the canonical form).
@@ -103,28 +103,29 @@ COPYRIGHT_LINES = (r"(?im)^[ \t/*#;%.-]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|
                    r"|all rights reserved[^\p{L}\p{N}\n]*)$")
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form; null texts give an empty one."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINES, " ")
-    words = F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
-    # only the few texts that hold one of the other spellings go through the replacements
-    other = F.regexp_extract(words, r"\b(?:" + "|".join(o for _, o in SPELLINGS) + r")\b", 0)
-    replaced = words
-    for spelling, variant in SPELLINGS:
-        replaced = F.regexp_replace(replaced, rf"\b{variant}\b", spelling)
-    return F.when(other == "", words).otherwise(replaced)
+VARIANT = r"\b(?:" + "|".join(v for _, v in SPELLINGS) + r")\b"
+
 
+def with_digest(frame: DataFrame, column: str) -> DataFrame:
+    """``frame`` with digest: of the canonical form of ``column``, null if that is empty.
 
-def digest(text: Column) -> Column:
-    """Digest of the canonical form, null if that is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+    In steps of their own, so that no form is computed twice; only texts that hold another spelling go through the
+    replacements.
+    """
+    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), COPYRIGHT_LINES, " ")
+    steps = frame.withColumn("_words", F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " ")))
+    steps = steps.withColumn("_varied", F.col("_words").rlike(VARIANT))
+    replaced = F.col("_words")
+    for spelling, variant in SPELLINGS:
+        replaced = F.regexp_replace(replaced, rf"\b{variant}\b", spelling)
+    steps = steps.withColumn("_form", F.when(F.col("_varied"), replaced).otherwise(F.col("_words")))
+    return steps.withColumn("digest", F.when(F.col("_form") != "", F.sha2("_form", 256))).drop("_words", "_varied", "_form")
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """digest, license_id: one row per canonical form."""
     known = known if known is not None else spark.createDataFrame(list(KNOWN), "license_id string, text string")
-    return known.select(digest(F.col("text")).alias("digest"), "license_id").filter("digest is not null").groupBy("digest").agg(
+    return with_digest(known.select("license_id", "text"), "text").filter("digest is not null").groupBy("digest").agg(
         F.min("license_id").alias("license_id"))
 
 
@@ -132,7 +133,8 @@ def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the entire text) and notices (sorted license ids of single lines) of every row."""
     table = known_digests(docs.sparkSession, known)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    lines = keyed.select("row_key", F.explode(F.split("text", "\n")).alias("line")).select("row_key", digest(F.col("line")).alias("digest"))
+    lines = with_digest(keyed.select("row_key", F.explode(F.split("text", "\n")).alias("line")), "line")
     found = lines.join(table, "digest").groupBy("row_key").agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
-    return (keyed.select("doc_id", "row_key", digest(F.col("text")).alias("digest")).join(table, "digest", "left").join(found, "row_key", "left")
-            .select("doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices")))
+    whole = with_digest(keyed, "text").select("doc_id", "row_key", "digest")
+    return whole.join(table, "digest", "left").join(found, "row_key", "left").select(
+        "doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
