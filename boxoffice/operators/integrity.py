@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxoffice.functions.text import folded
 from boxoffice.operators.base import zero_filled
 from boxoffice.schema import LISTING_STATUSES, LISTING_TYPES, PAYMENT_STATUSES, REGISTRATION_STATUSES, ROLES
+from boxoffice.session import materialize
 from boxoffice.sources.tables import Tables
 
 
@@ -19,23 +21,45 @@ UNIQUE_KEYS = {
     "saves pair unique": ("saves", ["user_id", "listing_id"]),
     "follows pair unique": ("follows", ["follower_id", "creator_id"]),
 }
-# Per referring table: referring column and the table it points to.
+# Per referring table: referring column and the table it points to. A deleted parent takes its rows along, but for
+# SET_NULL, where only the reference goes.
 REFERENCES = {
     "listings": {"creator_id": "users"},
+    "listing_details": {"listing_id": "listings"},
     "registrations": {"user_id": "users", "listing_id": "listings"},
+    "registration_answers": {"registration_id": "registrations"},
     "payments": {"registration_id": "registrations"},
-    "threads": {"listing_id": "listings"},
-    "messages": {"thread_id": "threads"},
+    "listing_views": {"listing_id": "listings"},
+    "reply_log": {"user_id": "users"},
+    "waitlist": {"listing_id": "listings"},
+    "threads": {"user_id": "users", "creator_id": "users", "listing_id": "listings"},
+    "messages": {"thread_id": "threads", "sender_id": "users"},
+    "reviews": {"listing_id": "listings", "user_id": "users"},
+    "saves": {"user_id": "users", "listing_id": "listings"},
+    "follows": {"follower_id": "users", "creator_id": "users"},
+    "notifications": {"user_id": "users"},
+}
+SET_NULL = {("threads", "listing_id")}
+REQUIRED = {
+    "users": ("name", "email"), "listings": ("creator_id", "title", "type", "date_start"), "listing_details": ("listing_id", "field_key"),
+    "registrations": ("user_id", "listing_id", "ticket_code"), "registration_answers": ("registration_id", "question_key"),
+    "payments": ("registration_id", "amount"), "threads": ("user_id", "creator_id"), "messages": ("thread_id", "sender_id", "message_text"),
+    "reviews": ("listing_id", "user_id", "rating"), "saves": ("user_id", "listing_id"), "follows": ("follower_id", "creator_id"),
+    "notifications": ("user_id", "message"),
 }
 
 
 def _repeated_keys(t: Tables) -> DataFrame:
-    """One row for each key value that occurs more than once; keys ignore case."""
+    """One row for each key value that occurs more than once. Text compares as the database does, without regard to case,
+    accents and trailing spaces; a key with a NULL part never repeats."""
     rules = list(UNIQUE_KEYS)
     parts = []
     for number, (table, keys) in enumerate(UNIQUE_KEYS.values()):
-        parts.append(getattr(t, table).select(F.lit(number).alias("number"), F.lower(F.concat_ws("|", *keys)).alias("key")))
-    counts = reduce(DataFrame.unionByName, parts).groupBy("number", "key").agg(F.count("*").alias("n"))
+        # ids joined by a bar stay apart; of text there is one column
+        key = reduce(lambda a, b: F.concat(a, F.lit("|"), b), [F.col(k).cast("string") for k in keys])
+        parts.append(getattr(t, table).select(F.lit(number).alias("number"), key.alias("key")))
+    filled = reduce(DataFrame.unionByName, parts).filter(F.col("key").isNotNull())
+    counts = filled.groupBy("number", folded(F.col("key")).alias("key")).agg(F.count("*").alias("n"))
     return counts.filter(F.col("n") > 1).select(_named(rules).alias("rule"), F.lit(1).cast("bigint").alias("violations"))
 
 
@@ -77,19 +101,16 @@ def _broken_rows(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def _row_rules(types: Sequence[tuple[str, str]]) -> dict[str, dict[str, Column]]:
-    return {
-        "users": {
-            "users.role domain": ~F.col("role").isin(*ROLES), "users.name required": F.col("name").isNull(),
-            "users.name length": F.length("name") > 100},
+    domains = {
+        "users": {"users.role domain": ~F.col("role").isin(*ROLES), "users.name length": F.length("name") > 100},
         "listings": {
             "listings.status domain": ~F.col("status").isin(*LISTING_STATUSES),
-            "listings.type domain": ~F.col("type").isin(*[k for k, _ in types]),
-            "listings.title required": F.col("title").isNull(), "listings.date_start required": F.col("date_start").isNull()},
+            "listings.type domain": ~F.col("type").isin(*[k for k, _ in types])},
         "registrations": {"registrations.status domain": ~F.col("status").isin(*REGISTRATION_STATUSES)},
-        "payments": {
-            "payments.status domain": ~F.col("status").isin(*PAYMENT_STATUSES), "payments.amount required": F.col("amount").isNull()},
+        "payments": {"payments.status domain": ~F.col("status").isin(*PAYMENT_STATUSES)},
         "reviews": {"reviews.rating range": ~F.col("rating").between(1, 5)},
     }
+    return {table: domains.get(table, {}) | {f"{table}.{c} required": F.col(c).isNull() for c in columns} for table, columns in REQUIRED.items()}
 
 
 def integrity_audit(t: Tables, *, types: Sequence[tuple[str, str]] = LISTING_TYPES) -> DataFrame:
@@ -102,31 +123,38 @@ def integrity_audit(t: Tables, *, types: Sequence[tuple[str, str]] = LISTING_TYP
     return zero_filled(reduce(DataFrame.unionByName, found), axis, ["rule"], ["violations"])
 
 
-def cascade_prune(t: Tables, gone_users: DataFrame) -> dict[str, DataFrame]:
-    """What is left after users (column id) are deleted: their listings, registrations, threads and
-    everything below go too; a thread whose listing went keeps its rows without the listing."""
-    gone = gone_users.select("id").distinct()
-
-    def without(frame: DataFrame, key: str, lost: DataFrame) -> DataFrame:
-        return frame.join(lost.select(F.col("id").alias(key)), key, "left_anti")
-
-    users = without(t.users, "id", gone)
-    lost_listings = t.listings.join(gone.select(F.col("id").alias("creator_id")), "creator_id", "left_semi").select("id")
-    listings = without(t.listings, "creator_id", gone)
-    registrations = without(without(t.registrations, "user_id", gone), "listing_id", lost_listings)
-    kept_ids = registrations.select(F.col("id").alias("registration_id"))
-    payments = t.payments.join(kept_ids, "registration_id", "left_semi")
-    answers = t.registration_answers.join(kept_ids, "registration_id", "left_semi")
-    threads = without(without(t.threads, "user_id", gone), "creator_id", gone)
-    lost_flag = lost_listings.select(F.col("id").alias("listing_id"), F.lit(True).alias("lost"))
-    messages = t.messages.join(threads.select(F.col("id").alias("thread_id")), "thread_id", "left_semi")
-    threads = threads.join(lost_flag, "listing_id", "left").withColumn(
-        "listing_id", F.when(F.col("lost").isNull(), F.col("listing_id"))).drop("lost")
-    return {
-        "users": users, "listings": listings, "registrations": registrations, "payments": payments,
-        "registration_answers": answers, "threads": threads, "messages": messages,
-        "reviews": without(without(t.reviews, "user_id", gone), "listing_id", lost_listings),
-    }
+def cascade_prune(t: Tables, gone_users: DataFrame, *, only: str | None = None) -> dict[str, DataFrame]:
+    """What is left of every table, or of one, after users (column id) are deleted, following REFERENCES downwards.
+
+    The ids lost per parent are stored once and read for every child. Runs jobs.
+    """
+    wanted = set(REFERENCES) if only is None else _with_parents(only)
+    lost = {"users": materialize(gone_users.select("id").distinct(), "gone-users")}
+    left = {"users": t.users.join(lost["users"], "id", "left_anti")}
+    for table, columns in REFERENCES.items():
+        if table not in wanted:
+            continue
+        rows = getattr(t, table)
+        hits = []
+        for column, parent in columns.items():
+            ids = lost[parent].select(F.col("id").alias(column))
+            if (table, column) in SET_NULL:
+                marked = rows.join(ids.withColumn("_lost", F.lit(True)), column, "left")
+                rows = marked.withColumn(column, F.when(F.col("_lost").isNull(), F.col(column))).select(*rows.columns)
+            else:
+                hits.append(ids)
+        if table in _PARENTS and (only is None or table != only):
+            doomed = [rows.join(ids, ids.columns, "left_semi").select("id") for ids in hits]
+            lost[table] = materialize(reduce(DataFrame.unionByName, doomed).distinct(), f"gone-{table}")
+        left[table] = reduce(lambda kept, ids: kept.join(ids, ids.columns, "left_anti"), hits, rows).select(*rows.columns)
+    return left
+
+
+def _with_parents(table: str) -> set[str]:
+    return {table}.union(*(_with_parents(p) for p in REFERENCES.get(table, {}).values()))
+
+
+_PARENTS = {parent for columns in REFERENCES.values() for parent in columns.values()}
 
 
 def prune_counts(t: Tables, gone_users: DataFrame) -> DataFrame:

@@ -53,16 +53,24 @@ def ban_state(t: Tables, log: DataFrame) -> DataFrame:
         "user_id", (base != flipped).alias("is_banned"))
 
 
+EDITED = ("title", "type", "description", "date_start", "date_end", "venue", "city", "capacity", "price")
+
+
 def listing_latest(t: Tables, edits: DataFrame) -> DataFrame:
-    """Listings after their edits: the last edit's fields; a missing banner keeps the one before."""
+    """Listings after their edits: all fields of the last edit, also where it empties them; a missing banner keeps the
+    one before."""
     moment = F.struct("ts", "edit_id")
     last = edits.groupBy("listing_id").agg(
-        F.max_by(F.struct("title", "capacity", "price", "edit_id"), moment).alias("e"),
+        F.max_by(F.struct(*EDITED, "edit_id"), moment).alias("e"),
         F.max_by("banner", F.when(F.col("banner").isNotNull(), moment)).alias("banner"))
-    return t.listings.select(F.col("id").alias("listing_id"), "title", "capacity", "price").join(last, "listing_id", "left").select(
-        "listing_id", F.coalesce("e.title", "title").alias("title"),
-        F.coalesce("e.capacity", "capacity").cast("bigint").alias("capacity"),
-        F.coalesce("e.price", "price").cast("double").alias("price"), "banner", F.col("e.edit_id").alias("edit_id"))
+    rows = t.listings.select(F.col("id").alias("listing_id"), *EDITED).join(last, "listing_id", "left")
+    types = {"capacity": "bigint", "price": "double"}
+
+    def value(name: str) -> Column:
+        edited = F.when(F.col("e").isNotNull(), F.col(f"e.{name}")).otherwise(F.col(name))
+        return (edited.cast(types[name]) if name in types else edited).alias(name)
+
+    return rows.select("listing_id", *map(value, EDITED), "banner", F.col("e.edit_id").alias("edit_id"))
 
 
 def details_latest(t: Tables, edits: DataFrame, edit_details: DataFrame) -> DataFrame:
@@ -75,11 +83,11 @@ def details_latest(t: Tables, edits: DataFrame, edit_details: DataFrame) -> Data
 
 
 def profile_latest(t: Tables, edits: DataFrame) -> DataFrame:
-    """Profiles after their edits. Creators set organization and interests, attendees city and
+    """Profiles after their edits. Creators set organization, website and interests, attendees city and
     interests; a missing avatar keeps the one before."""
     moment = F.struct("ts", "edit_id")
     last = edits.groupBy("user_id").agg(
-        F.max_by(F.struct("name", "phone", "bio", "organization_name", "city", "preferences"), moment).alias("e"),
+        F.max_by(F.struct("name", "phone", "bio", "organization_name", "website_url", "city", "preferences"), moment).alias("e"),
         F.max_by("avatar", F.when(F.col("avatar").isNotNull(), moment)).alias("avatar"))
     people = t.users.select(F.col("id").alias("user_id"), "role", "name", "city", "preferences", "organization_name")
     edited = F.col("e").isNotNull()
@@ -87,6 +95,7 @@ def profile_latest(t: Tables, edits: DataFrame) -> DataFrame:
         "user_id", F.when(edited, F.trim("e.name")).otherwise(F.col("name")).alias("name"), F.trim("e.phone").alias("phone"),
         F.trim("e.bio").alias("bio"),
         F.when(edited & (F.col("role") == "creator"), F.trim("e.organization_name")).otherwise(F.col("organization_name")).alias("organization_name"),
+        F.when(edited & (F.col("role") == "creator"), F.trim("e.website_url")).alias("website_url"),
         F.when(edited & (F.col("role") == "user"), F.trim("e.city")).otherwise(F.col("city")).alias("city"),
         F.when(edited & F.col("role").isin("creator", "user"), F.col("e.preferences")).otherwise(F.col("preferences")).alias("preferences"),
         "avatar")

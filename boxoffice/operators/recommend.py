@@ -14,7 +14,7 @@ from boxoffice.session import materialize
 from boxoffice.sources.tables import Tables
 
 NEWEST, SHUFFLED, OF_TYPE = "newest", "shuffled", "type:"
-# Positions up to this one are looked up in a broadcast head of each list.
+# Positions up to this one are looked up in a table of list heads.
 HEAD = 500
 
 
@@ -42,37 +42,34 @@ def _wanted_lists(t: Tables, lists: DataFrame, ids: Ids) -> DataFrame:
         F.array(F.concat(F.lit(OF_TYPE), "top_type"), F.lit(SHUFFLED)))
     # One row per list: the enumerated listing types plus two.
     ends = lists.groupBy("list").agg((F.count("*") + 1).alias("position"))
-    return liked.select("user_id", F.explode(names).alias("list")).join(F.broadcast(ends), "list").select("user_id", "list", "position")
+    return liked.select("user_id", F.explode(names).alias("list")).join(ends, "list").select("user_id", "list", "position")
 
 
 def _free_positions(wanted: DataFrame, taken: DataFrame, limit: int) -> DataFrame:
     """The first ``limit`` positions of each wanted list that the attendee has not registered for.
 
-    Taken positions leave gaps; the k-th taken position p has p - k free ones before it, so each gap
-    knows the ordinals of its free positions and yields only those up to ``limit``. The end of the
-    list closes the last gap, and marks the list as wanted.
+    The k-th taken position p has p - k free ones before it. Only those with fewer than ``limit`` matter, and of
+    several with equally many only the last, so at most ``limit`` are left per list however much an attendee holds.
+    The n-th free position is n plus the number of taken ones before it.
     """
-    marks = taken.select("user_id", "list", "position", F.lit(False).alias("end")).unionByName(
-        wanted.select("user_id", "list", "position", F.lit(True).alias("end")))
-    whole = Window.partitionBy("user_id", "list")
-    order = whole.orderBy("position")
-    gaps = marks.select(
-        "user_id", "list", "position", F.row_number().over(order).cast("bigint").alias("k"),
-        F.lag("position", 1, 0).over(order).cast("bigint").alias("prior"),
-        F.max("end").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("wanted"))
-    already = F.col("prior") - (F.col("k") - 1)  # free positions before this gap
-    last = F.least(F.col("position") - 1, F.col("prior") + F.lit(limit) - already)
-    return gaps.filter(F.col("wanted") & (last > F.col("prior"))).select(
-        "user_id", "list", F.posexplode(F.sequence(F.col("prior") + 1, last)).alias("step", "position"),
-        (already + 1).alias("from")).select(
-        "user_id", "list", "position", (F.col("from") + F.col("step")).alias("ordinal"))
+    relevant = taken.join(wanted.select("user_id", "list"), ["user_id", "list"], "left_semi")
+    numbered = positions(relevant, ["user_id", "list"], ["position"], "k")
+    free_before = F.col("position") - F.col("k")
+    last = numbered.filter(free_before < limit).groupBy("user_id", "list", free_before.alias("free")).agg(F.max("k").alias("k"))
+    marks = last.groupBy("user_id", "list").agg(F.collect_list(F.struct("free", "k")).alias("marks"))
+    ordinals = wanted.select("user_id", "list", F.col("position").alias("end"), F.explode(
+        F.sequence(F.lit(1).cast("bigint"), F.lit(limit).cast("bigint"))).alias("ordinal"))
+    before = F.array_max(F.transform(F.filter("marks", lambda m: m["free"] < F.col("ordinal")), lambda m: m["k"]))
+    return ordinals.join(marks, ["user_id", "list"], "left").withColumn(
+        "position", (F.col("ordinal") + F.coalesce(before, F.lit(0))).cast("bigint")).filter("position < end").select(
+        "user_id", "list", "position", "ordinal")
 
 
 def _at_positions(picked: DataFrame, lists: DataFrame) -> DataFrame:
-    """Look positions up. Nearly all are near the top, so the heads (HEAD rows for each of a fixed
-    number of lists) are broadcast and only deeper positions are shuffled."""
-    head = lists.filter(F.col("position") <= HEAD)
-    near = picked.filter(F.col("position") <= HEAD).join(F.broadcast(head), ["list", "position"])
+    """Look positions up. Nearly all are near the top, so the heads (HEAD rows of each list) are a table of their own,
+    which Spark broadcasts if its size allows; only deeper positions need the whole lists."""
+    head = materialize(lists.filter(F.col("position") <= HEAD), "list-heads")
+    near = picked.filter(F.col("position") <= HEAD).join(head, ["list", "position"])
     far = picked.filter(F.col("position") > HEAD).join(lists.filter(F.col("position") > HEAD), ["list", "position"])
     return near.unionByName(far)
 

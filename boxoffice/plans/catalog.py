@@ -190,10 +190,26 @@ def listing_detail(t: Tables) -> DataFrame:
     return tickets.listing_detail(t).withColumn("details", fields_text(F.col("details")))
 
 
+def _gone(t: Tables) -> DataFrame:
+    return t.users.filter(F.col("is_banned") | ((F.col("role") == "creator") & (F.col("id") % 7 == 0))).select("id")
+
+
 @_query
 def cascade_prune(t: Tables) -> DataFrame:
-    gone = t.users.filter(F.col("is_banned") | ((F.col("role") == "creator") & (F.col("id") % 7 == 0))).select("id")
-    return integrity.prune_counts(t, gone)
+    return integrity.prune_counts(t, _gone(t))
+
+
+# What the cascade leaves of each table, with the columns that tell its rows apart.
+PRUNED = {
+    "users": ("id", "email"), "listings": ("id", "creator_id"), "listing_details": ("id", "listing_id", "field_key"),
+    "registrations": ("id", "user_id", "listing_id"), "registration_answers": ("registration_id", "question_key", "answer"),
+    "payments": ("registration_id", "method", "created_at"), "listing_views": ("listing_id", "views"), "reply_log": ("user_id", "prompt"),
+    "waitlist": ("id", "listing_id", "email"), "threads": ("id", "user_id", "creator_id", "listing_id"), "messages": ("id", "thread_id", "sender_id"),
+    "reviews": ("listing_id", "user_id", "created_at"), "saves": ("user_id", "listing_id"), "follows": ("follower_id", "creator_id"),
+    "notifications": ("id", "user_id", "message"),
+}
+for _name, _columns in PRUNED.items():
+    _register(f"pruned_{_name}", lambda t, name=_name, columns=_columns: integrity.cascade_prune(t, _gone(t), only=name)[name].select(*columns))
 
 
 @_query

@@ -8,7 +8,8 @@ from __future__ import annotations
 import re
 
 from boxoffice.operators.attendees import spend_axis
-from boxoffice.plans.catalog import AS_OF, DETAIL_RULES, TREND_AS_OF, TYPES, YEAR
+from boxoffice.operators.integrity import REFERENCES, REQUIRED, SET_NULL, UNIQUE_KEYS
+from boxoffice.plans.catalog import AS_OF, DETAIL_RULES, PRUNED, TREND_AS_OF, TYPES, YEAR
 from boxoffice.schema import SETTING_DEFAULTS
 
 NOW = f"TIMESTAMP '{AS_OF}'"
@@ -133,6 +134,11 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT l_linenumber, l_orderkey || '-' || l_partkey, 'flag', l_returnflag FROM lineitem""",
     "listing_edits": """
         SELECT l_orderkey || '-' || l_partkey AS edit_id, l_partkey AS listing_id, max(l_shipdate) AS ts, 'edit ' || l_orderkey AS title,
+               CASE l_orderkey % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'large' ELSE 'promo' END AS type,
+               CASE WHEN l_orderkey % 7 > 0 THEN 'about ' || l_orderkey END AS description, max(l_shipdate) + to_days(30) AS date_start,
+               CASE WHEN l_orderkey % 5 > 0 THEN max(l_shipdate) + to_days(31) END AS date_end,
+               CASE WHEN l_orderkey % 2 = 0 THEN 'hall ' || l_orderkey % 40 END AS venue,
+               CASE WHEN l_orderkey % 11 > 0 THEN 'city ' || l_orderkey % 90 END AS city,
                CAST(max(l_quantity) AS INTEGER) AS capacity, max(CAST(l_extendedprice AS DECIMAL(10,2))) AS price,
                CASE WHEN l_orderkey % 3 > 0 THEN 'banner-' || l_orderkey END AS banner
         FROM lineitem GROUP BY l_orderkey, l_partkey""",
@@ -142,12 +148,12 @@ VIEWS: dict[str, str] = {
     "profile_edits": f"""
         SELECT o_orderkey AS edit_id, o_custkey AS user_id, o_orderdate AS ts, 'name ' || o_orderkey AS name,
                lpad(CAST(o_orderkey AS VARCHAR), 10, '5') AS phone, o_orderpriority AS bio, 'org ' || o_orderkey AS organization_name,
-               'city ' || o_orderstatus AS city, 'promo,small' AS preferences,
+               CAST(NULL AS VARCHAR) AS website_url, 'city ' || o_orderstatus AS city, 'promo,small' AS preferences,
                CASE WHEN o_orderkey % 5 = 0 THEN 'avatar-' || o_orderkey END AS avatar
         FROM orders
         UNION ALL
         SELECT p_partkey, {C} + p_partkey // 20, TIMESTAMP '1995-01-01' + to_days(CAST(p_partkey * 3 % 2300 AS INTEGER)), p_name,
-               lpad(CAST(p_partkey AS VARCHAR), 10, '6'), p_brand, 'org ' || p_partkey, 'nowhere', lower(p_type), NULL
+               lpad(CAST(p_partkey AS VARCHAR), 10, '6'), p_brand, 'org ' || p_partkey, CASE WHEN p_partkey % 3 > 0 THEN 'https://example.com/' || p_partkey END, 'nowhere', lower(p_type), NULL
         FROM part""",
     "model_replies": """
         SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'no object here' WHEN 1 THEN '{bad' WHEN 2 THEN 'so {bad} it is'
@@ -158,6 +164,9 @@ VIEWS: dict[str, str] = {
         FROM labels""",
     "parsed_replies": r"""
         SELECT *, regexp_extract(reply, '(?s)\{.*\}') AS obj, obj <> '' AND json_valid(obj) AS good FROM model_replies""",
+    "reply_log": f"""
+        SELECT doc_id % {_N} AS user_id, 'review ' || doc_id AS prompt, reply AS response FROM model_replies""",
+    "listing_views": "SELECT listing_id, CAST(ts AS DATE) AS date, count(*) AS views FROM view_hits GROUP BY ALL",
     "search_requests": """
         SELECT o_orderkey AS request_id, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 3 = 0 THEN '' ELSE coalesce(type, '') END AS type,
                CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 2 > 0 THEN '' ELSE coalesce(city, '') END AS city,
@@ -220,9 +229,6 @@ VIEWS: dict[str, str] = {
         FROM scans s LEFT JOIN listings l ON l.id = s.listing_id
         LEFT JOIN registrations r ON r.ticket_code = s.ticket_code AND r.listing_id = s.listing_id""",
     "gone": "SELECT id FROM users WHERE is_banned OR (role = 'creator' AND id % 7 = 0)",
-    "kept_listings": "SELECT * FROM listings WHERE creator_id NOT IN (SELECT id FROM gone)",
-    "kept_registrations": "SELECT * FROM registrations WHERE user_id NOT IN (SELECT id FROM gone) AND listing_id IN (SELECT id FROM kept_listings)",
-    "kept_threads": "SELECT * FROM threads WHERE user_id NOT IN (SELECT id FROM gone) AND creator_id NOT IN (SELECT id FROM gone)",
     "last_settings": """
         SELECT scope_id, setting_key, setting_value FROM (SELECT *, row_number() OVER (
             PARTITION BY scope_id, setting_key ORDER BY ts DESC, event_id DESC) AS n FROM setting_log) WHERE n = 1""",
@@ -275,7 +281,27 @@ def _where(rule: str, table: str, condition: str) -> str:
     return f"SELECT '{rule}', (SELECT count(*) FROM {table} WHERE {condition})"
 
 
-_REPEATED = "SELECT '{rule}', (SELECT count(*) FROM (SELECT 1 FROM {table} GROUP BY {keys} HAVING count(*) > 1))"
+_REPEATED = "SELECT '{rule}', (SELECT count(*) FROM (SELECT 1 FROM {table} WHERE {filled} GROUP BY {keys} HAVING count(*) > 1))"
+
+
+
+def _lost(parent: str) -> str:
+    """The ids of a table that the deletion of users takes along."""
+    if parent == "users":
+        return "SELECT id FROM gone"
+    return f"SELECT id FROM {parent} WHERE " + " OR ".join(
+        f"{c} IN ({_lost(p)})" for c, p in REFERENCES[parent].items() if (parent, c) not in SET_NULL)
+
+
+def _left(table: str) -> str:
+    if table == "users":
+        return "SELECT * FROM users WHERE id NOT IN (SELECT id FROM gone)"
+    emptied = [(c, p) for c, p in REFERENCES[table].items() if (table, c) in SET_NULL]
+    replaced = "".join(f", CASE WHEN {c} IN ({_lost(p)}) THEN NULL ELSE {c} END AS {c}" for c, p in emptied)
+    shown = f"* EXCLUDE ({', '.join(c for c, _ in emptied)}){replaced}" if emptied else "*"
+    return f"SELECT {shown} FROM {table} WHERE " + " AND ".join(
+        f"({c} IS NULL OR {c} NOT IN ({_lost(p)}))" for c, p in REFERENCES[table].items() if (table, c) not in SET_NULL)
+
 
 BODIES: dict[str, str] = {
     "platform_kpis": f"""
@@ -621,8 +647,9 @@ BODIES: dict[str, str] = {
         SELECT u.id AS user_id, (CASE f.last_set WHEN 'ban' THEN true WHEN 'unban' THEN false ELSE u.is_banned END) <> (coalesce(f.flips, 0) % 2 = 1) AS is_banned
         FROM users u LEFT JOIN folded f ON f.user_id = u.id WHERE u.role <> 'admin'""",
     "listing_latest": """
-        SELECT l.id AS listing_id, coalesce(e.title, l.title) AS title, CAST(coalesce(e.capacity, l.capacity) AS BIGINT) AS capacity,
-               CAST(coalesce(e.price, l.price) AS DOUBLE) AS price, b.banner, e.edit_id
+        SELECT l.id AS listing_id, """ + ", ".join(
+        f"CASE WHEN e.edit_id IS NOT NULL THEN e.{c} ELSE l.{c} END AS {c}" for c in ("title", "type", "description", "date_start", "date_end", "venue", "city")) + """,
+               CAST(coalesce(e.capacity, l.capacity) AS BIGINT) AS capacity, CAST(coalesce(e.price, l.price) AS DOUBLE) AS price, b.banner, e.edit_id
         FROM listings l LEFT JOIN last_edits e ON e.listing_id = l.id
         LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY ts DESC, edit_id DESC) AS m FROM listing_edits
                    WHERE banner IS NOT NULL) b ON b.listing_id = l.id AND b.m = 1""",
@@ -634,6 +661,7 @@ BODIES: dict[str, str] = {
         avatars AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, edit_id DESC) AS m FROM profile_edits WHERE avatar IS NOT NULL)
         SELECT u.id AS user_id, coalesce(e.name, u.name) AS name, e.phone, e.bio,
                CASE WHEN e.user_id IS NOT NULL AND u.role = 'creator' THEN e.organization_name ELSE u.organization_name END AS organization_name,
+               CASE WHEN u.role = 'creator' THEN e.website_url END AS website_url,
                CASE WHEN e.user_id IS NOT NULL AND u.role = 'user' THEN e.city ELSE u.city END AS city,
                coalesce(e.preferences, u.preferences) AS preferences, a.avatar
         FROM users u LEFT JOIN ranked e ON e.user_id = u.id AND e.n = 1 LEFT JOIN avatars a ON a.user_id = u.id AND a.m = 1""",
@@ -680,35 +708,24 @@ BODIES: dict[str, str] = {
              AND (q.city = '' OR contains(lower(l.city), lower(q.city))) AND (NOT q.free_only OR l.price = 0))
         SELECT request_id, ordinal, listing_id, title FROM matched WHERE ordinal <= 12""",
     "answers_map": "SELECT * FROM answers",
-    "cascade_prune": """
-        SELECT 'users' AS table_name, (SELECT count(*) FROM users WHERE id NOT IN (SELECT id FROM gone)) AS rows_left
-        UNION ALL SELECT 'listings', (SELECT count(*) FROM kept_listings)
-        UNION ALL SELECT 'registrations', (SELECT count(*) FROM kept_registrations)
-        UNION ALL SELECT 'payments', (SELECT count(*) FROM payments WHERE registration_id IN (SELECT id FROM kept_registrations))
-        UNION ALL SELECT 'registration_answers', (SELECT count(*) FROM registration_answers WHERE registration_id IN (SELECT id FROM kept_registrations))
-        UNION ALL SELECT 'threads', (SELECT count(*) FROM kept_threads)
-        UNION ALL SELECT 'messages', (SELECT count(*) FROM messages WHERE thread_id IN (SELECT id FROM kept_threads))
-        UNION ALL SELECT 'reviews', (SELECT count(*) FROM reviews WHERE user_id NOT IN (SELECT id FROM gone) AND listing_id IN (SELECT id FROM kept_listings))
-        UNION ALL SELECT 'threads without listing', (SELECT count(*) FROM kept_threads
-                         WHERE listing_id IS NULL OR listing_id NOT IN (SELECT id FROM kept_listings))""",
+    "cascade_prune": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, (SELECT count(*) FROM ({_left(table)})) AS rows_left" for table in ("users", *REFERENCES))
+        + f" UNION ALL SELECT 'threads without listing', (SELECT count(*) FROM ({_left('threads')}) WHERE listing_id IS NULL)",
+    **{f"pruned_{table}": f"SELECT {', '.join(columns)} FROM ({_left(table)})" for table, columns in PRUNED.items()},
     "answers_append": "SELECT id, registration_id, question_key, answer FROM registration_answers WHERE trim(answer) <> ''",
     "ai_log_append": f"""
         SELECT doc_id % 150 AS user_id, 'review ' || doc_id AS prompt, reply AS response, 'text-model' AS model_used, {NOW} AS created_at FROM model_replies""",
     "integrity_audit": "SELECT a AS rule, b AS violations FROM (" + " UNION ALL ".join([
-        _REPEATED.format(rule="users.email unique", table="users", keys="lower(email)"),
-        _REPEATED.format(rule="registrations.ticket_code unique", table="registrations", keys="ticket_code"),
-        _REPEATED.format(rule="saves pair unique", table="saves", keys="user_id, listing_id"),
-        _REPEATED.format(rule="follows pair unique", table="follows", keys="follower_id, creator_id"),
-        _where("users.role domain", "users", "role NOT IN ('admin', 'creator', 'user')"),
-        _where("users.name required", "users", "name IS NULL"), _where("users.name length", "users", "length(name) > 100"),
+        *(_REPEATED.format(rule=rule, table=table, keys=", ".join("lower(strip_accents(rtrim(email)))" if k == "email" else k for k in keys),
+                           filled=" AND ".join(f"{k} IS NOT NULL" for k in keys)) for rule, (table, keys) in UNIQUE_KEYS.items()),
+        _where("users.role domain", "users", "role NOT IN ('admin', 'creator', 'user')"), _where("users.name length", "users", "length(name) > 100"),
         _where("listings.status domain", "listings", "status NOT IN ('draft', 'published', 'cancelled', 'upcoming', 'live', 'ended')"),
-        _where("listings.type domain", "listings", f"type NOT IN ({_list(k for k, _ in TYPES)})"), _where("listings.title required", "listings", "title IS NULL"), _where("listings.date_start required", "listings", "date_start IS NULL"),
+        _where("listings.type domain", "listings", f"type NOT IN ({_list(k for k, _ in TYPES)})"),
         _where("registrations.status domain", "registrations", "status NOT IN ('confirmed', 'pending', 'cancelled', 'checked_in')"),
         _where("payments.status domain", "payments", "status NOT IN ('success', 'pending', 'failed', 'refunded')"),
-        _where("payments.amount required", "payments", "amount IS NULL"), _where("reviews.rating range", "reviews", "rating NOT BETWEEN 1 AND 5"),
-        _orphans("listings", "creator_id", "users"), _orphans("registrations", "user_id", "users"),
-        _orphans("registrations", "listing_id", "listings"), _orphans("payments", "registration_id", "registrations"),
-        _orphans("threads", "listing_id", "listings"), _orphans("messages", "thread_id", "threads"),
+        _where("reviews.rating range", "reviews", "rating NOT BETWEEN 1 AND 5"),
+        *(_where(f"{table}.{c} required", table, f"{c} IS NULL") for table, columns in REQUIRED.items() for c in columns),
+        *(_orphans(table, c, parent) for table, columns in REFERENCES.items() for c, parent in columns.items()),
     ]) + ") x(a, b)",
     # Streams: what a drained stream has emitted.
     "stream_daily_views": "SELECT listing_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS views FROM view_hits GROUP BY ALL",

@@ -364,7 +364,13 @@ def listing_edits(lineitem: DataFrame) -> DataFrame:
         F.max(_money(F.col("l_extendedprice"))).alias("price"))
     return lines.select(
         _registration_id().alias("edit_id"), F.col("l_partkey").alias("listing_id"), "ts",
-        F.concat(F.lit("edit "), order.cast("string")).alias("title"),
+        F.concat(F.lit("edit "), order.cast("string")).alias("title"), F.element_at(
+            F.array(*map(F.lit, ("economy", "large", "promo"))), (order % 3 + 1).cast("int")).alias("type"),
+        F.when(order % 7 > 0, F.concat(F.lit("about "), order.cast("string"))).alias("description"),
+        (F.col("ts") + F.make_dt_interval(F.lit(30))).alias("date_start"),
+        F.when(order % 5 > 0, F.col("ts") + F.make_dt_interval(F.lit(31))).alias("date_end"),
+        F.when(order % 2 == 0, F.concat(F.lit("hall "), (order % 40).cast("string"))).alias("venue"),
+        F.when(order % 11 > 0, F.concat(F.lit("city "), (order % 90).cast("string"))).alias("city"),
         F.col("quantity").cast("int").alias("capacity"), "price",
         F.when(order % 3 > 0, F.concat(F.lit("banner-"), order.cast("string"))).alias("banner"))
 
@@ -385,13 +391,15 @@ def profile_edits(orders: DataFrame, part: DataFrame) -> DataFrame:
         order.alias("edit_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("ts"),
         F.concat(F.lit("name "), order.cast("string")).alias("name"), F.lpad(order.cast("string"), 10, "5").alias("phone"),
         F.col("o_orderpriority").alias("bio"), F.concat(F.lit("org "), order.cast("string")).alias("organization_name"),
+        nothing.alias("website_url"),
         F.concat(F.lit("city "), F.col("o_orderstatus")).alias("city"), F.lit("promo,small").alias("preferences"),
         F.when(order % 5 == 0, F.concat(F.lit("avatar-"), order.cast("string"))).alias("avatar"))
     creators = part.select(
         key.alias("edit_id"), (F.expr("p_partkey div 20") + CREATOR_BASE).alias("user_id"),
         _day("1995-01-01 00:00:00", key * 3 % 2300).alias("ts"), F.col("p_name").alias("name"),
         F.lpad(key.cast("string"), 10, "6").alias("phone"), F.col("p_brand").alias("bio"),
-        F.concat(F.lit("org "), key.cast("string")).alias("organization_name"), F.lit("nowhere").alias("city"),
+        F.concat(F.lit("org "), key.cast("string")).alias("organization_name"),
+        F.when(key % 3 > 0, F.concat(F.lit(" https://example.com/"), key.cast("string"))).alias("website_url"), F.lit("nowhere").alias("city"),
         F.lower("p_type").alias("preferences"), nothing.alias("avatar"))
     return attendees.unionByName(creators)
 
@@ -408,6 +416,16 @@ def model_replies(labels: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.lit('Sure! {"status": "'), word, F.lit('",\n "price": '), doc, F.lit("}\ndone"))).alias("reply"))
 
 
+def reply_log(labels: DataFrame, n: Sizes) -> DataFrame:
+    return model_replies(labels).select(
+        (F.col("doc_id") % n.attendees).alias("user_id"), F.concat(F.lit("review "), F.col("doc_id").cast("string")).alias("prompt"),
+        F.col("reply").alias("response"), F.lit("text-model").alias("model_used"), F.lit("2001-08-01 12:00:00").cast("timestamp_ntz").alias("created_at"))
+
+
+def listing_views(hits: DataFrame) -> DataFrame:
+    return hits.groupBy("listing_id", F.to_date("ts").alias("date")).agg(F.count("*").alias("views"))
+
+
 def search_replies(orders: DataFrame, lineitem: DataFrame, listing_frame: DataFrame) -> DataFrame:
     """One free-text reply with search filters per order, about the first of the order's listings."""
     first = lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_partkey").alias("listing_id"))
@@ -462,6 +480,8 @@ def from_trade_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "listing_edit_details": lambda: listing_edit_details(line()),
         "profile_edits": lambda: profile_edits(order(), part()),
         "model_replies": lambda: model_replies(read("labels")),
+        "reply_log": lambda: reply_log(read("labels"), counted()),
+        "listing_views": lambda: listing_views(tables.view_hits),
         "search_replies": lambda: search_replies(order(), line(), tables.listings),
         "saves": lambda: engagement.save_state(tables.save_toggles),
         "follows": lambda: engagement.follow_state(tables.follow_toggles),

@@ -55,24 +55,35 @@ def test_defaults_never_overwrite(spark):
 
 
 def test_audit_finds_each_kind_of_violation(tables):
-    t = tables(users=[user(1), user(2, "guest", email="E1@X.Y")], listings=[listing(1, creator_id=77, title=None, type="rodeo")],
+    t = tables(users=[user(1), user(2, "guest", email="É1@x.y "), user(3, email=None), user(4, email=None)],
+               listings=[listing(1, creator_id=77, title=None, type="rodeo")],
                registrations=[reg(1, 1, 1), {**reg(2, 8, 9, "odd"), "ticket_code": "C1"}], payments=[pay(5, "1.00", "lost")],
-               reviews=[{"listing_id": 1, "user_id": 1, "rating": 9}], saves=[{"user_id": 1, "listing_id": 1}] * 2,
-               threads=[{"id": 1, "user_id": 1, "creator_id": 1, "listing_id": 3}], messages=[{"id": 1, "thread_id": 4}])
-    found = {r.rule: r.violations for r in integrity.integrity_audit(t).collect()}
-    clean = {"follows pair unique", "users.name required", "users.name length", "listings.status domain", "listings.date_start required", "payments.amount required"}
-    assert {k for k, v in found.items() if v == 0} == clean
-    assert all(v == 1 for k, v in found.items() if k not in clean)
+               reviews=[{"listing_id": 1, "user_id": 1, "rating": 9}], saves=[{"user_id": 1, "listing_id": 1}] * 2, waitlist=[{"listing_id": 6}],
+               listing_details=[{"listing_id": 5, "field_key": "k"}], notifications=[{"user_id": 71, "message": "m"}],
+               threads=[{"id": 1, "user_id": 1, "creator_id": 1, "listing_id": 3}], messages=[{"id": 1, "thread_id": 4, "message_text": "m"}])
+    found = {r.rule: r.violations for r in integrity.integrity_audit(t).collect() if r.violations}
+    assert found == dict.fromkeys([
+        "users.email unique", "registrations.ticket_code unique", "saves pair unique", "users.role domain", "listings.type domain",
+        "listings.title required", "registrations.status domain", "payments.status domain", "reviews.rating range", "listings.creator_id reference",
+        "listing_details.listing_id reference", "registrations.user_id reference", "registrations.listing_id reference",
+        "payments.registration_id reference", "waitlist.listing_id reference", "threads.listing_id reference", "messages.thread_id reference",
+        "messages.sender_id required", "notifications.user_id reference"], 1) | {"users.email required": 2}
 
 
 def test_cascade(tables, spark):
     t = tables(users=[user(1), user(2), user(900, "creator"), user(901, "creator")], listings=[listing(1), listing(2, creator_id=901)],
                registrations=[reg(1, 1, 1), reg(2, 1, 2), reg(3, 2, 2)], payments=[pay(1, "1.00"), pay(2, "1.00"), pay(3, "1.00")],
                threads=[{"id": 1, "user_id": 1, "creator_id": 901, "listing_id": 1}, {"id": 2, "user_id": 2, "creator_id": 901, "listing_id": 2}],
-               messages=[{"id": 1, "thread_id": 1}, {"id": 2, "thread_id": 2}])
+               messages=[{"id": 1, "thread_id": 1}, {"id": 2, "thread_id": 2}], saves=[{"user_id": 1, "listing_id": 1}, {"user_id": 1, "listing_id": 2}],
+               follows=[{"follower_id": 1, "creator_id": 900}, {"follower_id": 1, "creator_id": 901}], notifications=[{"user_id": 2}, {"user_id": 1}],
+               waitlist=[{"id": "a", "listing_id": 1}, {"id": "b", "listing_id": 2}], listing_details=[{"id": 1, "listing_id": 1}, {"id": 2, "listing_id": 2}],
+               listing_views=[{"listing_id": 1, "views": 3}], reply_log=[{"user_id": 2}, {"user_id": 900}, {"user_id": 1}])
     left = integrity.cascade_prune(t, spark.createDataFrame([(900,), (2,)], "id long"))
     assert rows(left["registrations"], "id") == [("2",)] and rows(left["payments"], "registration_id") == [("2",)]
     assert [(r.id, r.listing_id) for r in left["threads"].collect()] == [(1, None)] and rows(left["messages"], "id") == [(1,)]
+    assert rows(left["saves"], "listing_id") == [(2,)] and rows(left["follows"], "creator_id") == [(901,)] and rows(left["notifications"], "user_id") == [(1,)]
+    assert rows(left["waitlist"], "id") == [("b",)] and rows(left["listing_details"], "id") == [(2,)] and rows(left["listing_views"], "views") == []
+    assert rows(left["reply_log"], "user_id") == [(1,)]
 
 
 def test_derived_tables_have_the_declared_columns(spark):

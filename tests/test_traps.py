@@ -213,10 +213,15 @@ def test_required_details(tables):
 def test_edits_keep_the_banner_and_replace_details(tables, spark):
     t = tables(listings=[listing(1), listing(2)], listing_details=[
         {"id": i, "listing_id": i, "field_key": "k", "field_value": "old"} for i in (1, 2)])
-    edits = spark.createDataFrame([(1, 1, datetime(2026, 1, 1), "a", 5, Decimal("1.00"), "b1"), (2, 1, datetime(2026, 1, 2), "b", 6, Decimal("2.00"), None)],
-                                  "edit_id long, listing_id long, ts timestamp_ntz, title string, capacity int, price decimal(10,2), banner string")
+    day = datetime(2026, 7, 1)
+    edits = spark.createDataFrame([
+        (1, 1, datetime(2026, 1, 1), "a", "comedy", "d", day, day, "v", "c", 5, Decimal("1.00"), "b1"),
+        (2, 1, datetime(2026, 1, 2), "b", "sports", None, day, None, "w", None, 6, Decimal("2.00"), None)],
+        "edit_id long, listing_id long, ts timestamp_ntz, title string, type string, description string, date_start timestamp_ntz, "
+        "date_end timestamp_ntz, venue string, city string, capacity int, price decimal(10,2), banner string")
     details = spark.createDataFrame([(1, 1, "x", "1"), (2, 1, "y", " 2 "), (2, 1, "z", " ")], "edit_id long, listing_id long, field_key string, field_value string")
-    assert rows(lifecycle.listing_latest(t, edits).filter("listing_id = 1"), "title", "capacity", "price", "banner") == [("b", 6, 2.0, "b1")]
+    assert rows(lifecycle.listing_latest(t, edits).filter("listing_id = 1"), "title", "type", "description", "date_start", "date_end", "venue", "city",
+                "capacity", "price", "banner") == [("b", "sports", None, day, None, "w", None, 6, 2.0, "b1")]
     assert rows(lifecycle.details_latest(t, edits, details), "listing_id", "field_key", "field_value") == [(1, "y", "2"), (2, "k", "old")]
 
 
