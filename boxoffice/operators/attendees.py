@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boxoffice.functions.ratios import money
 from boxoffice.functions.text import label
 from boxoffice.functions.times import ntz
-from boxoffice.operators.base import Ids, live, payment_totals, restrict, successful, top_per_key
+from boxoffice.operators.base import Ids, live, of_registrations, payment_totals, restrict, successful, top_per_key
 from boxoffice.sources.tables import Tables
 
 
@@ -29,9 +29,9 @@ def user_summary(t: Tables, *, as_of: datetime, ids: Ids = None) -> DataFrame:
     ahead = t.listings.filter(F.col("date_start") > ntz(as_of)).select(
         F.col("id").alias("listing_id"), F.lit(True).alias("ahead"))
     kept = F.col("status") != "cancelled"
+    own = _own(t, ids).select("registration_id", "user_id", "listing_id", "status")
     rows = (
-        _own(t, ids).select("registration_id", "user_id", "listing_id", "status")
-        .join(payment_totals(t), "registration_id", "left").join(ahead, "listing_id", "left")
+        own.join(payment_totals(t, None if ids is None else own), "registration_id", "left").join(ahead, "listing_id", "left")
     )
     totals = rows.groupBy("user_id").agg(
         F.count_if(kept).alias("tickets"), F.count_if(kept & F.col("ahead")).alias("upcoming"), F.sum("paid").alias("paid"))
@@ -53,10 +53,11 @@ def user_spend_6m(t: Tables, *, as_of: datetime, ids: Ids = None) -> DataFrame:
     """
     oldest = (as_of - timedelta(days=180)).replace(day=1, hour=0, minute=0, second=0, microsecond=0)
     points = spend_axis(as_of)
-    recent = successful(t.payments).filter(F.col("created_at") >= ntz(oldest))
+    own = _own(t, ids).select("registration_id", "user_id")
+    recent = of_registrations(successful(t.payments).filter(F.col("created_at") >= ntz(oldest)), None if ids is None else own)
     month = F.date_format("created_at", "yyyy-MM")
     per_registration = recent.groupBy("registration_id", month.alias("month")).agg(F.sum("amount").alias("paid"))
-    rows = per_registration.join(_own(t, ids).select("registration_id", "user_id"), "registration_id")
+    rows = per_registration.join(own, "registration_id")
     sums = rows.groupBy("user_id").agg(*[
         F.sum(F.when(F.col("month") == p.strftime("%Y-%m"), F.col("paid"))).alias(f"p{i}") for i, p in enumerate(points)])
     series = F.array(*[
@@ -107,4 +108,4 @@ def ticket_book(t: Tables, *, as_of: datetime, ids: Ids = None) -> DataFrame:
         (F.col("date_start") <= ntz(as_of)) | cancelled, "past")
     return _own(t, ids).select("registration_id", "user_id", "listing_id", "ticket_code", "status").join(shows, "listing_id").select(
         "user_id", "registration_id", "ticket_code", "status", "title", "type", "date_start", "city", "venue",
-        bucket.alias("bucket"))
+        bucket.alias("bucket")).orderBy("user_id", F.desc_nulls_last("date_start"), "registration_id")

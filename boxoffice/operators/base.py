@@ -40,36 +40,43 @@ def seat_counts(t: Tables, ids: Ids = None) -> DataFrame:
     return rows.groupBy("listing_id").agg(F.count("*").alias("registered"))
 
 
-def payment_totals(t: Tables) -> DataFrame:
+def of_registrations(rows: DataFrame, registrations: DataFrame | None) -> DataFrame:
+    """The rows that belong to ``registrations``, before anything is folded; all rows without it."""
+    if registrations is None:
+        return rows
+    return rows.join(registrations.select("registration_id").distinct(), "registration_id", "left_semi")
+
+
+def payment_totals(t: Tables, registrations: DataFrame | None = None) -> DataFrame:
     """Successful payments folded to one row per registration."""
-    return successful(t.payments).groupBy("registration_id").agg(
+    return of_registrations(successful(t.payments), registrations).groupBy("registration_id").agg(
         F.count("*").alias("paid_rows"), F.sum("amount").alias("paid"))
 
 
-def first_payments(t: Tables) -> DataFrame:
+def first_payments(t: Tables, registrations: DataFrame | None = None) -> DataFrame:
     """The amount of the earliest successful payment per registration."""
-    return successful(t.payments).groupBy("registration_id").agg(
+    return of_registrations(successful(t.payments), registrations).groupBy("registration_id").agg(
         F.min_by("amount", F.struct("created_at", "amount", "method")).alias("paid_amount"))
 
 
-def joined_ledger(t: Tables) -> DataFrame:
-    """Per listing: live registrations as the payment join counts them, and their revenue.
+def joined_ledger(t: Tables, listings: Ids = None) -> DataFrame:
+    """Per listing, or per one of the given: live registrations as the payment join counts them, and their revenue.
 
     A registration counts once per successful payment (at least once). Weighting the folded
     payments gives the same numbers as joining every payment row.
     """
-    regs = live(t.registrations).select(F.col("id").alias("registration_id"), "listing_id")
+    regs = restrict(live(t.registrations), "listing_id", listings).select(F.col("id").alias("registration_id"), "listing_id")
     return (
-        regs.join(payment_totals(t), "registration_id", "left").groupBy("listing_id")
+        regs.join(payment_totals(t, None if listings is None else regs), "registration_id", "left").groupBy("listing_id")
         .agg(F.sum(F.coalesce("paid_rows", F.lit(1))).alias("registered"), F.sum("paid").alias("revenue"))
     )
 
 
-def full_ledger(t: Tables) -> DataFrame:
-    """Per listing: live registrations once each, and successful payments of all registrations."""
-    regs = t.registrations.select(F.col("id").alias("registration_id"), "listing_id", "status")
+def full_ledger(t: Tables, listings: Ids = None) -> DataFrame:
+    """Per listing, or per one of the given: live registrations once each, and successful payments of all registrations."""
+    regs = restrict(t.registrations, "listing_id", listings).select(F.col("id").alias("registration_id"), "listing_id", "status")
     return (
-        regs.join(payment_totals(t), "registration_id", "left").groupBy("listing_id")
+        regs.join(payment_totals(t, None if listings is None else regs), "registration_id", "left").groupBy("listing_id")
         .agg(F.count_if(F.col("status") != "cancelled").alias("registered"), F.sum("paid").alias("revenue"))
     )
 

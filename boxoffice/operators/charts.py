@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxoffice.operators import platform
+from boxoffice.operators import creators, platform
+from boxoffice.operators.base import Ids
 from boxoffice.schema import LISTING_TYPES
 from boxoffice.sources.tables import Tables
 
 
-def chart_object(rows: DataFrame, key: str) -> DataFrame:
+def chart_object(rows: DataFrame, *keys: str) -> DataFrame:
     """Gather each chart's points (an axis or a top-k, so few) into {labels, data}."""
     points = F.array_sort(F.collect_list(F.struct("ordinal", "label", "value")))
-    packed = rows.groupBy(key).agg(points.alias("points"))
+    packed = rows.groupBy(*keys).agg(points.alias("points"))
     payload = F.to_json(F.struct(
         F.transform("points", lambda p: p["label"]).alias("labels"), F.transform("points", lambda p: p["value"].cast("decimal(20,2)")).alias("data")))
     labels = F.array_join(F.transform("points", lambda p: p["label"]), "|")
     total = F.aggregate("points", F.lit(0.0), lambda acc, p: acc + p["value"])
-    return packed.select(key, F.size("points").cast("bigint").alias("points"), labels.alias("labels"), total.alias("total"), payload.alias("payload"))
+    return packed.select(*keys, F.size("points").cast("bigint").alias("points"), labels.alias("labels"), total.alias("total"), payload.alias("payload"))
 
 
-def _tidy(frame: DataFrame, chart: str, ordinal: str | Column, label: str, value: str) -> DataFrame:
+def _tidy(frame: DataFrame, chart: str, ordinal: str | Column, label: str, value: str, *keys: str) -> DataFrame:
     ordinal = F.col(ordinal) if isinstance(ordinal, str) else ordinal
     return frame.select(
-        F.lit(chart).alias("chart"), ordinal.cast("bigint").alias("ordinal"), F.col(label).alias("label"),
+        *keys, F.lit(chart).alias("chart"), ordinal.cast("bigint").alias("ordinal"), F.col(label).alias("label"),
         F.col(value).cast("double").alias("value"))
 
 
@@ -44,3 +46,12 @@ def platform_charts(t: Tables, *, year: int, types: tuple = LISTING_TYPES) -> Da
         _tidy(platform.payment_mix(t), "payment_methods", by_label, "label", "payments"),
     ]
     return chart_object(reduce(DataFrame.unionByName, parts), "chart")
+
+
+def creator_charts(t: Tables, *, as_of: datetime, ids: Ids = None) -> DataFrame:
+    """Each creator's two charts: revenue of the best earning listings, registrations per day."""
+    parts = [
+        _tidy(creators.creator_revenue_top8(t, ids=ids), "revenue_by_event", "ordinal", "label", "revenue", "creator_id"),
+        _tidy(creators.creator_trend(t, as_of=as_of, ids=ids), "registration_trend", "ordinal", "label", "registrations", "creator_id"),
+    ]
+    return chart_object(reduce(DataFrame.unionByName, parts), "creator_id", "chart")

@@ -25,11 +25,16 @@ def _own_listings(t: Tables, ids: Ids) -> DataFrame:
     return restrict(t.listings.withColumnRenamed("id", "listing_id"), "creator_id", ids)
 
 
+def _their_ids(t: Tables, ids: Ids) -> DataFrame | None:
+    """The listings of the wanted creators, for the facts to be restricted by before they are folded."""
+    return None if ids is None else _own_listings(t, ids).select("listing_id")
+
+
 def creator_summary(t: Tables, *, ids: Ids = None) -> DataFrame:
     """Listings, attendees, revenue and pooled fill rate. Capacity leaves cancelled listings out,
     attendees do not; revenue takes payments of all registrations."""
     kept = F.col("status") != "cancelled"
-    rows = _own_listings(t, ids).select("listing_id", "creator_id", "status", "capacity").join(full_ledger(t), "listing_id", "left")
+    rows = _own_listings(t, ids).select("listing_id", "creator_id", "status", "capacity").join(full_ledger(t, _their_ids(t, ids)), "listing_id", "left")
     totals = rows.groupBy("creator_id").agg(
         F.count_if(kept).alias("listings"), F.sum(F.when(kept, F.col("capacity"))).alias("seats"),
         F.sum("registered").alias("attendees"), F.sum("revenue").alias("revenue"))
@@ -42,7 +47,7 @@ def creator_summary(t: Tables, *, ids: Ids = None) -> DataFrame:
 
 def _performance(t: Tables, ids: Ids) -> DataFrame:
     shows = _own_listings(t, ids).filter(F.col("status") != "cancelled")
-    return shows.join(joined_ledger(t), "listing_id", "left").withColumn("registered", F.coalesce("registered", F.lit(0)))
+    return shows.join(joined_ledger(t, _their_ids(t, ids)), "listing_id", "left").withColumn("registered", F.coalesce("registered", F.lit(0)))
 
 
 def creator_revenue_top8(t: Tables, *, limit: int = 8, ids: Ids = None) -> DataFrame:
@@ -58,7 +63,7 @@ def creator_trend(t: Tables, *, as_of: datetime, days: int = 30, ids: Ids = None
     """Live registrations per creator and day; the axis ends on the as_of day."""
     first = midnight(as_of) - timedelta(days=days - 1)
     after = midnight(as_of) + timedelta(days=1)
-    recent = live(t.registrations).filter((F.col("created_at") >= ntz(first)) & (F.col("created_at") < ntz(after)))
+    recent = restrict(live(t.registrations), "listing_id", _their_ids(t, ids)).filter((F.col("created_at") >= ntz(first)) & (F.col("created_at") < ntz(after)))
     offset = F.datediff(F.to_date("created_at"), F.lit(first.date())).cast("bigint")
     per_listing = recent.groupBy("listing_id", offset.alias("ordinal")).agg(F.count("*").alias("registrations"))
     owners = _own_listings(t, ids).select("listing_id", "creator_id")
@@ -89,7 +94,7 @@ def creator_top_listing(t: Tables, *, ids: Ids = None) -> DataFrame:
 def creator_public_stats(t: Tables, *, ids: Ids = None) -> DataFrame:
     """Public profile: name, interests, shown listings, attendees, followers, member since."""
     shown = F.col("status").isin("published", "ended")
-    rows = _own_listings(t, ids).select("listing_id", "creator_id", "status").join(seat_counts(t), "listing_id", "left")
+    rows = _own_listings(t, ids).select("listing_id", "creator_id", "status").join(seat_counts(t, _their_ids(t, ids)), "listing_id", "left")
     totals = rows.groupBy("creator_id").agg(F.count_if(shown).alias("listings"), F.sum("registered").alias("attendees"))
     fans = restrict(t.follows, "creator_id", ids).groupBy("creator_id").agg(F.count("*").alias("followers"))
     interests = F.array_join(F.transform(comma_list(F.col("preferences")), label), ", ")
@@ -105,7 +110,7 @@ def creator_public_stats(t: Tables, *, ids: Ids = None) -> DataFrame:
 
 def creator_manage_stats(t: Tables, *, ids: Ids = None) -> DataFrame:
     """Totals above a creator's own list; the price sum counts each listing's price once."""
-    rows = _own_listings(t, ids).select("listing_id", "creator_id", "status", "price").join(seat_counts(t), "listing_id", "left")
+    rows = _own_listings(t, ids).select("listing_id", "creator_id", "status", "price").join(seat_counts(t, _their_ids(t, ids)), "listing_id", "left")
     totals = rows.groupBy("creator_id").agg(
         F.count("*").alias("listings"), F.count_if(F.col("status") == "published").alias("published"),
         F.sum("registered").alias("registered"), F.sum("price").alias("price"))
@@ -122,6 +127,6 @@ def creator_published(t: Tables, *, ids: Ids = None) -> DataFrame:
 
 def creator_listings(t: Tables, *, ids: Ids = None) -> DataFrame:
     rows = _own_listings(t, ids).select("creator_id", "listing_id", "title", "status", "created_at")
-    return rows.join(seat_counts(t), "listing_id", "left").select(
+    return rows.join(seat_counts(t, _their_ids(t, ids)), "listing_id", "left").select(
         "creator_id", "listing_id", "title", "status", "created_at", F.coalesce("registered", F.lit(0)).alias("registered"),
     ).orderBy("creator_id", F.desc("created_at"), "listing_id")

@@ -112,9 +112,11 @@ def listing_ratings(t: Tables, *, ids: Ids = None) -> DataFrame:
 
 
 def review_list(t: Tables, *, ids: Ids = None) -> DataFrame:
+    """Reviews per listing, newest first."""
     people = t.users.select(F.col("id").alias("user_id"), "name")
     return restrict(t.reviews, "listing_id", ids).join(people, "user_id").select(
-        "listing_id", "name", F.col("rating").cast("bigint").alias("rating"), "review_text", "created_at")
+        "listing_id", "name", F.col("rating").cast("bigint").alias("rating"), "review_text", "created_at").orderBy(
+        "listing_id", F.desc("created_at"), "name", "review_text")
 
 
 def daily_views(hits: DataFrame) -> DataFrame:

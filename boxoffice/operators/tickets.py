@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boxoffice.functions.ratios import money, whole_percent
 from boxoffice.functions.replies import ticket_code
 from boxoffice.operators.base import (
-    Ids, fields_text, first_payments, key_value_map, positions, restrict, seat_counts, successful, top_per_key,
+    Ids, fields_text, first_payments, key_value_map, of_registrations, positions, restrict, seat_counts, successful, top_per_key,
 )
 from boxoffice.schema import BOOKING_FEE, TICKET_PREFIX
 from boxoffice.sources.tables import Tables
@@ -18,17 +18,18 @@ def registration_counts(t: Tables, *, ids: Ids = None) -> DataFrame:
     return seat_counts(t, ids)
 
 
-def answers_map(t: Tables) -> DataFrame:
+def answers_map(t: Tables, registrations: DataFrame | None = None) -> DataFrame:
     """Answers per registration as a map; of repeated questions the last answer wins."""
-    return key_value_map(t.registration_answers, "registration_id", "question_key", "answer", "id")
+    return key_value_map(of_registrations(t.registration_answers, registrations), "registration_id", "question_key", "answer", "id")
 
 
 def details_map(t: Tables) -> DataFrame:
     return key_value_map(t.listing_details, "listing_id", "field_key", "field_value", "id")
 
 
-def _with_answers_and_amount(t: Tables, rows: DataFrame) -> DataFrame:
-    return rows.join(answers_map(t), "registration_id", "left").join(first_payments(t), "registration_id", "left")
+def _with_answers_and_amount(t: Tables, rows: DataFrame, all_rows: bool) -> DataFrame:
+    wanted = None if all_rows else rows
+    return rows.join(answers_map(t, wanted), "registration_id", "left").join(first_payments(t, wanted), "registration_id", "left")
 
 
 def ticket_detail(t: Tables, *, codes: DataFrame | None = None) -> DataFrame:
@@ -38,20 +39,21 @@ def ticket_detail(t: Tables, *, codes: DataFrame | None = None) -> DataFrame:
     shows = t.listings.select(F.col("id").alias("listing_id"), "title", F.col("type").alias("listing_type"), "date_start", "date_end", "venue", "city")
     rows = regs.select(F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status")
     return (
-        _with_answers_and_amount(t, rows).join(people, "user_id").join(shows, "listing_id").select(
+        _with_answers_and_amount(t, rows, codes is None).join(people, "user_id").join(shows, "listing_id").select(
             "ticket_code", "registration_id", "status", "title", "listing_type", "date_start", "date_end", "venue", "city", "user_name",
             "user_email", F.col("fields").alias("answers"), money(F.coalesce("paid_amount", F.lit(0))).alias("paid_amount"))
     )
 
 
 def attendee_list(t: Tables, *, ids: Ids = None) -> DataFrame:
-    """Attendees per listing with answers and the first successful payment (NULL when none)."""
+    """Attendees per listing, newest registration first, with answers and the first successful payment (NULL when none)."""
     people = t.users.select(F.col("id").alias("user_id"), "name", "email")
     rows = restrict(t.registrations, "listing_id", ids).select(
         F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status", "created_at")
-    return _with_answers_and_amount(t, rows).join(people, "user_id").select(
+    return _with_answers_and_amount(t, rows, ids is None).join(people, "user_id").select(
         "listing_id", "registration_id", "ticket_code", "status", "created_at", "user_id", "name", "email",
-        F.col("fields").alias("answers"), money(F.col("paid_amount")).alias("paid_amount"))
+        F.col("fields").alias("answers"), money(F.col("paid_amount")).alias("paid_amount")).orderBy(
+        "listing_id", F.desc("created_at"), "registration_id")
 
 
 def flat_answers(frame: DataFrame) -> DataFrame:
@@ -64,7 +66,7 @@ def attendee_export(t: Tables, *, ids: Ids = None) -> DataFrame:
     people = t.users.select(F.col("id").alias("user_id"), "name", "email")
     regs = restrict(t.registrations, "listing_id", ids).select(
         F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status", "created_at")
-    return regs.join(first_payments(t), "registration_id", "left").join(people, "user_id").select(
+    return regs.join(first_payments(t, None if ids is None else regs), "registration_id", "left").join(people, "user_id").select(
         "listing_id", F.col("ticket_code").alias("Ticket Code"), F.col("name").alias("Name"), F.col("email").alias("Email"),
         F.col("status").alias("Status"), F.date_format("created_at", "yyyy-MM-dd").alias("Date"),
         F.col("paid_amount").cast("string").alias("Amount Paid"))
@@ -73,10 +75,11 @@ def attendee_export(t: Tables, *, ids: Ids = None) -> DataFrame:
 def attendee_stats(t: Tables, *, ids: Ids = None) -> DataFrame:
     """Totals above the attendee list; every registration counts, revenue takes first payments."""
     regs = restrict(t.registrations, "listing_id", ids).select(F.col("id").alias("registration_id"), "listing_id", "status")
-    totals = regs.join(first_payments(t), "registration_id", "left").groupBy("listing_id").agg(
+    totals = regs.join(first_payments(t, None if ids is None else regs), "registration_id", "left").groupBy("listing_id").agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.sum("paid_amount").alias("paid"))
     confirmed = F.coalesce("confirmed", F.lit(0))
-    return t.listings.select(F.col("id").alias("listing_id"), "capacity").join(totals, "listing_id", "left").select(
+    shows = restrict(t.listings.select(F.col("id").alias("listing_id"), "capacity"), "listing_id", ids)
+    return shows.join(totals, "listing_id", "left").select(
         "listing_id", F.coalesce("total", F.lit(0)).alias("total"), confirmed.alias("confirmed"),
         money(F.coalesce("paid", F.lit(0))).alias("revenue"), whole_percent(confirmed, F.col("capacity")).alias("cap_pct"))
 

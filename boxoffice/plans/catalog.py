@@ -65,6 +65,7 @@ for _name, _build in {
     "users_by_role": platform.users_by_role,
     "listing_admin_report": lambda t: platform.listing_admin_report(t, search="bolt", status="published"),
     "chart_json": lambda t: charts.platform_charts(t, year=YEAR, types=TYPES),
+    "creator_chart_json": lambda t: charts.creator_charts(t, as_of=TREND_AS_OF),
     "creator_summary": creators.creator_summary,
     "creator_revenue_top8": creators.creator_revenue_top8,
     "creator_trend": lambda t: creators.creator_trend(t, as_of=TREND_AS_OF),
@@ -157,6 +158,30 @@ def keyed_lookup(t: Tables) -> DataFrame:
     return found.select(F.col("id").alias("user_id"), "name", "email", "role", "created_at", "is_banned")
 
 
+@_query
+def listing_lookup(t: Tables) -> DataFrame:
+    """Saved listings by id."""
+    return search.keyed_lookup(t.listings, "id", t.saves.select("listing_id")).select("id", "title", "status", "created_at")
+
+
+@_query
+def registration_lookup(t: Tables) -> DataFrame:
+    """Registrations on a waitlist by id."""
+    return search.keyed_lookup(t.registrations, "id", t.waitlist.select("id")).select("id", "user_id", "listing_id", "status")
+
+
+@_query
+def ticket_lookup(t: Tables) -> DataFrame:
+    """Registrations by scanned ticket code."""
+    return search.keyed_lookup(t.registrations, "ticket_code", t.scans.select("ticket_code")).select("ticket_code", "id", "user_id", "listing_id", "status")
+
+
+@_query
+def thread_lookup(t: Tables) -> DataFrame:
+    """Opened threads by id."""
+    return search.keyed_lookup(t.threads, "id", t.read_log.select("thread_id")).select("id", "user_id", "creator_id", "listing_id")
+
+
 @_query
 def registered_already(t: Tables) -> DataFrame:
     """Do the people who saved a listing hold a registration for it?"""

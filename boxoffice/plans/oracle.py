@@ -285,6 +285,24 @@ _REPEATED = "SELECT '{rule}', (SELECT count(*) FROM (SELECT 1 FROM {table} WHERE
 
 
 
+_TREND = f"""
+        SELECT u.id AS creator_id, CAST(a.i AS BIGINT) AS ordinal, strftime(a.day, '%m-%d') AS label, count(r.id) AS registrations
+        FROM users u
+        JOIN (SELECT range AS i, CAST(TIMESTAMP '{TREND_AS_OF}' - to_days(CAST(29 - range AS INTEGER)) AS DATE) AS day FROM range(0, 30)) a ON true
+        LEFT JOIN (SELECT r.id, r.created_at, l.creator_id FROM live r JOIN listings l ON r.listing_id = l.id) r
+               ON r.creator_id = u.id AND CAST(r.created_at AS DATE) = a.day
+        WHERE u.role = 'creator' GROUP BY ALL"""
+_TOP8 = f"""
+        SELECT creator_id, ordinal, listing_id, {_short('title', 15)} AS label, coalesce(CAST(revenue AS DOUBLE), 0) AS revenue
+        FROM (SELECT *, row_number() OVER (PARTITION BY creator_id ORDER BY revenue DESC NULLS LAST, listing_id) AS ordinal FROM performance)
+        WHERE ordinal <= 8"""
+_OBJECT = """
+        SELECT {keys}, count(*) AS points, string_agg(label, '|' ORDER BY ordinal) AS labels, CAST(sum(value) AS DOUBLE) AS total,
+               '{{"labels":["' || string_agg(label, '","' ORDER BY ordinal) || '"],"data":[' || string_agg(CAST(value AS VARCHAR), ',' ORDER BY ordinal)
+               || ']}}' AS payload
+        FROM ({rows}) GROUP BY {keys}"""
+
+
 def _lost(parent: str) -> str:
     """The ids of a table that the deletion of users takes along."""
     if parent == "users":
@@ -346,11 +364,14 @@ BODIES: dict[str, str] = {
         LEFT JOIN (SELECT r.listing_id, CAST(sum(p.amount) AS DOUBLE) AS revenue FROM paid p JOIN registrations r ON p.registration_id = r.id
                    GROUP BY 1) x ON x.listing_id = l.id
         WHERE contains(lower(l.title), 'bolt') AND l.status = 'published'""",
-    "chart_json": f"""
-        SELECT chart, count(*) AS points, string_agg(label, '|' ORDER BY ordinal) AS labels, CAST(sum(value) AS DOUBLE) AS total,
-               '{{"labels":["' || string_agg(label, '","' ORDER BY ordinal) || '"],"data":[' || string_agg(CAST(value AS VARCHAR), ',' ORDER BY ordinal)
-               || ']}}' AS payload
-        FROM ({_CHARTS}) GROUP BY chart""",
+    "chart_json": _OBJECT.format(keys="chart", rows=_CHARTS),
+    "creator_chart_json": _OBJECT.format(keys="creator_id, chart", rows=" UNION ALL ".join(
+        f"SELECT creator_id, '{chart}' AS chart, ordinal, label, CAST({value} AS DECIMAL(20,2)) AS value FROM ({rows})" for chart, value, rows in (
+            ("revenue_by_event", "revenue", _TOP8), ("registration_trend", "registrations", _TREND)))),
+    "listing_lookup": "SELECT id, title, status, created_at FROM listings WHERE id IN (SELECT listing_id FROM saves)",
+    "registration_lookup": "SELECT id, user_id, listing_id, status FROM registrations WHERE id IN (SELECT id FROM waitlist)",
+    "ticket_lookup": "SELECT ticket_code, id, user_id, listing_id, status FROM registrations WHERE ticket_code IN (SELECT ticket_code FROM scans)",
+    "thread_lookup": "SELECT id, user_id, creator_id, listing_id FROM threads WHERE id IN (SELECT thread_id FROM read_log)",
     "creator_summary": """
         SELECT u.id AS creator_id, coalesce(e.n, 0) AS total_listings, coalesce(a.n, 0) AS total_attendees,
                coalesce(CAST(p.s AS DOUBLE), 0) AS total_revenue,
@@ -361,17 +382,8 @@ BODIES: dict[str, str] = {
         LEFT JOIN (SELECT l.creator_id, sum(p.amount) AS s FROM paid p JOIN registrations r ON p.registration_id = r.id
                    JOIN listings l ON r.listing_id = l.id GROUP BY 1) p ON p.creator_id = u.id
         WHERE u.role = 'creator'""",
-    "creator_revenue_top8": f"""
-        SELECT creator_id, ordinal, listing_id, {_short('title', 15)} AS label, coalesce(CAST(revenue AS DOUBLE), 0) AS revenue
-        FROM (SELECT *, row_number() OVER (PARTITION BY creator_id ORDER BY revenue DESC NULLS LAST, listing_id) AS ordinal FROM performance)
-        WHERE ordinal <= 8""",
-    "creator_trend": f"""
-        SELECT u.id AS creator_id, CAST(a.i AS BIGINT) AS ordinal, strftime(a.day, '%m-%d') AS label, count(r.id) AS registrations
-        FROM users u
-        JOIN (SELECT range AS i, CAST(TIMESTAMP '{TREND_AS_OF}' - to_days(CAST(29 - range AS INTEGER)) AS DATE) AS day FROM range(0, 30)) a ON true
-        LEFT JOIN (SELECT r.id, r.created_at, l.creator_id FROM live r JOIN listings l ON r.listing_id = l.id) r
-               ON r.creator_id = u.id AND CAST(r.created_at AS DATE) = a.day
-        WHERE u.role = 'creator' GROUP BY ALL""",
+    "creator_revenue_top8": _TOP8,
+    "creator_trend": _TREND,
     "creator_performance": f"""
         SELECT creator_id, listing_id, title, CAST(capacity AS BIGINT) AS capacity, status, type, registered, CAST(revenue AS DOUBLE) AS revenue,
                {_pct('registered', 'capacity')} AS fill_pct,

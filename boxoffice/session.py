@@ -21,6 +21,11 @@ CLUSTER_SETTINGS = {
 }
 
 
+def cluster_session(app: str = "boxoffice") -> SparkSession:
+    """A session with ``CLUSTER_SETTINGS``; master, memory and spark.checkpoint.dir come from the submission."""
+    return SparkSession.builder.appName(app).config(map=CLUSTER_SETTINGS).getOrCreate()
+
+
 def local_session(cpus: int | str = "*", app: str = "boxoffice") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     return (

@@ -46,3 +46,31 @@ def test_year_is_pushed_as_a_range(spark):
 def test_scans_read_only_needed_columns(spark):
     for columns in read_columns(QUERIES["payment_mix"](spark, SF)):
         assert set(c.split(":")[0] for c in columns.split(",")) <= {"l_linenumber", "l_returnflag", "l_linestatus"}
+
+
+def test_wanted_ids_restrict_the_facts_before_they_are_folded(big):
+    """Below every aggregate over payments or registrations stands a semi join with the wanted keys."""
+    from boxoffice.operators import attendees, creators, tickets
+    from boxoffice.plans.catalog import AS_OF, TREND_AS_OF
+    from boxoffice.sources.derived import from_trade_tables
+    t = from_trade_tables(big, SF)
+    one = [1_000_000_000_000_003]
+    frames = (
+        creators.creator_summary(t, ids=one), creators.creator_performance(t, ids=one), creators.creator_public_stats(t, ids=one),
+        creators.creator_manage_stats(t, ids=one), creators.creator_listings(t, ids=one), creators.creator_trend(t, as_of=TREND_AS_OF, ids=one),
+        attendees.user_summary(t, as_of=AS_OF, ids=[7]), attendees.user_spend_6m(t, as_of=AS_OF, ids=[7]),
+        tickets.attendee_list(t, ids=[7]), tickets.attendee_stats(t, ids=[7]))
+    for frame in frames:
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftSemi" in plan or "listing_id" in plan and "= 7" in plan, plan
+
+
+def test_stream_plans_have_no_python_or_cross_join(spark):
+    from boxoffice.plans import catalog
+    from boxoffice.sources import derived
+    from boxoffice.operators import engagement
+    events = catalog._events(spark, SF)
+    n = derived.sizes(spark, SF)
+    for frame in (engagement.daily_views(derived.view_hits(events)), derived.follow_toggles(events, n), derived.status_log(events, n)):
+        plan = frame._jdf.queryExecution().analyzed().toString()
+        assert frame.isStreaming and "Python" not in plan and "Join Cross" not in plan
