@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxoffice.llm.decontam import split_words
-from boxoffice.llm.text import ALNUM, fresh, id_crc, lower_az, slices
+from boxoffice.llm.text import ALNUM, fresh, hash_share, id_crc, lower_az, slices
 from boxoffice.session import materialize
 
 SAMPLE_DOCS = 1000
@@ -187,8 +187,11 @@ def learn(docs: DataFrame, learnable: Column, model_path: str, sample_docs: int
     spark = docs.sparkSession
     labelled = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    # about twice the sample passes by its hash, so the ranking meets few rows however many tasks and documents there are
+    sizes = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "lang-sizes")
+    near = labelled.select("lang", "h").join(sizes, "lang").filter(hash_share(F.col("h")) * F.col("n") <= 2 * sample_docs).select("lang", "h").distinct()
     first = Window.partitionBy("lang").orderBy("h")
-    cuts = materialize(labelled.select("lang", "h").withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_docs)
+    cuts = materialize(near.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= sample_docs)
                        .groupBy("lang").agg(F.max("h").alias("cut")), "lang-cuts")
     sample = labelled.join(cuts, "lang").filter("h <= cut").dropDuplicates(["lang", "h"])
     words = materialize(sample.select("lang", F.explode(F.regexp_extract_all(lower_az(F.col("text")), F.lit(ALNUM), F.lit(0))).alias("word"))

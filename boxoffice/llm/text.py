@@ -120,3 +120,8 @@ def slices(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def hash_share(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to 1."""
+    return h / float(1 << 64) + 0.5
