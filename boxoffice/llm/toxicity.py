@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxoffice.llm.decontam import split_words
-from boxoffice.llm.text import id_crc, slices
+from boxoffice.llm.text import hash_share, id_crc, slices
 from boxoffice.session import materialize
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
@@ -134,9 +134,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> tu
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & learnable).groupBy("doc_id").agg(
         (F.max("toxic") > 0).cast("int").alias("toxic"))
     known = known.join(docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct(), "doc_id", "left_semi")
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = known.withColumn("k", F.row_number().over(first)).filter(f"k <= {max(SAMPLE_TOXIC, SAMPLE_CLEAN)}").filter(
+    # about twice the sample passes by its hash, so the ranking meets few rows however many tasks and labels there are
+    limit, n = (F.when(F.col("toxic") == 1, one).otherwise(zero) for one, zero in ((SAMPLE_TOXIC, SAMPLE_CLEAN), (totals.get(1, 0), totals.get(0, 0))))
+    near = known.filter(hash_share(F.xxhash64("doc_id")) * n <= 2 * limit)
+    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = near.withColumn("k", F.row_number().over(first)).filter(f"k <= {max(SAMPLE_TOXIC, SAMPLE_CLEAN)}").filter(
         f"k <= if(toxic = 1, {SAMPLE_TOXIC}, {SAMPLE_CLEAN})").select("doc_id", "toxic")
     # broadcast: at most SAMPLE_TOXIC + SAMPLE_CLEAN pairs of numbers
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
