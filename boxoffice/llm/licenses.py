@@ -5,7 +5,8 @@ folded and equivalent spellings are replaced. Its digest is joined with the dige
 text is found however it is laid out, and nothing else is. The same lookup over single lines finds license notices inside
 documents. Only digests meet in the joins, never texts.
 
-Known texts are a table (license_id, text); ``KNOWN`` holds short public ones, a longer list can be passed.
+Known texts are a table (license_id, text), if one is passed. Otherwise they are ``KNOWN``, short public texts and notices, and
+the complete standard texts whose digests are in ``STANDARD``.
 
 Defined results: null and empty texts, and those of copyright lines alone, have an empty canonical form, which is no
 license; known texts with the same form give the smallest id; repeated rows get equal results; other columns are ignored.
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boxoffice.llm.license_texts import STANDARD
+
 # Equivalent spellings in license texts, each written the first way (words of the canonical form).
 SPELLINGS = (
     ("acknowledgment", "acknowledgement"), ("analog", "analogue"), ("analyze", "analyse"), ("artifact", "artefact"),
@@ -129,9 +132,18 @@ def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFr
         F.min("license_id").alias("license_id"))
 
 
+def scan_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
+    """``known_digests``; without a table passed, those of the complete standard texts as well."""
+    table = known_digests(spark, known)
+    if known is not None:
+        return table
+    standard = spark.createDataFrame([(d, i) for i, digests in STANDARD.items() for d in digests], "digest string, license_id string")
+    return table.unionByName(standard).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the entire text) and notices (sorted license ids of single lines) of every row."""
-    table = known_digests(docs.sparkSession, known)
+    table = scan_digests(docs.sparkSession, known)
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
     lines = with_digest(keyed.select("row_key", F.explode(F.split("text", "\n")).alias("line")), "line")
     found = lines.join(table, "digest").groupBy("row_key").agg(F.sort_array(F.collect_set("license_id")).alias("notices"))

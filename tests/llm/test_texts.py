@@ -5,6 +5,7 @@ import itertools
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -76,6 +77,28 @@ def test_licenses(spark, docs, odd, none):
     assert forms.count() == len({re.sub(r"\W+", " ", t).lower() for _, t in licenses.KNOWN})
 
 
+COMMON = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2",
+          "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1",
+          "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_complete_standard_texts(spark, docs):
+    paths = [p for p in (Path("/usr/share/common-licenses") / name for name in COMMON) if p.exists()]
+    if not paths:
+        pytest.skip("no standard texts here")
+    texts = {p.name: p.read_text() for p in paths}
+    rows = [(COMMON[n], t) for n, t in texts.items()]
+    rows += [(COMMON[n], t.split("END OF TERMS AND CONDITIONS")[0] + "END OF TERMS AND CONDITIONS") for n, t in texts.items() if "END OF TERMS" in t]
+    rows += [(COMMON[n], re.sub(r"51\s+Franklin\s+St(reet)?,\s+Fifth\s+Floor,\s+Boston,?\s+MA\s+02110-1301", "59 Temple Place, Suite 330, Boston, MA 02111-1307", t))
+             for n, t in texts.items()]
+    rows += [(i, "\n".join(f" * {line}" for line in t.upper().splitlines())) for i, t in rows]
+    rows += [(None, t + " More.") for t in texts.values()] + [(None, t[:-200]) for t in texts.values()]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs([t for _, t in rows])).collect()}
+    assert [got[k] for k in range(len(rows))] == [i for i, _ in rows]
+    passed = spark.createDataFrame([("mine", "My own terms.")], "license_id string, text string")
+    assert {r["license_id"] for r in licenses.license_scan(docs([rows[0][1], "my own terms"]), passed).collect()} == {None, "mine"}
+
+
 # ---- language ID
 
 def test_forward_algorithm_sums_all_segmentations():
