@@ -2,7 +2,7 @@
 
 n-gram maximum-likelihood estimates of every order are mixed; the weights depend on how often the longest
 seen context occurred (buckets by powers of two) and are learned by expectation-maximisation on the counts
-of a part of the training texts that is deleted from the estimates.
+of a part of the training texts that is deleted from the estimates. Scores then use the counts of all training texts if ``whole``.
 
 Plan. Texts are dealt into blocks of about ``BLOCK_BYTES``. A block sends each of its distinct n-grams once,
 as sorted packed 64-bit fingerprints, to the owner of the fingerprint's range; owners add up the counts of all
@@ -33,8 +33,8 @@ BINS_PER_OCTAVE = 8
 NONE = -32768  # the bin of a zero estimate
 START, END = np.uint64(0xA5A5A5A5DEADBEEF), np.uint64(0x5A5A5A5A0BADF00D)
 
-QUERY = "bucket int, block int, n_tokens int, n int, codes binary, kept binary, train binary"
-REPLY = "block int, n_tokens int, bucket int, n long, kept binary, train binary, kept_total long, train_total long"
+QUERY = "bucket int, block int, n_tokens int, n int, codes binary, counts binary, train binary"
+REPLY = "block int, n_tokens int, bucket int, n long, kept binary, total binary, train binary, kept_total long, train_total long"
 
 
 def pack_sorted(codes: np.ndarray) -> bytes:
@@ -97,28 +97,31 @@ class Tokens:
 def _ask(table: pa.Table, order: int, buckets: int) -> pa.Table:
     tokens = Tokens(table, order)
     block = table.column("block")[0].as_py()
-    kept_row = np.asarray(table.column("part")) == 0
     train_row = np.asarray(table.column("part")) <= 1
-    out = {k: [] for k in ("bucket", "block", "n_tokens", "n", "codes", "kept", "train")}
+    out = {k: [] for k in ("bucket", "block", "n_tokens", "n", "codes", "counts", "train")}
     for m in range(1, order + 1):
         at = tokens.ends[m - 1]
         codes, index = np.unique(tokens.codes[m - 1][at], return_inverse=True)
         rows = tokens.row[at]
-        kept = np.bincount(index, weights=kept_row[rows], minlength=len(codes)).astype(np.int64)
+        # of the deleted texts in blocks below 0, of the kept ones in all others
+        given = np.bincount(index, weights=train_row[rows], minlength=len(codes)).astype(np.int64)
         train = np.bincount(index, weights=(train_row[rows] & tokens.scored[at]), minlength=len(codes)).astype(np.int64)
         bucket = ((codes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(codes)]):
-            for name, value in zip(out, (int(bucket[lo]), block, m, hi - lo, pack_sorted(codes[lo:hi]), pack_counts(kept[lo:hi]),
+            for name, value in zip(out, (int(bucket[lo]), block, m, hi - lo, pack_sorted(codes[lo:hi]), pack_counts(given[lo:hi]),
                                          pack_counts(train[lo:hi]) if m == 1 else b"")):
                 out[name].append(value)
     types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Adds up the counts of one range of fingerprints; one reply per question, and a row of totals."""
-    out = {k: [] for k in ("block", "n_tokens", "bucket", "n", "kept", "train", "kept_total", "train_total")}
+def _answer(table: pa.Table, whole: bool) -> pa.Table:
+    """Adds up the counts of one range of fingerprints; one reply per question, and a row of totals.
+
+    A reply has the counts that its block needs: of kept texts to learn the weights, of all training texts to score if ``whole``.
+    """
+    out = {k: [] for k in ("block", "n_tokens", "bucket", "n", "kept", "total", "train", "kept_total", "train_total")}
     start = mix(np.array([START]))[0]
     asked = table.to_pydict()
     for m in sorted(set(asked["n_tokens"])):
@@ -127,27 +130,32 @@ def _answer(table: pa.Table) -> pa.Table:
         codes = np.concatenate([unpack_sorted(asked["codes"][i], n) for i, n in zip(mine, sizes)])
         codes, index = np.unique(codes, return_inverse=True)
         total = {}
-        for name in ("kept", "train") if m == 1 else ("kept",):
+        for name in ("counts", "train") if m == 1 else ("counts",):
             given = np.concatenate([unpack_counts(asked[name][i], n) for i, n in zip(mine, sizes)])
             total[name] = np.bincount(index, weights=given, minlength=len(codes)).astype(np.int64)
+            if name == "counts":
+                given = given * np.repeat([asked["block"][i] >= 0 for i in mine], sizes)
+                total["kept"] = np.bincount(index, weights=given, minlength=len(codes)).astype(np.int64)
         cuts = np.cumsum([0, *sizes])
         for k, i in enumerate(mine):
             part = index[cuts[k]: cuts[k + 1]]
             train = pack_counts(total["train"][part]) if m == 1 else b""
-            for name, value in zip(out, (asked["block"][i], m, asked["bucket"][i], sizes[k], pack_counts(total["kept"][part]), train, 0, 0)):
+            kept = pack_counts(total["kept"][part]) if asked["block"][i] < 0 or not whole else b""
+            counts = pack_counts(total["counts"][part]) if whole else b""
+            for name, value in zip(out, (asked["block"][i], m, asked["bucket"][i], sizes[k], kept, counts, train, 0, 0)):
                 out[name].append(value)
         if m == 1:
             real = codes != start
-            for name, value in zip(out, (None, 0, asked["bucket"][mine[0]], int((total["train"] > 0).sum()), b"", b"",
+            for name, value in zip(out, (None, 0, asked["bucket"][mine[0]], int((total["train"] > 0).sum()), b"", b"", b"",
                                          int(total["kept"][real].sum()), int(total["train"].sum()))):
                 out[name].append(value)
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
 
-def _counted(tokens: Tokens, replies: pa.Table, order: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Counts in the kept texts of the n-gram of every order ending at each place; training count of each token."""
-    got = sorted(zip(*(replies.column(c).to_pylist() for c in ("n_tokens", "bucket", "n", "kept", "train"))))
+def _counted(tokens: Tokens, replies: pa.Table, order: int, column: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Counts (of ``column``: kept, total) of the n-gram of every order ending at each place; training count of each token."""
+    got = sorted(zip(*(replies.column(c).to_pylist() for c in ("n_tokens", "bucket", "n", column, "train"))))
     kept, train = [], np.zeros(0)
     for m in range(1, order + 1):
         at = tokens.ends[m - 1]
@@ -181,7 +189,7 @@ def _estimates(tokens: Tokens, kept: list[np.ndarray], totals: dict, order: int)
 def _held_out(block: pa.Table, replies: pa.Table, order: int, totals: dict) -> pa.Table:
     """Cells of held-out tokens: context bucket, and the bins of each estimate's ratio to the uniform one."""
     tokens = Tokens(block, order)
-    kept, _ = _counted(tokens, replies, order)
+    kept, _ = _counted(tokens, replies, order, "kept")
     key, f = _estimates(tokens, kept, totals, order)
     with np.errstate(divide="ignore"):
         bins = np.where(f[1:] > 0, np.round(np.log2(f[1:] / f[0]) * BINS_PER_OCTAVE), NONE).astype(np.int64)
@@ -190,10 +198,10 @@ def _held_out(block: pa.Table, replies: pa.Table, order: int, totals: dict) -> p
                      "n": pa.array(counts, pa.int64())})
 
 
-def _score(block: pa.Table, replies: pa.Table, order: int, totals: dict, weights: np.ndarray) -> pa.Table:
+def _score(block: pa.Table, replies: pa.Table, order: int, totals: dict, weights: np.ndarray, whole: bool) -> pa.Table:
     tokens = Tokens(block, order)
-    kept, train = _counted(tokens, replies, order)
-    key, f = _estimates(tokens, kept, totals, order)
+    counts, train = _counted(tokens, replies, order, "total" if whole else "kept")
+    key, f = _estimates(tokens, counts, {**totals, "kept": totals["train"]} if whole else totals, order)
     logs = np.zeros(len(tokens.row))
     logs[tokens.scored] = np.log10((weights[key].T * f).sum(0))
     base = np.where(tokens.scored, np.log10((train + 1) / (totals["train"] + totals["types"] + 1)), 0)
@@ -236,10 +244,11 @@ def learn_weights(cells: list[tuple[int, list[int], int]], order: int, rounds: i
     return weights
 
 
-def interpolated_scores(docs: DataFrame, held_out: Column, deleted: Column, order: int = 2) -> DataFrame:
+def interpolated_scores(docs: DataFrame, held_out: Column, deleted: Column, order: int = 2, whole: bool = False) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text), learning from those that are not ``held_out``.
 
-    ``deleted`` marks the training rows whose counts teach the weights and are left out of the estimates.
+    ``deleted`` marks the training rows whose counts teach the weights and are left out of the estimates meanwhile; the scores
+    use the counts of all training rows if ``whole``, else of those not deleted.
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Runs jobs while it is built.
     """
     spark = docs.sparkSession
@@ -252,21 +261,21 @@ def interpolated_scores(docs: DataFrame, held_out: Column, deleted: Column, orde
     rows = docs.select("doc_id", "text", part.cast("int").alias("part")).withColumn(
         "block", F.when(F.col("part") == 1, -1 - F.pmod(place, F.lit(max(1, blocks // 8)))).otherwise(F.pmod(place, F.lit(blocks))).cast("int"))
     questions = rows.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), QUERY)
-    replies = materialize(questions.groupBy("bucket").applyInArrow(_answer, REPLY), "lm-counts")
+    replies = materialize(questions.groupBy("bucket").applyInArrow(lambda t: _answer(t, whole), REPLY), "lm-counts")
     sums = replies.filter("block is null").agg(F.sum("n"), F.sum("kept_total"), F.sum("train_total")).first()
     totals = dict(zip(("types", "kept", "train"), (x or 0 for x in sums)))
-    of_blocks = replies.filter("block is not null").select("block", "n_tokens", "bucket", "n", "kept", "train")
+    of_blocks = replies.filter("block is not null").select("block", "n_tokens", "bucket", "n", "kept", "total", "train")
 
     held = rows.filter("part = 1").groupBy("block").cogroup(of_blocks.filter("block < 0").groupBy("block")).applyInArrow(
         lambda left, right: _held_out(left, right, order, totals), "key int, bins array<int>, n long")
     cells = held.groupBy("key", "bins").agg(F.sum("n").alias("n")).collect()
     weights = learn_weights([(c["key"], c["bins"], c["n"]) for c in cells], order)
     return rows.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInArrow(
-        lambda left, right: _score(left, right, order, totals, weights),
+        lambda left, right: _score(left, right, order, totals, weights, whole),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def document_scores(docs: DataFrame) -> DataFrame:
+def document_scores(docs: DataFrame, order: int = 2, whole: bool = False) -> DataFrame:
     """``interpolated_scores`` with documents held out, and deleted, by a checksum of their ids."""
     crc = id_crc()
-    return interpolated_scores(docs, F.pmod(crc, F.lit(7)) == 2, F.pmod(F.floor(crc / 7), F.lit(10)) == 3)
+    return interpolated_scores(docs, F.pmod(crc, F.lit(7)) == 2, F.pmod(F.floor(crc / 7), F.lit(10)) == 3, order, whole)

@@ -7,8 +7,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from boxoffice.llm import lm
+from boxoffice.llm.text import id_crc
 
 TEXTS = ["the cat sat on the mat", "The cat sat", "a dog sat on the cat", "the dog", "", None, "on the mat the cat", "zebra quagga"] * 12
 
@@ -55,6 +57,28 @@ def test_against_dictionaries(docs):
         assert a[5:] == pytest.approx(b[5:], abs=1e-9)
 
 
+def test_scores_use_all_training_texts(docs):
+    part = lambda i: 2 if zlib.crc32(str(i).encode()) % 7 == 2 else 1 if zlib.crc32(str(i).encode()) // 7 % 10 == 3 else 0
+    by_part = {p: [i for i in range(400) if part(i) == p] for p in (0, 1, 2)}
+    told, kept, held = by_part[1][0], by_part[0], by_part[2][0]
+    texts = {i: "the cat sat" for i in kept[:40] + by_part[1][1:6]} | {told: "quagga zebra " * 30, held: "quagga zebra"}
+    rows = [(i, t) for i, t in texts.items()]
+    got = {whole: {r["doc_id"]: r for r in lm.document_scores(docs(rows), whole=whole).collect()} for whole in (False, True)}
+    assert got[True][held]["held_out"] and got[True][held]["n_known"] == 3
+    assert got[True][held]["score"] > got[False][held]["score"] + 0.5
+    # one document by hand: the order-1 model, whose weights do not depend on the context
+    one = Counter(w for i, t in texts.items() if part(i) < 2 for w in [*t.split(), "</s>"])
+    crc = id_crc()
+    frame, held_out, deleted = docs(rows), F.pmod(crc, F.lit(7)) == 2, F.pmod(F.floor(crc / 7), F.lit(10)) == 3
+    first = {r["doc_id"]: r["score"] for r in lm.interpolated_scores(frame, held_out, deleted, 1, True).collect()}
+    kept_one = Counter(w for i, t in texts.items() if part(i) == 0 for w in [*t.split(), "</s>"])
+    ratio = lambda c, w: c[w] / sum(c.values()) * (len(one) + 1)
+    cells = Counter(round(math.log2(ratio(kept_one, w)) * lm.BINS_PER_OCTAVE) if kept_one[w] else lm.NONE
+                    for i, t in texts.items() if part(i) == 1 for w in [*t.split(), "</s>"])
+    a, b = lm.learn_weights([(0, [k], n) for k, n in cells.items()], 1)[0]
+    assert first[held] == pytest.approx(sum(math.log10((a + b * ratio(one, w)) / (len(one) + 1)) for w in ("quagga", "zebra", "</s>")))
+
+
 def test_trigrams_run_and_are_no_worse_on_repeated_text(docs):
     from pyspark.sql import functions as F
 
