@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.document_scores(table(spark, sf_dir, "documents"), whole=True)
+    return lm.document_scores(table(spark, sf_dir, "documents"), order=3, whole=True)
 
 
 def op2_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxoffice.llm import lm
+from boxoffice.llm.queries import QUERIES
 from boxoffice.llm.text import id_crc
 
 TEXTS = ["the cat sat on the mat", "The cat sat", "a dog sat on the cat", "the dog", "", None, "on the mat the cat", "zebra quagga"] * 12
@@ -79,6 +80,14 @@ def test_scores_use_all_training_texts(docs):
     assert first[held] == pytest.approx(sum(math.log10((a + b * ratio(one, w)) / (len(one) + 1)) for w in ("quagga", "zebra", "</s>")))
 
 
+def test_the_registered_query_has_trigrams_of_all_training_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r["score"] for r in QUERIES["op1_lm_scores"](spark, sf).collect()}
+    want = {r["doc_id"]: r["score"] for r in lm.document_scores(spark.read.parquet(f"{sf}/documents.parquet"), 3, True).collect()}
+    bigrams = {r["doc_id"]: r["score"] for r in lm.document_scores(spark.read.parquet(f"{sf}/documents.parquet"), 2, True).collect()}
+    assert got == pytest.approx(want) and got != pytest.approx(bigrams)
+
+
 def test_trigrams_run_and_are_no_worse_on_repeated_text(docs):
     from pyspark.sql import functions as F
 
