@@ -29,7 +29,7 @@ from boxoffice.llm.text import hash_share, id_crc, slices
 from boxoffice.session import materialize
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
-VOTERS = 800
+BLOCK = 500  # voters whose correlations with all others are held at a time
 CORRELATE_EVERY = 5  # rounds of the label model
 LEAST_TOXIC = 3  # sample documents in which a voter fires
 LEAST_LIFT = 4.0  # how much more often in toxic than in clean ones
@@ -83,7 +83,9 @@ def _correlation(votes: np.ndarray, w: np.ndarray) -> np.ndarray:
     total = w.sum() + 1e-9
     centred = ((votes - (w @ votes) / total) * np.sqrt(w / total)[:, None]).astype(np.float32)
     spread = np.sqrt((centred ** 2).sum(0)) + 1e-9
-    return np.clip((centred.T @ centred) / spread / spread[:, None], 0, 1).sum(0)
+    centred /= spread
+    blocks = [centred[:, k: k + BLOCK] for k in range(0, centred.shape[1], BLOCK)]
+    return np.concatenate([np.zeros(0), *(np.clip(centred.T @ b, 0, 1).sum(0) for b in blocks)])
 
 
 def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 15) -> np.ndarray:
@@ -112,7 +114,7 @@ def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds
 def linear_classifier(votes: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
     """Weights of the voters and, last, the bias: logistic regression on soft targets, by accelerated gradient steps."""
     x = np.column_stack([votes, np.ones(len(votes))]).astype(np.float64)
-    scale = np.sqrt((weight[:, None] * x * x).sum(0) + ridge)  # each column its own step
+    scale = np.sqrt(weight @ (x * x) + ridge)  # each column its own step
     penalty = np.append(np.full(x.shape[1] - 1, ridge), 0.0)
     beta = ahead = np.zeros(x.shape[1])
     step, vector = 0.0, np.ones(x.shape[1])
@@ -147,7 +149,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> tu
 
 
 def mine_voters(sample: DataFrame) -> list[bytes]:
-    """The ``VOTERS`` features with the strongest association among those that pass the least counts."""
+    """All features that pass the least counts, the strongest association first."""
     def count(batches):
         for batch in slices(batches):
             counts: dict[bytes, list[int]] = {}
@@ -161,7 +163,7 @@ def mine_voters(sample: DataFrame) -> list[bytes]:
     sums = sample.mapInArrow(count, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rate1, rate0 = (F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1), (F.col("clean") + 0.5) / (sizes.get(0, 0) + 1)
     strength = F.col("toxic") * F.log(rate1 / rate0)
-    best = sums.filter((F.col("toxic") >= LEAST_TOXIC) & (rate1 / rate0 >= LEAST_LIFT)).orderBy(strength.desc(), "feature").limit(VOTERS)
+    best = sums.filter((F.col("toxic") >= LEAST_TOXIC) & (rate1 / rate0 >= LEAST_LIFT)).orderBy(strength.desc(), "feature")
     return [bytes(r["feature"]) for r in best.select("feature").collect()]
 
 
@@ -181,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[list[b
     # texts in which the same voters fire are one row; most clean ones have none
     patterns = sample.mapInArrow(fired, "toxic int, fired array<int>").groupBy("toxic", "fired").agg(F.count("*").alias("n"))
     rows = patterns.collect()  # bounded by the sample
-    votes = np.zeros((len(rows), len(voters)))
+    votes = np.zeros((len(rows), len(voters)), np.float32)
     for i, r in enumerate(rows):
         votes[i, r["fired"]] = 1
     label, n = np.array([r["toxic"] for r in rows]), np.array([r["n"] for r in rows])

@@ -167,6 +167,13 @@ def test_toxicity_of_odd_rows(spark, odd, none):
     assert toxicity.document_toxicity(none, labels).collect() == []
 
 
+def test_every_feature_that_passes_votes(spark):
+    words = [f"q{k}" for k in range(1000)]
+    rows = [(" ".join(words), 1)] * 3 + [("fine text", 0)] * 30
+    voters = toxicity.mine_voters(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {w.encode() for w in words} <= set(voters)
+
+
 def test_label_model_shares_the_weight_of_correlated_voters():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.3
