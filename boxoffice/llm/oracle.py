@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: op2, op3, op4 and op6.
+"""DuckDB SQL for the operators that SQL can express: op2, op3, op4, op6 and op12.
 
 The others have none: op1 learns weights by iteration, op5 uses a tokenizer, op7 and op9 learn models, op8 needs XXH64, and
 op10's rounds over parts of every match are tested against a plain version instead.
@@ -100,9 +100,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(hits.n_hit, 0) AS
        sha256(coalesce(items.list, '')) AS items_sha256, hits.n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN hits USING (r) LEFT JOIN items USING (r)"""
 
+_MIDDLE = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+           sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x
+    FROM documents),
+h AS (
+    SELECT *, CAST(len(u) AS BIGINT) AS n, CAST('0x' || x[1:8] AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (len(u) + 1) AS b,
+           CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain'
+                WHEN CAST('0x' || x[25:32] AS BIGINT) % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+    FROM d),
+parts AS (
+    SELECT doc_id, n, form, t, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m,
+           array_to_string(u[greatest(a, b) + 1:], '') AS s
+    FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts"""
+
 ORACLE: dict[str, str] = {
     "op2_embedding_groups": _EMBEDDINGS,
     "op3_source_mix": _MIX,
     "op4_licenses": _LICENSES,
     "op6_contamination": _CONTAMINATION,
+    "op12_middles": _MIDDLE,
 }
