@@ -1,4 +1,4 @@
-"""DuckDB SQL for the operators that SQL can express: op2, op3, op4, op6 and op12.
+"""DuckDB SQL for the operators that SQL can express: op2, op3, op4, op6, op12 and op13.
 
 The others have none: op1 learns weights by iteration, op5 uses a tokenizer, op7 and op9 learn models, op8 needs XXH64, and
 op10's rounds over parts of every match are tested against a plain version instead.
@@ -120,10 +120,40 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT)
        sha256(t) AS restored_sha256
 FROM parts"""
 
+_TRIE = """
+WITH turns AS (
+    SELECT CAST(conv_id AS BIGINT) AS c, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+           CAST(length(coalesce(text, '')) AS BIGINT) AS chars
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT c, list({'k': k, 'chars': chars} ORDER BY turn NULLS FIRST, CAST('0x' || k[1:15] AS BIGINT), CAST('0x' || k[16:30] AS BIGINT)) AS l
+    FROM turns GROUP BY c),
+hashed AS (  -- crc32 of the digits: one byte after the other, eight shifts each
+    SELECT c, l, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+        lambda a, x: list_reduce([xor(a, x)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda b, i: xor(b >> 1, 3988292384::BIGINT * (b & 1)))), 4294967295::BIGINT) % 6 AS h
+    FROM own),
+rebuilt AS (
+    SELECT a.c, coalesce(b.l[1:a.h], []) || a.l[a.h + 1:] AS l FROM hashed a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+states AS (
+    SELECT c, d, len(l) AS size, array_to_string(list_transform(l[1:d], lambda x: x.k), '') AS path, CASE WHEN d > 0 THEN l[d].chars ELSE 0 END AS chars
+    FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, max(chars) AS chars, string_agg(CASE WHEN d = size THEN CAST(c AS VARCHAR) END, ',' ORDER BY c) AS ends
+    FROM states GROUP BY d, path),
+children AS (SELECT substr(path, 1, 32 * (d - 1)) AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)),
+sums AS (
+    SELECT substr(path, 1, 32 * a) AS path, count_if(n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * chars) AS BIGINT) AS saved_tokens
+    FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_nodes) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, CAST(sums.n_leaves AS BIGINT) AS n_leaves, sums.saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM full_nodes n JOIN sums USING (path) LEFT JOIN nodes p ON n.d > 0 AND p.path = substr(n.path, 1, 32 * (n.d - 1))"""
+
 ORACLE: dict[str, str] = {
     "op2_embedding_groups": _EMBEDDINGS,
     "op3_source_mix": _MIX,
     "op4_licenses": _LICENSES,
     "op6_contamination": _CONTAMINATION,
     "op12_middles": _MIDDLE,
+    "op13_prefix_trie": _TRIE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxoffice.llm import decontam, langid, licenses, lm, middle, mixing, pii, simhash, tokenfiles, toxicity, vectors
+from boxoffice.llm import decontam, langid, licenses, lm, middle, mixing, packing, pii, simhash, tokenfiles, toxicity, trie, vectors
 from boxoffice.llm.oracle import ORACLE  # noqa: F401
 
 #: The key of the registered query; real runs pass a secret of their own.
@@ -56,10 +56,18 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.middle_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_lm_scores": op1_lm_scores,
     "op2_embedding_groups": op2_embedding_groups,
@@ -71,5 +79,7 @@ QUERIES = {
     "op8_simhash_groups": op8_simhash_groups,
     "op9_languages": op9_languages,
     "op10_pseudonyms": op10_pseudonyms,
+    "op11_packing": op11_packing,
     "op12_middles": op12_middles,
+    "op13_prefix_trie": op13_prefix_trie,
 }

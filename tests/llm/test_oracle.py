@@ -18,7 +18,7 @@ def test_registration():
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_statement(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "embeddings"):
+    for table in ("documents", "benchmark", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.execute(ORACLE[name])
     order = [c[0] for c in want.description]
