@@ -29,9 +29,9 @@ def user_summary(t: Tables, *, as_of: datetime, ids: Ids = None) -> DataFrame:
     ahead = t.listings.filter(F.col("date_start") > ntz(as_of)).select(
         F.col("id").alias("listing_id"), F.lit(True).alias("ahead"))
     kept = F.col("status") != "cancelled"
-    own = _own(t, ids).select("registration_id", "user_id", "listing_id", "status")
+    own = _own(t, ids).select("registration_id", *(k for k in t.key if k != "registration_id"), "user_id", "listing_id", "status")
     rows = (
-        own.join(payment_totals(t, None if ids is None else own), "registration_id", "left").join(ahead, "listing_id", "left")
+        own.join(payment_totals(t, None if ids is None else own), list(t.key), "left").join(ahead, "listing_id", "left")
     )
     totals = rows.groupBy("user_id").agg(
         F.count_if(kept).alias("tickets"), F.count_if(kept & F.col("ahead")).alias("upcoming"), F.sum("paid").alias("paid"))

@@ -40,22 +40,28 @@ def seat_counts(t: Tables, ids: Ids = None) -> DataFrame:
     return rows.groupBy("listing_id").agg(F.count("*").alias("registered"))
 
 
-def of_registrations(rows: DataFrame, registrations: DataFrame | None) -> DataFrame:
+def registration_rows(t: Tables, *columns: str, ids: Ids = None) -> DataFrame:
+    """registration_id, the key by which other tables refer to it, and the given columns; of the given listings."""
+    keys = [k for k in t.key if k != "registration_id"]
+    return restrict(t.registrations, "listing_id", ids).select(F.col("id").alias("registration_id"), *keys, *columns)
+
+
+def of_registrations(rows: DataFrame, registrations: DataFrame | None, key: Sequence[str] = ("registration_id",)) -> DataFrame:
     """The rows that belong to ``registrations``, before anything is folded; all rows without it."""
     if registrations is None:
         return rows
-    return rows.join(registrations.select("registration_id").distinct(), "registration_id", "left_semi")
+    return rows.join(registrations.select(*key).distinct(), list(key), "left_semi")
 
 
 def payment_totals(t: Tables, registrations: DataFrame | None = None) -> DataFrame:
     """Successful payments folded to one row per registration."""
-    return of_registrations(successful(t.payments), registrations).groupBy("registration_id").agg(
+    return of_registrations(successful(t.payments), registrations, t.key).groupBy(*t.key).agg(
         F.count("*").alias("paid_rows"), F.sum("amount").alias("paid"))
 
 
 def first_payments(t: Tables, registrations: DataFrame | None = None) -> DataFrame:
     """The amount of the earliest successful payment per registration."""
-    return of_registrations(successful(t.payments), registrations).groupBy("registration_id").agg(
+    return of_registrations(successful(t.payments), registrations, t.key).groupBy(*t.key).agg(
         F.min_by("amount", F.struct("created_at", "amount", "method")).alias("paid_amount"))
 
 
@@ -65,18 +71,18 @@ def joined_ledger(t: Tables, listings: Ids = None) -> DataFrame:
     A registration counts once per successful payment (at least once). Weighting the folded
     payments gives the same numbers as joining every payment row.
     """
-    regs = restrict(live(t.registrations), "listing_id", listings).select(F.col("id").alias("registration_id"), "listing_id")
+    regs = live(registration_rows(t, "listing_id", "status", ids=listings)).drop("status")
     return (
-        regs.join(payment_totals(t, None if listings is None else regs), "registration_id", "left").groupBy("listing_id")
+        regs.join(payment_totals(t, None if listings is None else regs), list(t.key), "left").groupBy("listing_id")
         .agg(F.sum(F.coalesce("paid_rows", F.lit(1))).alias("registered"), F.sum("paid").alias("revenue"))
     )
 
 
 def full_ledger(t: Tables, listings: Ids = None) -> DataFrame:
     """Per listing, or per one of the given: live registrations once each, and successful payments of all registrations."""
-    regs = restrict(t.registrations, "listing_id", listings).select(F.col("id").alias("registration_id"), "listing_id", "status")
+    regs = registration_rows(t, "listing_id", "status", ids=listings)
     return (
-        regs.join(payment_totals(t, None if listings is None else regs), "registration_id", "left").groupBy("listing_id")
+        regs.join(payment_totals(t, None if listings is None else regs), list(t.key), "left").groupBy("listing_id")
         .agg(F.count_if(F.col("status") != "cancelled").alias("registered"), F.sum("paid").alias("revenue"))
     )
 
@@ -127,14 +133,15 @@ def zero_filled(facts: DataFrame, axis: DataFrame, keys: Sequence[str], sums: Se
     return facts.select(*keys, *sums).unionByName(zeros).groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
 
 
-def key_value_map(frame: DataFrame, entity: str, key: str, value: str, order: str) -> DataFrame:
+def key_value_map(frame: DataFrame, entity: str | Sequence[str], key: str, value: str, order: str) -> DataFrame:
     """Key/value rows to one map per entity; of repeated keys the last row wins.
 
     Repeats are cut first, so an entity gathers at most one entry per distinct form field.
     """
-    last = top_per_key(frame.select(entity, key, value, order), [entity, key], [F.desc(order), F.desc(value)], 1, "_n")
+    entity = [entity] if isinstance(entity, str) else list(entity)
+    last = top_per_key(frame.select(*entity, key, value, order), [*entity, key], [F.desc(order), F.desc(value)], 1, "_n")
     entries = F.array_sort(F.collect_list(F.struct(key, value)))
-    return last.groupBy(entity).agg(F.map_from_entries(entries).alias("fields"))
+    return last.groupBy(*entity).agg(F.map_from_entries(entries).alias("fields"))
 
 
 def fields_text(fields: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxoffice.functions.text import shortened
 from boxoffice.operators.base import Ids, positions, restrict, top_per_key
+from boxoffice.operators.intervals import interval_join
 from boxoffice.schema import DELETED_MESSAGE
 from boxoffice.sources.tables import Tables
 
@@ -52,8 +53,8 @@ def publish_fanout(t: Tables, log: DataFrame, spans: DataFrame) -> DataFrame:
     names = t.users.select(F.col("id").alias("creator_id"), "name")
     shows = t.listings.select(F.col("id").alias("listing_id"), "creator_id", "title").join(names, "creator_id")
     published = log.filter(F.col("status") == "published").select("event_id", "listing_id", "ts").join(shows, "listing_id")
-    held = (F.col("ts") >= F.col("followed_at")) & (F.col("unfollowed_at").isNull() | (F.col("ts") < F.col("unfollowed_at")))
-    return published.join(spans, "creator_id").filter(held).select(
+    told = interval_join(published, spans, "creator_id", "ts", "followed_at", "unfollowed_at", "follower_id")
+    return told.select(
         "event_id", F.col("follower_id").alias("user_id"), publish_message(F.col("name"), F.col("title")).alias("message"),
         F.concat(F.lit("/events/"), F.col("listing_id").cast("string")).alias("link"), F.col("ts").alias("created_at"))
 

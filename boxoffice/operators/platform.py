@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from boxoffice.functions.ratios import money, whole_percent
 from boxoffice.functions.text import folded, label
 from boxoffice.functions.times import days_before, ntz, on_day, within_year
-from boxoffice.operators.base import full_ledger, joined_ledger, live, payment_totals, successful, zero_filled
+from boxoffice.operators.base import full_ledger, joined_ledger, live, payment_totals, registration_rows, successful, zero_filled
 from boxoffice.schema import LISTING_TYPES, STATUS_AXIS
 from boxoffice.sources.tables import Tables
 
@@ -108,9 +108,9 @@ def listings_by_status(t: Tables) -> DataFrame:
 
 def revenue_by_type(t: Tables) -> DataFrame:
     """Successful payments by listing type, cancelled registrations included, largest first."""
-    regs = t.registrations.select(F.col("id").alias("registration_id"), "listing_id")
+    regs = registration_rows(t, "listing_id")
     per_listing = (
-        payment_totals(t).join(regs, "registration_id").groupBy("listing_id").agg(F.sum("paid").alias("paid"))
+        payment_totals(t).join(regs, list(t.key)).groupBy("listing_id").agg(F.sum("paid").alias("paid"))
     )
     kinds = t.listings.select(F.col("id").alias("listing_id"), "type")
     total = per_listing.join(kinds, "listing_id").groupBy("type").agg(F.sum("paid").alias("paid"))

@@ -18,6 +18,7 @@ from boxoffice.functions.times import countdown, ntz
 from boxoffice.operators.base import live, seat_counts, top_per_key
 from boxoffice.schema import CURRENCY, PAGE_ADMIN, PAGE_CATALOGUE
 from boxoffice.sources.tables import Tables
+from boxoffice.sources.textindex import TextIndex
 
 SORTS = {
     "newest": lambda: [F.desc("created_at"), F.asc("listing_id")],
@@ -63,14 +64,23 @@ class ListingFilter:
         return found
 
 
-def matching(t: Tables, wanted: ListingFilter) -> DataFrame:
-    rows = t.listings.filter(reduce(and_, wanted.predicates()))
-    return rows.withColumnRenamed("id", "listing_id")
+LISTING_TEXTS = ("title", "city", "description")
 
 
-def catalogue_matches(t: Tables, wanted: ListingFilter) -> DataFrame:
+def matching(t: Tables, wanted: ListingFilter, index: TextIndex | None = None) -> DataFrame:
+    """The listings that pass the filter; an index over ``LISTING_TEXTS`` narrows them first."""
+    rows = t.listings
+    if index is not None and not wanted.wildcards:
+        rows = index.narrowed(rows, "id", ("city",), wanted.city)
+        rows = index.narrowed(rows, "id", LISTING_TEXTS, wanted.search)
+    return rows.filter(reduce(and_, wanted.predicates())).withColumnRenamed("id", "listing_id")
+
+
+def catalogue_matches(t: Tables, wanted: ListingFilter, index: TextIndex | None = None) -> DataFrame:
     """All matching listings without paging, with creator and seat counts."""
-    return _with_names_and_seats(t, matching(t, wanted), seat_counts(t))
+    rows = matching(t, wanted, index)
+    seats = seat_counts(t) if index is None else seat_counts(t, rows.select("listing_id"))
+    return _with_names_and_seats(t, rows, seats)
 
 
 def _with_names_and_seats(t: Tables, rows: DataFrame, seats: DataFrame) -> DataFrame:
@@ -109,16 +119,21 @@ def _page_counts(rows: DataFrame, per_page: int) -> DataFrame:
         "total", F.greatest(F.lit(1), F.ceil(F.col("total") / per_page)).cast("bigint").alias("total_pages"))
 
 
-def _searched_users(t: Tables, search: str, role: str) -> DataFrame:
-    people = t.users
+USER_TEXTS = ("name", "email")
+
+
+def _searched_users(t: Tables, search: str, role: str, index: TextIndex | None = None) -> DataFrame:
+    people = t.users if index is None else index.narrowed(t.users, "id", USER_TEXTS, search)
     if search:
         people = people.filter(has_text(F.col("name"), search) | has_text(F.col("email"), search))
     kinds = {"users": F.col("role") == "user", "creators": F.col("role") == "creator", "banned": F.col("is_banned")}
     return people.filter(kinds[role]) if role in kinds else people
 
 
-def user_search(t: Tables, *, search: str = "", role: str = "all", page: int = 1, per_page: int = PAGE_ADMIN) -> DataFrame:
-    rows = _searched_users(t, search, role).withColumnRenamed("id", "user_id").select(
+def user_search(t: Tables, *, search: str = "", role: str = "all", page: int = 1, per_page: int = PAGE_ADMIN,
+                index: TextIndex | None = None) -> DataFrame:
+    """One page; an index over ``USER_TEXTS`` narrows the people first."""
+    rows = _searched_users(t, search, role, index).withColumnRenamed("id", "user_id").select(
         "user_id", "name", "email", "role", "is_banned", "created_at")
     order = [F.desc("created_at"), F.asc("user_id")]
     rows = rows.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
@@ -149,6 +164,16 @@ def registration_ledger(t: Tables) -> DataFrame:
     return _with_titles(t, _with_user_names(t)).orderBy(F.desc("created_at"), "registration_id")
 
 
+def registrations_narrowed(t: Tables, search: str, codes: TextIndex, people: TextIndex) -> DataFrame:
+    """Registrations whose ticket code, or whose attendee's name, may contain the needle; from an index over ticket codes
+    (by registration id) and one over ``USER_TEXTS``."""
+    by_code, by_name = codes.candidates("ticket_code", search), people.candidates("name", search)
+    if by_code is None or by_name is None:
+        return t.registrations
+    named = t.registrations.select("id", "user_id").join(by_name[0].toDF("user_id").distinct(), "user_id", "left_semi").select("id")
+    return t.registrations.join(by_code[0].toDF("id").unionByName(named).distinct(), "id", "left_semi")
+
+
 def _searched_registrations(t: Tables, search: str, status: str) -> DataFrame:
     rows = _with_user_names(t)
     if search:
@@ -156,8 +181,12 @@ def _searched_registrations(t: Tables, search: str, status: str) -> DataFrame:
     return rows.filter(F.col("status") == status) if status != "all" else rows
 
 
-def registration_search(t: Tables, *, search: str = "", status: str = "all", page: int = 1, per_page: int = PAGE_ADMIN) -> DataFrame:
-    """One page; listing titles (every registration has its listing) are looked up for the page only."""
+def registration_search(t: Tables, *, search: str = "", status: str = "all", page: int = 1, per_page: int = PAGE_ADMIN,
+                        indexes: tuple[TextIndex, TextIndex] | None = None) -> DataFrame:
+    """One page; listing titles (every registration has its listing) are looked up for the page only. ``indexes``: see
+    ``registrations_narrowed``."""
+    if indexes is not None and search:
+        t = t.replaced(registrations=registrations_narrowed(t, search, *indexes))
     order = [F.desc("created_at"), F.asc("registration_id")]
     rows = _searched_registrations(t, search, status).orderBy(*order).offset((page - 1) * per_page).limit(per_page)
     return _with_titles(t, F.broadcast(rows)).orderBy(*order)  # at most ``per_page`` rows

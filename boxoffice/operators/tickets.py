@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from boxoffice.functions.ratios import money, whole_percent
 from boxoffice.functions.replies import ticket_code
 from boxoffice.operators.base import (
-    Ids, fields_text, first_payments, key_value_map, of_registrations, positions, restrict, seat_counts, successful, top_per_key,
+    Ids, fields_text, first_payments, key_value_map, of_registrations, positions, registration_rows, restrict, seat_counts, successful, top_per_key,
 )
 from boxoffice.schema import BOOKING_FEE, TICKET_PREFIX
 from boxoffice.sources.tables import Tables
@@ -20,7 +20,7 @@ def registration_counts(t: Tables, *, ids: Ids = None) -> DataFrame:
 
 def answers_map(t: Tables, registrations: DataFrame | None = None) -> DataFrame:
     """Answers per registration as a map; of repeated questions the last answer wins."""
-    return key_value_map(of_registrations(t.registration_answers, registrations), "registration_id", "question_key", "answer", "id")
+    return key_value_map(of_registrations(t.registration_answers, registrations, t.key), t.key, "question_key", "answer", "id")
 
 
 def details_map(t: Tables) -> DataFrame:
@@ -29,15 +29,15 @@ def details_map(t: Tables) -> DataFrame:
 
 def _with_answers_and_amount(t: Tables, rows: DataFrame, all_rows: bool) -> DataFrame:
     wanted = None if all_rows else rows
-    return rows.join(answers_map(t, wanted), "registration_id", "left").join(first_payments(t, wanted), "registration_id", "left")
+    return rows.join(answers_map(t, wanted), list(t.key), "left").join(first_payments(t, wanted), list(t.key), "left")
 
 
 def ticket_detail(t: Tables, *, codes: DataFrame | None = None) -> DataFrame:
     """Registration, listing, attendee, answers and the amount paid (0 when nothing was)."""
-    regs = t.registrations if codes is None else t.registrations.join(codes.toDF("ticket_code").distinct(), "ticket_code", "left_semi")
+    rows = registration_rows(t, "user_id", "listing_id", "ticket_code", "status")
+    rows = rows if codes is None else rows.join(codes.toDF("ticket_code").distinct(), "ticket_code", "left_semi")
     people = t.users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"), F.col("email").alias("user_email"))
     shows = t.listings.select(F.col("id").alias("listing_id"), "title", F.col("type").alias("listing_type"), "date_start", "date_end", "venue", "city")
-    rows = regs.select(F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status")
     return (
         _with_answers_and_amount(t, rows, codes is None).join(people, "user_id").join(shows, "listing_id").select(
             "ticket_code", "registration_id", "status", "title", "listing_type", "date_start", "date_end", "venue", "city", "user_name",
@@ -46,14 +46,17 @@ def ticket_detail(t: Tables, *, codes: DataFrame | None = None) -> DataFrame:
 
 
 def attendee_list(t: Tables, *, ids: Ids = None) -> DataFrame:
-    """Attendees per listing, newest registration first, with answers and the first successful payment (NULL when none)."""
+    """Attendees per listing with answers and the first successful payment (NULL when none).
+
+    Those of the given listings come newest registration first. All listings' come in no order: a global sort would
+    compute everything twice, and whoever writes them sorts within listings (``files.write_attendee_csv``).
+    """
     people = t.users.select(F.col("id").alias("user_id"), "name", "email")
-    rows = restrict(t.registrations, "listing_id", ids).select(
-        F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status", "created_at")
-    return _with_answers_and_amount(t, rows, ids is None).join(people, "user_id").select(
+    rows = registration_rows(t, "user_id", "listing_id", "ticket_code", "status", "created_at", ids=ids)
+    found = _with_answers_and_amount(t, rows, ids is None).join(people, "user_id").select(
         "listing_id", "registration_id", "ticket_code", "status", "created_at", "user_id", "name", "email",
-        F.col("fields").alias("answers"), money(F.col("paid_amount")).alias("paid_amount")).orderBy(
-        "listing_id", F.desc("created_at"), "registration_id")
+        F.col("fields").alias("answers"), money(F.col("paid_amount")).alias("paid_amount"))
+    return found if ids is None else found.orderBy("listing_id", F.desc("created_at"), "registration_id")
 
 
 def flat_answers(frame: DataFrame) -> DataFrame:
@@ -64,9 +67,8 @@ def flat_answers(frame: DataFrame) -> DataFrame:
 def attendee_export(t: Tables, *, ids: Ids = None) -> DataFrame:
     """The frame behind the attendee CSV: listing plus the six exported columns."""
     people = t.users.select(F.col("id").alias("user_id"), "name", "email")
-    regs = restrict(t.registrations, "listing_id", ids).select(
-        F.col("id").alias("registration_id"), "user_id", "listing_id", "ticket_code", "status", "created_at")
-    return regs.join(first_payments(t, None if ids is None else regs), "registration_id", "left").join(people, "user_id").select(
+    regs = registration_rows(t, "user_id", "listing_id", "ticket_code", "status", "created_at", ids=ids)
+    return regs.join(first_payments(t, None if ids is None else regs), list(t.key), "left").join(people, "user_id").select(
         "listing_id", F.col("ticket_code").alias("Ticket Code"), F.col("name").alias("Name"), F.col("email").alias("Email"),
         F.col("status").alias("Status"), F.date_format("created_at", "yyyy-MM-dd").alias("Date"),
         F.col("paid_amount").cast("string").alias("Amount Paid"))
@@ -74,8 +76,8 @@ def attendee_export(t: Tables, *, ids: Ids = None) -> DataFrame:
 
 def attendee_stats(t: Tables, *, ids: Ids = None) -> DataFrame:
     """Totals above the attendee list; every registration counts, revenue takes first payments."""
-    regs = restrict(t.registrations, "listing_id", ids).select(F.col("id").alias("registration_id"), "listing_id", "status")
-    totals = regs.join(first_payments(t, None if ids is None else regs), "registration_id", "left").groupBy("listing_id").agg(
+    regs = registration_rows(t, "listing_id", "status", ids=ids)
+    totals = regs.join(first_payments(t, None if ids is None else regs), list(t.key), "left").groupBy("listing_id").agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "confirmed").alias("confirmed"), F.sum("paid_amount").alias("paid"))
     confirmed = F.coalesce("confirmed", F.lit(0))
     shows = restrict(t.listings.select(F.col("id").alias("listing_id"), "capacity"), "listing_id", ids)
@@ -166,11 +168,12 @@ def settlement(t: Tables, attempts: DataFrame | None = None) -> DataFrame:
     """Outcome per registration. Free ones are confirmed at once; of the payment attempts the first
     is charged price plus fee, once, unless the registration was confirmed before."""
     tries = successful(t.payments) if attempts is None else attempts
-    first = tries.groupBy("registration_id").agg(
+    key = list(t.key) if attempts is None else ["registration_id"]
+    first = tries.groupBy(*key).agg(
         F.min(F.struct("created_at", "amount", "method")).alias("f"), F.count("*").alias("attempts"))
     prices = t.listings.select(F.col("id").alias("listing_id"), "price")
-    rows = t.registrations.select(F.col("id").alias("registration_id"), "listing_id", "status", "created_at")
-    rows = rows.join(first, "registration_id", "left").join(prices, "listing_id")
+    rows = registration_rows(t, "listing_id", "status", "created_at")
+    rows = rows.join(first, key, "left").join(prices, "listing_id")
     due = F.col("price") + F.when(F.col("price") > 0, F.lit(BOOKING_FEE)).otherwise(F.lit(0))
     outcome = (
         F.when(F.col("status") == "confirmed", "already_confirmed").when(F.col("price") == 0, "free")

@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxoffice.operators import (
-    attendees, charts, creators, engagement, intake, integrity, lifecycle, platform, recommend, replies, search, tickets,
+    attendees, charts, creators, engagement, intake, integrity, lifecycle, platform, recommend, replies, search, seats, tickets,
 )
 from boxoffice.operators.search import ListingFilter
 from boxoffice.schema import ACTIVITY_SCHEMA, CHAT_SCHEMA, LINEITEM_SCHEMA, SETTING_DEFAULTS
 from boxoffice.session import materialize, new_folder
-from boxoffice.sources import derived, files
+from boxoffice.sources import derived, files, layout
 from boxoffice.sources.tables import Tables
-from boxoffice.streaming import activity
+from boxoffice.sources.textindex import TextIndex
+from boxoffice.streaming import activity, kpis
 
 AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 TREND_AS_OF = datetime(2001, 7, 31, 12, 0, 0)
@@ -151,6 +152,68 @@ def batch_search(t: Tables) -> DataFrame:
     return search.batch_search(t, search.parsed_requests(t.search_replies, [k for k, _ in TYPES]))
 
 
+# ---- searches through a stored index of grams, built over the whole tables first ----
+
+def _index(t: Tables, name: str, fields: tuple[str, ...]) -> TextIndex:
+    return TextIndex(t.spark, new_folder(t.spark, f"grams-{name}")).add(getattr(t, name), "id", fields)
+
+
+INDEXED = {
+    "indexed_search_text": ListingFilter(search="HOT gear"),
+    "indexed_search_short": ListingFilter(search="#9", city="NATION_2"),
+    "indexed_search_scan": ListingFilter(search="nation_", price="paid"),
+}
+for _name, _wanted in INDEXED.items():
+    _register(_name, lambda t, wanted=_wanted: search.catalogue_matches(t, wanted, _index(t, "listings", search.LISTING_TEXTS)))
+
+
+@_query
+def indexed_user_search(t: Tables) -> DataFrame:
+    return search.user_search(t, search="MER#00000001", index=_index(t, "users", search.USER_TEXTS))
+
+
+@_query
+def indexed_registration_search(t: Tables) -> DataFrame:
+    indexes = _index(t, "registrations", ("ticket_code",)), _index(t, "users", search.USER_TEXTS)
+    return search.registration_search(t, search="0012", status="confirmed", indexes=indexes)
+
+
+# ---- reports over registrations, payments and answers stored in buckets of their common key ----
+
+BUCKETS = 16
+
+
+def _bucketed(t: Tables) -> Tables:
+    folder = new_folder(t.spark, "bucketed")
+    layout.write_bucketed(t, folder, BUCKETS)
+    return layout.open_bucketed(t, folder, BUCKETS, folder.rsplit("/", 1)[1].replace("-", "_"))
+
+
+for _name, _build in {
+    "bucketed_ticket_detail": lambda t: tickets.flat_answers(tickets.ticket_detail(t)),
+    "bucketed_attendee_list": lambda t: tickets.flat_answers(tickets.attendee_list(t)),
+    "bucketed_settlement": tickets.settlement,
+    "bucketed_top_listings": lambda t: platform.top_listings(t, limit=50),
+}.items():
+    _register(_name, lambda t, build=_build: build(_bucketed(t)))
+
+
+def _seat_moves(t: Tables) -> DataFrame:
+    """Every fourth listing keeps no waiting list, the others three to nine places."""
+    shows = t.listings.select(F.col("id").alias("listing_id"), "capacity", (F.col("id") % 4 * 3).alias("waiting_places"))
+    return seats.seat_moves(t.seat_events, shows)
+
+
+@_query
+def seat_history(t: Tables) -> DataFrame:
+    return seats.seat_history(_seat_moves(t))
+
+
+@_query
+def seat_state(t: Tables) -> DataFrame:
+    return seats.seat_state(_seat_moves(t))
+
+
 @_query
 def keyed_lookup(t: Tables) -> DataFrame:
     """People on a waitlist, looked up by an email typed in capitals."""
@@ -313,6 +376,30 @@ def stream_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.kpi_row(_versioned(spark, activity.kpi_totals(**new, as_of=AS_OF), "kpis", ["kpi"]))
 
 
+def stream_kpi_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headline numbers over streams of changes: publications withdrawn, registrations cancelled, payments refunded."""
+    t = derived.from_trade_tables(spark, sf_dir)
+    stored = lambda column: (F.lit("1900-01-01").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("seq"), "id", *column)
+    logs = {
+        "users": t.users.select(*stored(("role", "created_at"))),
+        "listings": t.listings.select(*stored(("status", "date_start"))),
+        "listing_log": t.status_log.join(t.listings.select(F.col("id").alias("listing_id"), "date_start"), "listing_id").select(
+            "ts", F.col("event_id").alias("seq"), F.col("listing_id").alias("id"), "status", "date_start"),
+        "registrations": t.registration_log, "payments": t.payment_log}
+    read = {}
+    for name, frame in logs.items():
+        path = new_folder(spark, name)
+        frame.write.parquet(path)
+        read[name] = activity.read_stream(spark, path, frame.schema)
+    changes = kpis.user_changes(read["users"])
+    for more in (kpis.listing_changes(read["listings"]), kpis.listing_changes(read["listing_log"]),
+                 kpis.registration_changes(read["registrations"]), kpis.payment_changes(read["payments"])):
+        changes = changes.unionByName(more)
+    path = new_folder(spark, "kpi-changes")
+    kpis.kpi_stream(changes, f"{path}/rows", f"{path}/progress").awaitTermination()
+    return kpis.kpi_report(kpis.stored_deltas(spark, f"{path}/rows"), as_of=AS_OF)
+
+
 def stream_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versioned(spark, activity.unread_counts(derived.notifications(_events(spark, sf_dir))), "unread", ["user_id"])
 
@@ -360,6 +447,6 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _appended(spark, _messages(spark, sf_dir).select("thread_id", "id", "sender_id", "message_text", "sent_at"), "messages")
 
 
-for _stream in (stream_daily_views, stream_first_scans, stream_activity_counts, stream_kpis, stream_unread, stream_unread_messages,
+for _stream in (stream_daily_views, stream_first_scans, stream_activity_counts, stream_kpis, stream_kpi_changes, stream_unread, stream_unread_messages,
                 stream_publish_notices, stream_saves, stream_follows, stream_lifecycle, stream_messages):
     QUERIES[_stream.__name__] = _stream

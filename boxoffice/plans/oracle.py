@@ -128,6 +128,16 @@ VIEWS: dict[str, str] = {
     "listing_details": """
         SELECT p_partkey * 2 AS id, p_partkey AS listing_id, 'brand' AS field_key, p_brand AS field_value FROM part
         UNION ALL SELECT p_partkey * 2 + 1, p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part""",
+    "registration_log": """
+        SELECT l_orderkey || '-' || l_partkey AS id, CASE l_returnflag WHEN 'A' THEN 'cancelled' WHEN 'N' THEN 'pending' ELSE 'confirmed' END AS status,
+               l_shipdate AS ts, l_linenumber * 1000 + ascii(l_returnflag) AS seq FROM lineitem""",
+    "payment_log": """
+        SELECT l_orderkey || '-' || l_partkey AS id, l_linestatus = 'F' AS success, CAST(l_extendedprice AS DECIMAL(10,2)) AS amount, l_shipdate AS ts,
+               l_linenumber, l_linestatus FROM lineitem""",
+    "seat_events": """
+        SELECT id, listing_id, 'request' AS kind, created_at AS ts FROM registrations
+        UNION ALL SELECT id || '/off', listing_id, 'release', created_at + to_days(CAST((user_id * 7 + listing_id) % 90 + 1 AS INTEGER))
+        FROM registrations WHERE status = 'cancelled'""",
     "registration_answers": """
         SELECT CAST(l_linenumber AS BIGINT) AS id, l_orderkey || '-' || l_partkey AS registration_id, 'qty' AS question_key,
                CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS answer FROM lineitem
@@ -321,6 +331,23 @@ def _left(table: str) -> str:
         f"({c} IS NULL OR {c} NOT IN ({_lost(p)}))" for c, p in REFERENCES[table].items() if (table, c) not in SET_NULL)
 
 
+# One step of the recursion per event of a listing: the level before it.
+_MOVES = """
+        WITH RECURSIVE numbered AS MATERIALIZED (
+            SELECT e.*, CASE WHEN l.capacity > 0 THEN l.capacity ELSE 1000000000 END AS seats, l.id % 4 * 3 AS room,
+                   row_number() OVER (PARTITION BY e.listing_id ORDER BY e.ts, e.id) AS place
+            FROM seat_events e JOIN listings l ON l.id = e.listing_id),
+        run AS (
+            SELECT listing_id, 1::BIGINT AS place, 0::BIGINT AS level FROM numbered WHERE place = 1
+            UNION ALL
+            SELECT r.listing_id, r.place + 1, CASE WHEN e.kind = 'request' THEN least(r.level + 1, greatest(e.seats + e.room, r.level)) ELSE greatest(r.level - 1, 0) END
+            FROM run r JOIN numbered e ON e.listing_id = r.listing_id AND e.place = r.place),
+        moves AS MATERIALIZED (
+            SELECT *, kind = 'request' AS asks, kind = 'request' AND level < seats + room AS taken,
+                   CASE WHEN kind = 'request' THEN level < seats ELSE level > seats END AS given
+            FROM numbered JOIN run USING (listing_id, place))"""
+
+
 BODIES: dict[str, str] = {
     "platform_kpis": f"""
         SELECT (SELECT count(*) FROM users WHERE role = 'user') AS total_users,
@@ -452,6 +479,20 @@ BODIES: dict[str, str] = {
     "search_type_in": f"{_SHOWN} WHERE type IN ('economy', 'promo')",
     "search_city": f"{_SHOWN} WHERE contains(lower(city), 'nation_1')",
     "search_text": f"{_SHOWN} WHERE contains(lower(title), 'gear') OR contains(lower(city), 'gear') OR contains(lower(description), 'gear')",
+    "indexed_search_text": f"{_SHOWN} WHERE contains(lower(title), 'hot gear') OR contains(lower(city), 'hot gear') OR contains(lower(description), 'hot gear')",
+    "indexed_search_short": f"""{_SHOWN} WHERE contains(lower(city), 'nation_2')
+        AND (contains(lower(title), '#9') OR contains(lower(city), '#9') OR contains(lower(description), '#9'))""",
+    "indexed_search_scan": f"""{_SHOWN} WHERE price > 0
+        AND (contains(lower(title), 'nation_') OR contains(lower(city), 'nation_') OR contains(lower(description), 'nation_'))""",
+    "indexed_user_search": """
+        SELECT id AS user_id, name, email, role, is_banned, created_at, (SELECT count(*) FROM live r WHERE r.user_id = u.id) AS total_regs
+        FROM users u WHERE contains(lower(name), 'mer#00000001') OR contains(lower(email), 'mer#00000001')
+        ORDER BY created_at DESC, id LIMIT 20""",
+    "indexed_registration_search": """
+        SELECT r.id AS registration_id, r.ticket_code, r.status, r.created_at, l.title AS listing_title, u.name AS user_name
+        FROM registrations r JOIN listings l ON r.listing_id = l.id JOIN users u ON r.user_id = u.id
+        WHERE (contains(lower(r.ticket_code), '0012') OR contains(lower(u.name), '0012')) AND r.status = 'confirmed'
+        ORDER BY r.created_at DESC, r.id LIMIT 20""",
     "search_dates": f"{_SHOWN} WHERE date_start >= TIMESTAMP '2001-06-01' AND date_start <= TIMESTAMP '2001-09-02'",
     "search_price": f"{_SHOWN} WHERE price = 0",
     "search_sorted": f"{_SHOWN} WHERE price > 0 ORDER BY price DESC, listing_id LIMIT 12",
@@ -575,6 +616,33 @@ BODIES: dict[str, str] = {
         placed AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY created_at, id) AS place FROM queue)
         SELECT q.listing_id, q.email, q.place, l.capacity = 0 OR q.place <= l.capacity - coalesce(s.registered, 0) AS promoted
         FROM placed q JOIN listings l ON l.id = q.listing_id LEFT JOIN seats s ON s.listing_id = q.listing_id""",
+    "seat_history": f"""
+        SELECT * FROM ({_MOVES},
+            queue AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY place) AS turn FROM moves WHERE taken),
+            seated AS (SELECT listing_id, ts AS seated_at, row_number() OVER (PARTITION BY listing_id ORDER BY place) AS turn FROM moves WHERE given)
+            SELECT m.id, m.listing_id, m.ts, CASE WHEN NOT m.taken THEN 'sold_out' WHEN m.given THEN 'admitted' WHEN s.seated_at IS NULL THEN 'waiting'
+                   ELSE 'promoted' END AS verdict, CASE WHEN m.given THEN m.ts ELSE s.seated_at END AS seated_at
+            FROM moves m LEFT JOIN queue q ON q.id = m.id LEFT JOIN seated s ON s.listing_id = q.listing_id AND s.turn = q.turn WHERE m.asks)""",
+    "seat_state": f"""
+        SELECT * FROM ({_MOVES},
+            ended AS (SELECT *, CASE WHEN asks THEN CASE WHEN taken THEN level + 1 ELSE level END ELSE greatest(level - 1, 0) END AS after FROM moves)
+            SELECT listing_id, CAST(max_by(least(after, seats), place) AS BIGINT) AS held, CAST(max_by(greatest(after - seats, 0), place) AS BIGINT) AS waiting,
+                   CAST(max(greatest(after - seats, 0)) AS BIGINT) AS most_waiting, count(CASE WHEN asks AND given THEN 1 END) AS admitted,
+                   count(CASE WHEN NOT asks AND given THEN 1 END) AS promoted, count(CASE WHEN asks AND NOT taken THEN 1 END) AS sold_out
+            FROM ended GROUP BY listing_id)""",
+    "stream_kpi_changes": f"""
+        , shown AS (SELECT l.id, l.date_start, coalesce(g.status, l.status) AS status FROM listings l LEFT JOIN (
+            SELECT listing_id, max_by(status, (ts, event_id)) AS status FROM status_log GROUP BY 1) g ON g.listing_id = l.id),
+        booked AS (SELECT id, max_by(status, (ts, seq)) AS status FROM registration_log GROUP BY 1),
+        charged AS (SELECT CASE WHEN success THEN amount END AS paid FROM (SELECT *, row_number() OVER (
+            PARTITION BY id ORDER BY ts DESC, l_linenumber DESC, success DESC, amount DESC) AS n FROM payment_log) WHERE n = 1)
+        SELECT (SELECT count(*) FROM users WHERE role = 'user') AS total_users,
+               (SELECT count(*) FROM users WHERE role = 'creator') AS total_creators,
+               (SELECT count(*) FROM shown WHERE status = 'published') AS total_listings,
+               (SELECT count(*) FROM booked WHERE status <> 'cancelled') AS total_registrations,
+               (SELECT coalesce(CAST(sum(paid) AS DOUBLE), 0) FROM charged) AS total_revenue,
+               (SELECT count(*) FROM shown WHERE status = 'published' AND CAST(date_start AS DATE) = CAST({NOW} AS DATE)) AS listings_today,
+               (SELECT count(*) FROM users WHERE role = 'user' AND created_at >= date_trunc('day', {NOW} - to_days(7))) AS new_users_this_week""",
     "save_state": "SELECT * FROM saves",
     "follow_state": "SELECT * FROM follows",
     "follow_notices": """
@@ -779,8 +847,12 @@ def _statement(body: str) -> str:
     return f"WITH {views}\n{body}" if views else body
 
 
-# Streams that end up with what a batch report gives.
-for _stream, _batch in {"stream_kpis": "platform_kpis", "stream_publish_notices": "publish_fanout"}.items():
-    BODIES[_stream] = BODIES[_batch]
+# Streams, and reports over a stored layout, that end up with what a batch report gives.
+for _other, _batch in {
+    "stream_kpis": "platform_kpis", "stream_publish_notices": "publish_fanout", "bucketed_ticket_detail": "ticket_detail",
+    "bucketed_attendee_list": "attendee_list", "bucketed_settlement": "settlement",
+}.items():
+    BODIES[_other] = BODIES[_batch]
+BODIES["bucketed_top_listings"] = BODIES["top_listings"].replace("LIMIT 5", "LIMIT 50")
 
 ORACLE: dict[str, str] = {name: _statement(body) for name, body in BODIES.items()}

@@ -335,6 +335,33 @@ def waitlist(registration_frame: DataFrame, user_frame: DataFrame) -> DataFrame:
     return waiting.join(people, "user_id").select("id", "listing_id", "email", "created_at")
 
 
+def registration_log(lineitem: DataFrame) -> DataFrame:
+    """The states a registration went through, one per order line."""
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber")
+    return lineitem.select(
+        _registration_id().alias("id"), F.when(flag == "A", "cancelled").when(flag == "N", "pending").otherwise("confirmed").alias("status"),
+        F.col("l_shipdate").alias("ts"), (line * 1000 + F.ascii(flag)).cast("bigint").alias("seq"))
+
+
+def payment_log(lineitem: DataFrame) -> DataFrame:
+    """The states of a registration's payment, one per order line: refunded ones no longer count."""
+    rows = payments(lineitem.withColumn("l_shipdate", F.struct("l_shipdate", "l_linenumber")))
+    rank = F.when(F.col("status") == "success", 1).otherwise(0)
+    return rows.select(
+        F.col("registration_id").alias("id"), "status", "amount", F.col("created_at.l_shipdate").alias("ts"),
+        ((F.col("created_at.l_linenumber").cast("bigint") * 10 + rank) * 1000000000 + (F.col("amount") * 100).cast("bigint")).alias("seq"))
+
+
+def seat_events(registration_frame: DataFrame) -> DataFrame:
+    """Every registration asks for a seat; cancelled ones give one up some days later."""
+    later = (F.col("user_id") * 7 + F.col("listing_id")) % 90
+    freed = F.struct(F.concat("id", F.lit("/off")).alias("id"), F.lit("release").alias("kind"),
+                     (F.col("created_at") + F.make_dt_interval((later + 1).cast("int"))).alias("ts"))
+    asked = F.struct(F.col("id").alias("id"), F.lit("request").alias("kind"), F.col("created_at").alias("ts"))
+    both = F.when(F.col("status") == "cancelled", F.array(asked, freed)).otherwise(F.array(asked))
+    return registration_frame.select("listing_id", F.inline(both)).select("id", "listing_id", "kind", "ts")
+
+
 def listing_details(part: DataFrame) -> DataFrame:
     return part.select(
         F.col("p_partkey").alias("listing_id"),
@@ -474,6 +501,9 @@ def from_trade_tables(spark: SparkSession, sf_dir: str) -> Tables:
         "read_log": lambda: read_log(talk(), counted()),
         "delete_log": lambda: delete_log(talk(), counted()),
         "waitlist": lambda: waitlist(tables.registrations, tables.users),
+        "registration_log": lambda: registration_log(line()),
+        "payment_log": lambda: payment_log(line()),
+        "seat_events": lambda: seat_events(tables.registrations),
         "listing_details": lambda: listing_details(part()),
         "registration_answers": lambda: registration_answers(line()),
         "listing_edits": lambda: listing_edits(line()),

@@ -12,11 +12,12 @@ from boxoffice.schema import SCHEMAS
 class Tables:
     """Lazily built tables, reached as attributes (``t.users``, ``t.listings``...).
 
-    A table is a zero-argument function until first use, so a query only builds what it reads.
+    A table is a zero-argument function until first use, so a query only builds what it reads. ``key`` names the columns by
+    which answers and payments refer to registrations; a stored layout may bring shorter ones than the id (``layout``).
     """
 
-    def __init__(self, spark: SparkSession, makers: dict[str, Callable[[], DataFrame]]):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, makers: dict[str, Callable[[], DataFrame]], key: tuple[str, ...] = ("registration_id",)):
+        self.spark, self.key = spark, key
         self._makers = dict(makers)
         self._built: dict[str, DataFrame] = {}
 
@@ -35,7 +36,7 @@ class Tables:
         makers = dict(self._makers)
         for name, frame in frames.items():
             makers[name] = lambda frame=frame: frame
-        return Tables(self.spark, makers)
+        return Tables(self.spark, makers, self.key)
 
     @classmethod
     def of(cls, spark: SparkSession, **frames: DataFrame) -> Tables:

@@ -12,6 +12,7 @@ each micro-batch reads them again.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
@@ -139,11 +140,21 @@ def version_stream(frame: DataFrame, path: str, checkpoint: str, keys: list[str]
     return _start(writer, every).start()
 
 
+def newest_base(spark: SparkSession, path: str, before: int | None = None) -> int | None:
+    """The newest base (below ``before``) whose first version is whole: the job that wrote it has left its mark."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/base=*/version=*/_SUCCESS")) or []
+    marks = [re.search(r"/base=(\d+)/version=(\d+)/_SUCCESS$", f.getPath().toString()) for f in found]
+    whole = [int(m[1]) for m in marks if m and m[1] == m[2] and (before is None or int(m[1]) < before)]
+    return max(whole, default=None)
+
+
 def latest_versions(spark: SparkSession, path: str, schema: StructType, keys: list[str], *, base: int | None = None) -> DataFrame:
-    """The newest version of each key, from the newest base unless another is named."""
+    """The newest version of each key, from the newest whole base unless another is named."""
     versioned = StructType([*schema.fields, StructField("base", LongType()), StructField("version", LongType())])
     rows = spark.read.schema(versioned).option("basePath", path).parquet(path)
-    base = rows.agg(F.max("base")).first()[0] if base is None else base
+    base = newest_base(spark, path) if base is None else base
     rows = rows.filter(F.col("base") == F.lit(base)) if base is not None else rows
     values = [f.name for f in schema.fields if f.name not in keys]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "version").alias("v"))
