@@ -139,9 +139,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataF
     return docs.select("doc_id", "text").mapInArrow(encode, PIECES)
 
 
-def packed_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """Every piece with its ids (little-endian 32 bits each), its sequence_id and its offset there. Runs jobs while it is built."""
-    pieces = materialize(token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), window), "packing-pieces")
+def places_of(pieces: DataFrame, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """part, number, sequence_id and offset of every piece, from their lengths alone."""
     groups = max(1, math.ceil(pieces.count() / group))
 
     def pack(table: pa.Table) -> pa.Table:
@@ -156,8 +155,18 @@ def packed_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = W
     before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # one row per group
     first = places.groupBy("bin").agg(F.first("windows").alias("windows")).select(
         "bin", F.coalesce(F.sum("windows").over(before), F.lit(0)).alias("first"))
-    found = places.join(first, "bin").select("part", "number", (F.col("first") + F.col("place")).alias("sequence_id"), "offset")
-    return pieces.join(found, ["part", "number"]).select("doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
+    return places.join(first, "bin").select("part", "number", (F.col("first") + F.col("place")).alias("sequence_id"), "offset")
+
+
+def _stored_pieces(docs: DataFrame, tokenizer: str | None, window: int) -> DataFrame:
+    return materialize(token_pieces(docs, tokenizer or public_tokenizers.path("word_bpe_49k.json"), window), "packing-pieces")
+
+
+def packed_pieces(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, group: int = GROUP) -> DataFrame:
+    """Every piece with its ids (little-endian 32 bits each), its sequence_id and its offset there. Runs jobs while it is built."""
+    pieces = _stored_pieces(docs, tokenizer, window)
+    return pieces.join(places_of(pieces, window, group), ["part", "number"]).select(
+        "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset")
 
 
 def packed_sequences(pieces: DataFrame) -> DataFrame:
@@ -173,5 +182,7 @@ def packed_sequences(pieces: DataFrame) -> DataFrame:
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
-    """The pieces with the crc32 of their ids in place of the ids."""
-    return packed_pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The pieces with the crc32 of their ids in place of the ids, taken before the join so that ids stay where they are."""
+    pieces = _stored_pieces(docs, None, WINDOW)
+    told = pieces.select("part", "number", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return told.join(places_of(pieces), ["part", "number"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
