@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.llm.components import components, local_roots
-from boxoffice.llm.text import FOLD
+from boxoffice.llm.text import FOLD, fresh
 from boxoffice.session import materialize
 
 DISTANCE = 4
@@ -154,6 +154,7 @@ def near_duplicate_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFram
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of every group: the one with the smallest id."""
     _, groups = _grouped(docs, distance)
-    keep = groups.select(F.col("keep.row_key").alias("_row_key")).distinct()
-    kept = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(keep, "_row_key")
-    return kept.dropDuplicates(["_row_key", "doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = fresh(docs.columns, "row_key")
+    keep = groups.select(F.col("keep.row_key").alias(key)).distinct()
+    kept = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(keep, key)
+    return kept.dropDuplicates([key, "doc_id"]).select(*(F.col(f"`{c}`") for c in docs.columns))
