@@ -16,6 +16,7 @@ learn from; null languages teach nothing; repeated rows are predicted alike and
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -158,16 +159,19 @@ def _long_word(pieces: Pieces, chances: np.ndarray, word: bytes) -> np.ndarray:
 
 
 def expected_counts(pieces: Pieces, chances: np.ndarray, words: list[bytes], weights: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over all segmentations of the words; ``chances`` of one language.
-
-    Words over ``LONG`` bytes do not teach: they are not words of the language.
-    """
+    """Expected uses of each piece over all segmentations of the words; ``chances`` of one language."""
     out = np.zeros(pieces.count)
     by_length = defaultdict(list)
     for i, w in enumerate(words):
-        if len(w) < LONG:
-            by_length[len(w) + 1].append(i)
+        by_length[len(w) + 1].append(i)
+    logs = None
     for n, rows in by_length.items():
+        if n > LONG:
+            logs = np.log(chances).tolist() if logs is None else logs
+            for i in rows:
+                for piece, uses in _long_counts(pieces, logs, WORD_START + words[i]).items():
+                    out[piece] += uses * weights[i]
+            continue
         spans = list(pieces.spans([WORD_START + words[i] for i in rows]))
         forward, backward = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
         forward[0] = backward[n] = 1
@@ -182,6 +186,33 @@ def expected_counts(pieces: Pieces, chances: np.ndarray, words: list[bytes], wei
     return out
 
 
+def _long_counts(pieces: Pieces, logs: list[float], word: bytes) -> dict[int, float]:
+    """The expected uses of each piece in one word, in logarithms, so that no length under- or overflows.
+
+    Forward: the log probability of every beginning. Backward: the chance that a place is a boundary is passed on to the
+    starts of the pieces that may end there, in the shares they have in the probability of that beginning.
+    """
+    index, longest, n = pieces.index, pieces.longest, len(word)
+    upto, ending = [0.0], [[]]
+    for end in range(1, n + 1):
+        found = []
+        for start in range(max(0, end - longest), end):
+            piece = index.get(word[start:end])
+            if piece is not None:
+                found.append((start, piece, upto[start] + logs[piece]))
+        most = max(f[2] for f in found)
+        upto.append(most + math.log(sum(math.exp(f[2] - most) for f in found)))
+        ending.append(found)
+    boundary, uses = [0.0] * n + [1.0], defaultdict(float)
+    for end in range(n, 0, -1):
+        if boundary[end]:
+            for start, piece, log in ending[end]:
+                share = boundary[end] * math.exp(log - upto[end])
+                uses[piece] += share
+                boundary[start] += share
+    return uses
+
+
 def learn(docs: DataFrame, learnable: Column, model_path: str, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, and the probability of every piece in each; from rows (text, lang) that are ``learnable``."""
     spark = docs.sparkSession
