@@ -10,8 +10,12 @@ Plan. Sizes and ranks are written once as a narrow table. The cut in a source's
 counts per slice of the rank (about the square root of all rows), then within the one slice that holds it, so no task
 sorts a whole source. Then each row decides for itself by comparison with its source's cut.
 
-Defined results: a null text has size 0; null sources are one source, the last; rows with equal id and text are taken or
-left together; a source without words has target 0; other columns pass through or are ignored.
+Rows with equal id and text are numbered, and the number enters the digest from the second on: each has a random number of
+its own, so the cut can fall between them. Only such rows are shuffled for it, by ranges, however many are equal.
+
+Defined results: a null text has size 0; null sources are one source, the last; rows with equal id and text are taken or left
+one by one, in the order of their other columns; a source without words has target 0; other columns pass through or are ignored.
+Runs jobs while it is built.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxoffice.llm.text import WHITE, fresh
+from boxoffice.operators.base import positions
 from boxoffice.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -32,12 +37,26 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WHITE)), F.lit(0)).cast("long")
 
 
-def uniform(doc_id: Column, text: Column) -> Column:
-    """A number in (0, 1) that depends on id and text alone."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, text: Column, repeat: Column) -> Column:
+    """A number in (0, 1) that depends on id, text and the number of the repeat alone."""
+    again = F.when(repeat > 1, F.concat(F.lit("|"), repeat.cast("string"))).otherwise(F.lit(""))
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")), again).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
 
 
+def numbered_repeats(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with the number of each row among those of equal id and text: 1 but for repeats."""
+    columns = docs.columns
+    key, row, order = (fresh([*columns, name], c) for c in ("mix_key", "mix_row", "mix_order"))
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    often = materialize(keyed.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "mix-repeats")
+    if often.isEmpty():
+        return docs.withColumn(name, F.lit(1).cast("long"))
+    packed = keyed.join(often, key, "left_semi").select(key, F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias(order), F.struct(*(F.col(f"`{c}`") for c in columns)).alias(row))
+    many = positions(packed, [key], [F.col(order)], name).select(f"{row}.*", F.col(name).cast("long").alias(name))
+    return keyed.join(often, key, "left_anti").drop(key).withColumn(name, F.lit(1).cast("long")).unionByName(many)
+
+
 def source_key(source: Column) -> Column:
     """Never null; sorts by code point with the null source last."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
@@ -111,14 +130,14 @@ def copies(rank: Column, doc_id: Column, at=F.col) -> Column:
     return at("whole") + F.coalesce(sampled, F.lit(False)).cast("int")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame, repeat: str) -> DataFrame:
     return docs.select("doc_id", source_key(F.col("source")).alias("source"), words_in(F.col("text")).alias("size"),
-                       uniform(F.col("doc_id"), F.col("text")).alias("u"))
+                       uniform(F.col("doc_id"), F.col("text"), F.col(repeat)).alias("u"))
 
 
 def mixed_sizes(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes) of every row."""
-    rows = materialize(_rows(docs), "mix-sizes")
+    rows = materialize(_rows(numbered_repeats(docs.select("doc_id", "source", "text"), "repeat"), "repeat"), "mix-sizes")
     joined = rows.join(sample_plan(rows, weights, cap), "source")
     return joined.select("doc_id", "size", "source_size", "target",
                          (F.col("size") * copies(pareto_rank(F.col("u")), F.col("doc_id"))).alias("taken"))
@@ -126,10 +145,11 @@ def mixed_sizes(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> Da
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, all columns."""
-    plan = sample_plan(materialize(_rows(docs), "mix-sizes"), weights, cap)
-    own, key, turn = (fresh(docs.columns, c) for c in ("mix_plan", "mix_key", "mix_turn"))
-    joined = docs.withColumn(key, source_key(F.col("source"))).join(
+    own, key, turn, repeat = (fresh(docs.columns, c) for c in ("mix_plan", "mix_key", "mix_turn", "mix_repeat"))
+    numbered = numbered_repeats(docs, repeat)
+    plan = sample_plan(materialize(_rows(numbered, repeat), "mix-sizes"), weights, cap)
+    joined = numbered.withColumn(key, source_key(F.col("source"))).join(
         plan.select(F.col("source").alias(key), F.struct(*plan.columns).alias(own)), key)
     at = lambda c: F.col(f"{own}.{c}")
-    times = copies(pareto_rank(uniform(F.col("doc_id"), F.col("text")), at), F.col("doc_id"), at)
+    times = copies(pareto_rank(uniform(F.col("doc_id"), F.col("text"), F.col(repeat)), at), F.col("doc_id"), at)
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array_repeat(F.lit(0), times)).alias(turn)).drop(turn)
