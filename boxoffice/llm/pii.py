@@ -4,7 +4,7 @@ Found and validated: card numbers (13 to 19 digits, Luhn), social security numbe
 account numbers (IBAN, mod 97), e-mail names, and calendar dates from 1800 to 2199. A value is a list of positions, each
 with its radix: digits 10, letters 26, octets 256, the 146097 days of 400 years as 189 x 773. A Feistel network shifts one
 half of the positions by a digest of the key and the other half, and in the next round the other way; this is a
-permutation of exactly the values of that format. Check digits are left out and computed anew, so the result validates
+permutation of exactly the values of that format. One position alone is mapped by a keyed ranking. Check digits are left out and computed anew, so the result validates
 too. Equal values of a kind give equal pseudonyms in every document, whatever their separators, without any join.
 
 A text is cut at the matches of one pattern and put together again; texts without a match pass unchanged. No shuffle.
@@ -25,6 +25,8 @@ from boxoffice.llm.text import fresh
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = "1800-01-01", "2199-12-31"  # 146097 days
 DAY_RADIX = (189, 773)
+FIRST_YEAR, MONTHS = 1800, 4800
+EARLY_RADIX, LATE_RADIX = (240, 240), (9, 9833)  # 57600 days up to a 12th, 88497 later ones
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999  # 001-899 without 666, 01-99, 0001-9999
 
 #: Kind, pattern. The first that matches at a place decides; possessive quantifiers keep long words linear.
@@ -75,6 +77,15 @@ def feistel(values: Column, radices: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
 
 
+def permuted(values: Column, radices: Column, key: str, kind: str) -> Column:
+    """``feistel``; a single value, which leaves one half of a network empty, is mapped by a keyed ranking of all it could be."""
+    radix = F.get(radices, F.lit(0))
+    ranked = F.array_sort(F.transform(F.sequence(F.lit(0), radix - 1), lambda v: F.struct(
+        F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), F.lit("rank"), radix.cast("string"), v.cast("string")), 256).alias("by"), v.alias("value"))))
+    one = F.array(F.get(ranked, F.get(values, F.lit(0)))["value"].cast("int"))
+    return F.when(F.size(values) == 1, one).otherwise(feistel(values, radices, key, kind))
+
+
 def _fill(value: Column, pattern: str, pieces: Column) -> Column:
     """``value`` with its matches of ``pattern`` replaced, in order, by ``pieces``."""
     rest = F.split(value, pattern, -1)
@@ -127,11 +138,11 @@ def ssn(value: Column, key: str) -> Column:
 
 
 def _classes(text: Column) -> tuple[Column, Column]:
-    """Numbers and radices of digits and letters; any other character has radix 1."""
+    """Numbers and radices of a text of digits and letters."""
     chars = F.split(text, "(?!^)(?!$)")
-    base = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).when(c.between("A", "Z"), 65)
-    radices = F.transform(chars, lambda c: F.when(c.between("0", "9"), 10).when(c.rlike("[A-Za-z]"), 26).otherwise(1))
-    return F.transform(chars, lambda c: F.coalesce(F.ascii(c) - base(c), F.lit(0))), radices
+    base = lambda c: F.when(c.between("0", "9"), 48).when(c.between("a", "z"), 97).otherwise(65)
+    radices = F.transform(chars, lambda c: F.when(c.between("0", "9"), 10).otherwise(26))
+    return F.transform(chars, lambda c: F.ascii(c) - base(c)), radices
 
 
 def _with_classes(text: Column, numbers: Column) -> Column:
@@ -143,10 +154,12 @@ def _with_classes(text: Column, numbers: Column) -> Column:
 
 
 def email(value: Column, key: str) -> Column:
-    """The name before the @; the domain stays."""
+    """The letters and digits of the name before the @; the domain and other characters stay. A name without any has no pseudonym."""
     name = F.substring_index(value, "@", 1)
-    numbers, radices = _classes(name)
-    return F.concat(_with_classes(name, feistel(numbers, radices, key, "email")), F.lit("@"), F.substring_index(value, "@", -1))
+    free = F.regexp_replace(name, "[^A-Za-z0-9]", "")
+    new = _with_classes(free, permuted(*_classes(free), key, "email"))
+    out = F.concat(_fill(name, "[A-Za-z0-9]", F.split(new, "(?!^)(?!$)")), F.lit("@"), F.substring_index(value, "@", -1))
+    return F.when(free != "", out)
 
 
 def _mod97(text: Column) -> Column:
@@ -165,19 +178,75 @@ def iban(value: Column, key: str) -> Column:
     return F.when(_mod97(F.concat(account, country, F.substring(bare, 3, 2))) == 1, out)
 
 
-def _date(value: Column, key: str, formats: list[tuple[str, Column]]) -> Column:
-    """The first format (with the ISO text of its reading) in which the value is a date decides."""
-    outcomes = []
-    for pattern, iso in formats:
-        day = F.try_to_date(iso, "yyyy-M-d")
-        index = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-        a, b = DAY_RADIX
-        new = feistel(F.array(F.floor(index / b).cast("int"), index % b), F.array(F.lit(a), F.lit(b)), key, "date")
-        moved = F.date_add(F.lit(FIRST_DAY).cast("date"), F.get(new, F.lit(0)) * b + F.get(new, F.lit(1)))
-        wide = F.when(F.length(value) == 10, F.date_format(moved, pattern)).otherwise(
-            F.date_format(moved, pattern.replace("dd", "d").replace("MM", "M")))
-        outcomes.append(F.when(day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), wide))
-    return F.coalesce(*outcomes)
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _valid_day(iso: Column) -> Column:
+    first, last = (F.lit(d).cast("date") for d in (FIRST_DAY, LAST_DAY))
+    return _let(F.try_to_date(iso, "yyyy-M-d"), lambda day: F.when(day.between(first, last), day))
+
+
+def _pair(index: Column, radix: tuple[int, int], key: str, kind: str) -> Column:
+    """A number below the product of two radices, permuted."""
+    a, b = radix
+    halves = _let(index, lambda n: F.array(F.floor(n / b).cast("int"), (n % b).cast("int")))
+    return _let(feistel(halves, F.array(F.lit(a), F.lit(b)), key, kind), lambda n: F.get(n, F.lit(0)) * b + F.get(n, F.lit(1)))
+
+
+def _date(value: Column, key: str, pattern: str, iso: Column) -> Column:
+    """``iso``: the ISO text of the value's one reading."""
+    first, short = F.lit(FIRST_DAY).cast("date"), pattern.replace("dd", "d").replace("MM", "M")
+    moved = _let(_valid_day(iso), lambda day: F.when(day.isNotNull(), F.date_add(first, _pair(F.datediff(day, first), DAY_RADIX, key, "date"))))
+    return _let(moved, lambda day: F.when(F.length(value) == 10, F.date_format(day, pattern)).otherwise(F.date_format(day, short)))
+
+
+def _month_start(month: Column) -> Column:
+    """The first of a month, counted from the first year's January as 0."""
+    return F.make_date(FIRST_YEAR + F.floor(month / 12).cast("int"), (month % 12 + 1).cast("int"), F.lit(1))
+
+
+def _late_days_before(month: Column) -> Column:
+    """How many days after a 12th lie before a month."""
+    return F.datediff(_month_start(month), F.lit(FIRST_DAY).cast("date")) - 12 * month
+
+
+def _early_moved(month: Column, day: Column, key: str) -> Column:
+    """The pseudonym of a day up to the 12th."""
+    return _let(_pair(month * 12 + day - 1, EARLY_RADIX, key, "early date"), lambda n: F.date_add(_month_start(F.floor(n / 12).cast("int")), (n % 12).cast("int")))
+
+
+def _late_moved(month: Column, day: Column, key: str) -> Column:
+    """The pseudonym of a day after the 12th. A month has 16 to 19 of them, so its month is the guessed one or one beside it."""
+    def found(n: Column) -> Column:
+        def near(month: Column) -> Column:
+            return F.when(month.between(0, MONTHS - 1) & (_late_days_before(month) <= n), month)
+        guess = F.floor(n * MONTHS / (LATE_RADIX[0] * LATE_RADIX[1])).cast("int")
+        return _let(guess, lambda g: _let(F.greatest(near(g - 1), near(g), near(g + 1)), lambda m: F.date_add(
+            _month_start(m), (n - _late_days_before(m) + 12).cast("int"))))
+    return _let(_pair(_late_days_before(month) + day - 13, LATE_RADIX, key, "late date"), found)
+
+
+def slash_date(value: Column, key: str) -> Column:
+    """Month first if that is a date, else day first. Days up to the 12th read both ways, later ones one way: each sort is permuted
+    apart, so a pseudonym is read as it was written, and different dates stay different."""
+    def reading(iso: Column, american: bool) -> Column:
+        return _let(_valid_day(iso), lambda day: F.when(day.isNotNull(), F.struct(
+            ((F.year(day) - FIRST_YEAR) * 12 + F.month(day) - 1).alias("month"), F.dayofmonth(day).alias("day"), F.lit(american).alias("american"))))
+
+    def moved(r: Column) -> Column:
+        return F.when(r["day"] <= 12, _early_moved(r["month"], r["day"], key)).otherwise(_late_moved(r["month"], r["day"], key))
+
+    def written(r: Column) -> Column:
+        def text(new: Column) -> Column:
+            one, two = (F.when(r["american"], a).otherwise(b) for a, b in ((F.month(new), F.dayofmonth(new)), (F.dayofmonth(new), F.month(new))))
+            return F.when(F.length(value) == 10, F.format_string("%02d/%02d/%04d", one, two, F.year(new))).otherwise(
+                F.format_string("%d/%d/%04d", one, two, F.year(new)))
+        return F.when(r.isNotNull(), _let(moved(r), text))
+
+    either = F.coalesce(reading(_iso(value, "/", (2, 0, 1)), True), reading(_iso(value, "/", (2, 1, 0)), False))
+    return _let(either, written)
 
 
 def _iso(value: Column, separator: str, order: tuple[int, int, int]) -> Column:
@@ -190,9 +259,8 @@ def pseudonym(value: Column, key: str) -> Column:
     makers = {
         "email": lambda v: email(v, key), "iban": lambda v: iban(v, key), "ip": lambda v: ip(v, key), "ssn": lambda v: ssn(v, key),
         "card": lambda v: card(v, key), "phone": lambda v: phone(v, key),
-        "iso_date": lambda v: _date(v, key, [("yyyy-MM-dd", v)]),
-        "dot_date": lambda v: _date(v, key, [("dd.MM.yyyy", _iso(v, r"\.", (2, 1, 0)))]),
-        "slash_date": lambda v: _date(v, key, [("MM/dd/yyyy", _iso(v, "/", (2, 0, 1))), ("dd/MM/yyyy", _iso(v, "/", (2, 1, 0)))]),
+        "iso_date": lambda v: _date(v, key, "yyyy-MM-dd", v), "dot_date": lambda v: _date(v, key, "dd.MM.yyyy", _iso(v, r"\.", (2, 1, 0))),
+        "slash_date": lambda v: slash_date(v, key),
     }
     cases = [(value.rlike(f"^(?:{p})$"), makers[k](value)) for k, p in KINDS]
     return reduce(lambda out, c: out.when(*c), cases[1:], F.when(*cases[0]))
