@@ -45,22 +45,35 @@ REQUIRED = {
     "registrations": ("user_id", "listing_id", "ticket_code"), "registration_answers": ("registration_id", "question_key"),
     "payments": ("registration_id", "amount"), "threads": ("user_id", "creator_id"), "messages": ("thread_id", "sender_id", "message_text"),
     "reviews": ("listing_id", "user_id", "rating"), "saves": ("user_id", "listing_id"), "follows": ("follower_id", "creator_id"),
-    "notifications": ("user_id", "message"),
+    "notifications": ("user_id", "message"), "listing_views": ("listing_id", "date"), "reply_log": ("user_id", "prompt"),
+    "waitlist": ("listing_id", "email"),
 }
 
 
-def _repeated_keys(t: Tables) -> DataFrame:
-    """One row for each key value that occurs more than once. Text compares as the database does, without regard to case,
-    accents and trailing spaces; a key with a NULL part never repeats."""
-    rules = list(UNIQUE_KEYS)
+def _facts(t: Tables, rules: dict[str, dict[str, Column]]) -> tuple[DataFrame, list[str], list[str]]:
+    """Everything the audit asks of the tables, from one scan of each: (number, key) with how often it occurs.
+
+    The numbers stand, in this order, for references (key: the id), unique keys (the values), row rules (no key) and
+    parents (their ids); the names of the rules, and the referring rules' parents, come along.
+    """
+    references = [(f"{table}.{c} reference", table, c, parent) for table, columns in REFERENCES.items() for c, parent in columns.items()]
+    names = [r[0] for r in references] + list(UNIQUE_KEYS) + [n for checks in rules.values() for n in checks]
+    parents = sorted({r[3] for r in references})
     parts = []
-    for number, (table, keys) in enumerate(UNIQUE_KEYS.values()):
+    for table in sorted({*REFERENCES, *rules, *parents}):
+        found = [(r[0], F.col(r[2]).cast("string")) for r in references if r[1] == table]
         # ids joined by a bar stay apart; of text there is one column
-        key = reduce(lambda a, b: F.concat(a, F.lit("|"), b), [F.col(k).cast("string") for k in keys])
-        parts.append(getattr(t, table).select(F.lit(number).alias("number"), key.alias("key")))
-    filled = reduce(DataFrame.unionByName, parts).filter(F.col("key").isNotNull())
-    counts = filled.groupBy("number", folded(F.col("key")).alias("key")).agg(F.count("*").alias("n"))
-    return counts.filter(F.col("n") > 1).select(_named(rules).alias("rule"), F.lit(1).cast("bigint").alias("violations"))
+        found += [(n, reduce(lambda a, b: F.concat(a, F.lit("|"), b), [F.col(k).cast("string") for k in keys]))
+                  for n, (of, keys) in UNIQUE_KEYS.items() if of == table]
+        # a rule that comes out NULL is broken
+        found += [(n, F.when(F.coalesce(rule, F.lit(True)), F.lit(""))) for n, rule in rules.get(table, {}).items()]
+        numbered = [(names.index(n), key) for n, key in found]
+        if table in parents:
+            numbered.append((len(names) + parents.index(table), F.col("id").cast("string")))
+        facts = F.array_compact(F.array(*(F.when(key.isNotNull(), F.struct(F.lit(n).alias("number"), key.alias("key"))) for n, key in numbered)))
+        parts.append(getattr(t, table).select(F.inline(facts)))
+    counts = reduce(DataFrame.unionByName, parts).groupBy("number", "key").agg(F.count("*").alias("n"))
+    return counts, names, [f"{len(names) + parents.index(r[3])}" for r in references]
 
 
 def _named(rules: Sequence[str]) -> Column:
@@ -68,38 +81,6 @@ def _named(rules: Sequence[str]) -> Column:
     return F.array(*[F.lit(r) for r in rules])[F.col("number")]
 
 
-def _orphans(t: Tables) -> DataFrame:
-    """References without a parent, all in one anti join.
-
-    Rows are folded to distinct references first, so each is looked up once and a hot parent does not
-    skew the join; the rows behind a lost one are added up.
-    """
-    rules, parents, used = [], [], []
-    for table, columns in REFERENCES.items():
-        targets = []
-        for column, parent in columns.items():
-            targets.append(F.struct(F.lit(len(rules)).alias("number"), F.col(column).cast("string").alias("id")))
-            rules.append(f"{table}.{column} reference")
-            parents.append(parent)
-        used.append(getattr(t, table).select(F.inline(F.array(*targets))))
-    counts = reduce(DataFrame.unionByName, used).filter(F.col("id").isNotNull()).groupBy("number", "id").agg(
-        F.count("*").alias("violations"))
-    names = sorted(set(parents))
-    parent = F.array(*[F.lit(names.index(p)) for p in parents])[F.col("number")]
-    known = reduce(DataFrame.unionByName, [
-        getattr(t, n).select(F.lit(i).alias("parent"), F.col("id").cast("string").alias("id")) for i, n in enumerate(names)])
-    lost = counts.withColumn("parent", parent).join(known, ["parent", "id"], "left_anti")
-    return lost.select(_named(rules).alias("rule"), "violations")
-
-
-def _broken_rows(frame: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """All row rules of a table in one scan. A rule that comes out NULL is broken."""
-    names = list(rules)
-    counts = frame.agg(*[F.count_if(F.coalesce(rules[n], F.lit(True))).alias(f"c{i}") for i, n in enumerate(names)])
-    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"c{i}").alias("violations")) for i, n in enumerate(names)])
-    return counts.select(F.inline(pairs))
-
-
 def _row_rules(types: Sequence[tuple[str, str]]) -> dict[str, dict[str, Column]]:
     domains = {
         "users": {"users.role domain": ~F.col("role").isin(*ROLES), "users.name length": F.length("name") > 100},
@@ -114,13 +95,24 @@ def _row_rules(types: Sequence[tuple[str, str]]) -> dict[str, dict[str, Column]]
 
 
 def integrity_audit(t: Tables, *, types: Sequence[tuple[str, str]] = LISTING_TYPES) -> DataFrame:
-    """Violations per rule: unique keys, domains, required values, references. Clean rules show 0."""
-    rules = _row_rules(types)
-    found = [_repeated_keys(t), _orphans(t), *[_broken_rows(getattr(t, table), checks) for table, checks in rules.items()]]
-    names = [*UNIQUE_KEYS, *[f"{table}.{c} reference" for table, columns in REFERENCES.items() for c in columns],
-             *[n for checks in rules.values() for n in checks]]
+    """Violations per rule: unique keys, domains, required values, references. Clean rules show 0.
+
+    Every table is read once, and folded to distinct keys before they are shuffled, so a hot parent is one row per task; the
+    folded facts are stored, and each kind of rule reads them. Unique text compares as the database does, without regard to case,
+    accents and trailing spaces; a key with a NULL part never repeats. Runs a job while it is built.
+    """
+    counts, names, targets = _facts(t, _row_rules(types))
+    facts = materialize(counts, "audit-facts")
+    unique = len(targets), len(targets) + len(UNIQUE_KEYS)
+    referred = facts.filter(F.col("number") < len(targets)).withColumn("parent", F.array(*[F.lit(int(n)) for n in targets])[F.col("number")])
+    known = facts.filter(F.col("number") >= len(names)).select(F.col("number").alias("parent"), "key")
+    lost = referred.join(known, ["parent", "key"], "left_anti").select("number", F.col("n").alias("violations"))
+    repeated = facts.filter(F.col("number").between(unique[0], unique[1] - 1)).groupBy("number", folded(F.col("key")).alias("key")).agg(F.sum("n").alias("n"))
+    repeated = repeated.filter(F.col("n") > 1).select("number", F.lit(1).cast("bigint").alias("violations"))
+    broken = facts.filter(F.col("number").between(unique[1], len(names) - 1)).select("number", F.col("n").alias("violations"))
+    found = reduce(DataFrame.unionByName, (lost, repeated, broken)).select(_named(names).alias("rule"), "violations")
     axis = t.spark.createDataFrame([(n,) for n in names], "rule string")
-    return zero_filled(reduce(DataFrame.unionByName, found), axis, ["rule"], ["violations"])
+    return zero_filled(found, axis, ["rule"], ["violations"])
 
 
 def cascade_prune(t: Tables, gone_users: DataFrame, *, only: str | None = None) -> dict[str, DataFrame]:

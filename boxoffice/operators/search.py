@@ -17,6 +17,7 @@ from boxoffice.functions.text import first_filled, folded, has_text, label, shor
 from boxoffice.functions.times import countdown, ntz
 from boxoffice.operators.base import live, seat_counts, top_per_key
 from boxoffice.schema import CURRENCY, PAGE_ADMIN, PAGE_CATALOGUE
+from boxoffice.session import materialize
 from boxoffice.sources.tables import Tables
 from boxoffice.sources.textindex import TextIndex
 
@@ -282,16 +283,19 @@ def batch_search(t: Tables, requests: DataFrame, *, limit: int = PAGE_CATALOGUE)
     free) cell cannot be in any answer, so only those heads are kept, under the key of every request
     form they satisfy: own type or any, each asked city part or any, free or any. Answering is then
     an equi-join on the form. City parts are matched through the parts of the few distinct cities.
+    The parsed requests and the published listings' heads are stored, since several steps read them. Runs jobs while it is built.
     """
+    requests = materialize(requests.select("request_id", "type", "city", "free_only"), "search-requests")
     forms = requests.select("type", "city", "free_only").distinct()
     asked = forms.select(F.col("city").alias("part")).filter(F.col("part") != "").distinct()
     shows = t.listings.filter(F.col("status") == "published").select(
         F.col("id").alias("listing_id"), "title", "type", F.col("city").alias("listing_city"),
         (F.col("price") == 0).alias("is_free"), "created_at")
     order = [F.desc("created_at"), F.asc("listing_id")]
-    heads = top_per_key(shows, ["type", "listing_city", "is_free"], order, limit, "rank").drop("rank")
+    # every city has a head, so the cities are those of the heads
+    heads = materialize(top_per_key(shows, ["type", "listing_city", "is_free"], order, limit, "rank").drop("rank"), "search-heads")
 
-    cities = shows.select("listing_city").filter(F.length("listing_city") > 0).distinct()
+    cities = heads.select("listing_city").filter(F.length("listing_city") > 0).distinct()
     starts = F.explode(F.sequence(F.lit(1), F.length("listing_city")))
     parts = cities.select("listing_city", starts.alias("start")).select(
         "listing_city", "start", F.explode(F.sequence(F.lit(1), F.length("listing_city") - F.col("start") + 1)).alias("len"))

@@ -8,10 +8,30 @@ from __future__ import annotations
 import re
 
 from boxoffice.operators.attendees import spend_axis
-from boxoffice.operators.integrity import REFERENCES, REQUIRED, SET_NULL, UNIQUE_KEYS
 from boxoffice.plans.catalog import AS_OF, DETAIL_RULES, PRUNED, TREND_AS_OF, TYPES, YEAR
 from boxoffice.schema import SETTING_DEFAULTS
 
+# The rules of the data model, written out here once more so that a gap in the library's own lists shows.
+REFERENCES = {
+    "listings": {"creator_id": "users"}, "listing_details": {"listing_id": "listings"}, "registrations": {"user_id": "users", "listing_id": "listings"},
+    "registration_answers": {"registration_id": "registrations"}, "payments": {"registration_id": "registrations"},
+    "listing_views": {"listing_id": "listings"}, "reply_log": {"user_id": "users"}, "waitlist": {"listing_id": "listings"},
+    "threads": {"user_id": "users", "creator_id": "users", "listing_id": "listings"}, "messages": {"thread_id": "threads", "sender_id": "users"},
+    "reviews": {"listing_id": "listings", "user_id": "users"}, "saves": {"user_id": "users", "listing_id": "listings"},
+    "follows": {"follower_id": "users", "creator_id": "users"}, "notifications": {"user_id": "users"},
+}
+SET_NULL = {("threads", "listing_id")}
+REQUIRED = (
+    "users.name users.email listings.creator_id listings.title listings.type listings.date_start listing_details.listing_id listing_details.field_key "
+    "registrations.user_id registrations.listing_id registrations.ticket_code registration_answers.registration_id registration_answers.question_key "
+    "payments.registration_id payments.amount listing_views.listing_id listing_views.date reply_log.user_id reply_log.prompt waitlist.listing_id "
+    "waitlist.email threads.user_id threads.creator_id messages.thread_id messages.sender_id messages.message_text reviews.listing_id reviews.user_id "
+    "reviews.rating saves.user_id saves.listing_id follows.follower_id follows.creator_id notifications.user_id notifications.message").split()
+UNIQUE = (("users.email unique", "users", "lower(strip_accents(rtrim(email)))", "email IS NOT NULL"),
+          ("registrations.ticket_code unique", "registrations", "lower(strip_accents(rtrim(ticket_code)))", "ticket_code IS NOT NULL"),
+          ("saves pair unique", "saves", "user_id, listing_id", "user_id IS NOT NULL AND listing_id IS NOT NULL"),
+          ("follows pair unique", "follows", "follower_id, creator_id", "follower_id IS NOT NULL AND creator_id IS NOT NULL"))
+
 NOW = f"TIMESTAMP '{AS_OF}'"
 C = "1000000000000000"
 # Restated sizes of the derivation: attendees, creators, listings; the parties of a conversation; its days.
@@ -796,15 +816,14 @@ BODIES: dict[str, str] = {
     "ai_log_append": f"""
         SELECT doc_id % 150 AS user_id, 'review ' || doc_id AS prompt, reply AS response, 'text-model' AS model_used, {NOW} AS created_at FROM model_replies""",
     "integrity_audit": "SELECT a AS rule, b AS violations FROM (" + " UNION ALL ".join([
-        *(_REPEATED.format(rule=rule, table=table, keys=", ".join("lower(strip_accents(rtrim(email)))" if k == "email" else k for k in keys),
-                           filled=" AND ".join(f"{k} IS NOT NULL" for k in keys)) for rule, (table, keys) in UNIQUE_KEYS.items()),
+        *(_REPEATED.format(rule=rule, table=table, keys=keys, filled=filled) for rule, table, keys, filled in UNIQUE),
         _where("users.role domain", "users", "role NOT IN ('admin', 'creator', 'user')"), _where("users.name length", "users", "length(name) > 100"),
         _where("listings.status domain", "listings", "status NOT IN ('draft', 'published', 'cancelled', 'upcoming', 'live', 'ended')"),
         _where("listings.type domain", "listings", f"type NOT IN ({_list(k for k, _ in TYPES)})"),
         _where("registrations.status domain", "registrations", "status NOT IN ('confirmed', 'pending', 'cancelled', 'checked_in')"),
         _where("payments.status domain", "payments", "status NOT IN ('success', 'pending', 'failed', 'refunded')"),
         _where("reviews.rating range", "reviews", "rating NOT BETWEEN 1 AND 5"),
-        *(_where(f"{table}.{c} required", table, f"{c} IS NULL") for table, columns in REQUIRED.items() for c in columns),
+        *(_where(f"{rule} required", rule.split(".")[0], f"{rule.split('.')[1]} IS NULL") for rule in REQUIRED),
         *(_orphans(table, c, parent) for table, columns in REFERENCES.items() for c, parent in columns.items()),
     ]) + ") x(a, b)",
     # Streams: what a drained stream has emitted.

@@ -60,14 +60,16 @@ def test_audit_finds_each_kind_of_violation(tables):
                registrations=[reg(1, 1, 1), {**reg(2, 8, 9, "odd"), "ticket_code": "C1"}], payments=[pay(5, "1.00", "lost")],
                reviews=[{"listing_id": 1, "user_id": 1, "rating": 9}], saves=[{"user_id": 1, "listing_id": 1}] * 2, waitlist=[{"listing_id": 6}],
                listing_details=[{"listing_id": 5, "field_key": "k"}], notifications=[{"user_id": 71, "message": "m"}],
-               threads=[{"id": 1, "user_id": 1, "creator_id": 1, "listing_id": 3}], messages=[{"id": 1, "thread_id": 4, "message_text": "m"}])
+               threads=[{"id": 1, "user_id": 1, "creator_id": 1, "listing_id": 3}], messages=[{"id": 1, "thread_id": 4, "message_text": "m"}],
+               listing_views=[{"listing_id": None, "views": 1}], reply_log=[{"user_id": None, "prompt": None}])
     found = {r.rule: r.violations for r in integrity.integrity_audit(t).collect() if r.violations}
     assert found == dict.fromkeys([
         "users.email unique", "registrations.ticket_code unique", "saves pair unique", "users.role domain", "listings.type domain",
         "listings.title required", "registrations.status domain", "payments.status domain", "reviews.rating range", "listings.creator_id reference",
         "listing_details.listing_id reference", "registrations.user_id reference", "registrations.listing_id reference",
         "payments.registration_id reference", "waitlist.listing_id reference", "threads.listing_id reference", "messages.thread_id reference",
-        "messages.sender_id required", "notifications.user_id reference"], 1) | {"users.email required": 2}
+        "messages.sender_id required", "notifications.user_id reference", "waitlist.email required", "listing_views.listing_id required",
+        "listing_views.date required", "reply_log.user_id required", "reply_log.prompt required"], 1) | {"users.email required": 2}
 
 
 def test_cascade(tables, spark):
