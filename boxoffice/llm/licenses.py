@@ -10,14 +10,16 @@ the complete standard texts whose digests are in ``STANDARD``.
 
 Defined results: null and empty texts, and those of copyright lines alone, have an empty canonical form, which is no
 license; known texts with the same form give the smallest id; repeated rows get equal results; other columns are ignored.
+Runs jobs while it is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxoffice.llm.license_texts import STANDARD
+from boxoffice.session import materialize
 
 # Equivalent spellings in license texts, each written the first way (words of the canonical form).
 SPELLINGS = (
@@ -109,20 +111,61 @@ COPYRIGHT_LINES = (r"(?im)^[ \t/*#;%.-]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4}|
 VARIANT = r"\b(?:" + "|".join(v for _, v in SPELLINGS) + r")\b"
 
 
-def with_digest(frame: DataFrame, column: str) -> DataFrame:
-    """``frame`` with digest: of the canonical form of ``column``, null if that is empty.
+#: Spellings that join two words of a variant in one.
+JOINED = tuple(s for s, v in SPELLINGS if v.count(" ") > s.count(" "))
+#: Lines of so many words may be a complete standard text, of which only the digest is known.
+LONG_LINE = 150
+PAIRS = 100_000
+
+
+def _words(text: Column, keep_lines: bool) -> Column:
+    """Lower-case words, without copyright lines; with line ends if asked."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINES, " ")
+    return F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}\n]+" if keep_lines else r"[^\p{L}\p{N}]+", " ")
+
+
+def _with_form(frame: DataFrame, words: str) -> DataFrame:
+    """``frame`` with digest in place of the column ``words``, null where that is empty.
 
     In steps of their own, so that no form is computed twice; only texts that hold another spelling go through the
     replacements.
     """
-    bare = F.regexp_replace(F.coalesce(F.col(column), F.lit("")), COPYRIGHT_LINES, " ")
-    steps = frame.withColumn("_words", F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " ")))
-    steps = steps.withColumn("_varied", F.col("_words").rlike(VARIANT))
-    replaced = F.col("_words")
+    steps = frame.withColumn("_varied", F.col(words).rlike(VARIANT))
+    replaced = F.col(words)
     for spelling, variant in SPELLINGS:
         replaced = F.regexp_replace(replaced, rf"\b{variant}\b", spelling)
-    steps = steps.withColumn("_form", F.when(F.col("_varied"), replaced).otherwise(F.col("_words")))
-    return steps.withColumn("digest", F.when(F.col("_form") != "", F.sha2("_form", 256))).drop("_words", "_varied", "_form")
+    steps = steps.withColumn("_form", F.when(F.col("_varied"), replaced).otherwise(F.col(words)))
+    return steps.withColumn("digest", F.when(F.col("_form") != "", F.sha2("_form", 256))).drop(words, "_varied")
+
+
+def with_digest(frame: DataFrame, column: str) -> DataFrame:
+    """``frame`` with digest: of the canonical form of ``column``, null if that is empty."""
+    return _with_form(frame.withColumn("_words", F.trim(_words(F.col(column), keep_lines=False))), "_words").drop("_form")
+
+
+def line_shapes(spark: SparkSession, known: DataFrame | None = None) -> list[str] | None:
+    """Number of words and first word of every line that can have a known form, whatever its spelling; None if there are too many.
+
+    A word joined from two may be written as two, and a first word in any of its variants.
+    """
+    known = known if known is not None else spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    forms = _with_form(known.select(F.trim(_words(F.col("text"), keep_lines=False)).alias("_words")), "_words").filter("_form != ''")
+    words = F.split("_form", " ")
+    others = F.create_map(*(F.lit(x) for w in sorted({s.split()[0] for s, _ in SPELLINGS}) for x in (
+        w, ",".join(sorted({v.split()[0] for s, v in SPELLINGS if s.split()[0] == w})))))
+    firsts = F.concat(F.array(words[0]), F.coalesce(F.split(others[words[0]], ","), F.array().cast("array<string>")))
+    counts = F.sequence(F.size(words), F.size(words) + F.size(F.filter(words, lambda w: w.isin(*JOINED))))
+    shapes = forms.select(F.explode(counts).alias("n"), firsts.alias("firsts")).select("n", F.explode("firsts").alias("first")).distinct()
+    rows = shapes.limit(PAIRS + 1).collect()
+    return [f"{r['n']} {r['first']}" for r in rows] if len(rows) <= PAIRS else None
+
+
+def _possible(line: Column, shapes: list[str] | None) -> Column:
+    """Whether a line of words may have a known form."""
+    if shapes is None:
+        return line != ""
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return (line != "") & ((n >= LONG_LINE) | F.concat_ws(" ", n.cast("string"), F.substring_index(line, " ", 1)).isin(*shapes))
 
 
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
@@ -142,11 +185,19 @@ def scan_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFra
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, digest, license_id (of the entire text) and notices (sorted license ids of single lines) of every row."""
-    table = scan_digests(docs.sparkSession, known)
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    lines = with_digest(keyed.select("row_key", F.explode(F.split("text", "\n")).alias("line")), "line")
+    """doc_id, digest, license_id (of the entire text) and notices (sorted license ids of single lines) of every row.
+
+    Each text is brought to words once. The whole form is that of its lines put together; of the lines only those go on whose
+    number of words and first word some known form has, so no line that equals one is left out.
+    """
+    spark = docs.sparkSession
+    table, shapes = scan_digests(spark, known), line_shapes(spark, known)
+    keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), _words(F.col("text"), keep_lines=True).alias("_words"))
+    cut = keyed.withColumn("_lines", F.filter(F.transform(F.split("_words", "\n"), lambda line: F.trim(line)), lambda line: line != ""))
+    cut = cut.withColumn("_words", F.array_join("_lines", " "))
+    whole = materialize(_with_form(cut.withColumn("lines", F.filter("_lines", lambda line: _possible(line, shapes))), "_words").select(
+        "doc_id", "row_key", "digest", "lines"), "license-forms")
+    lines = _with_form(whole.select("row_key", F.explode("lines").alias("_words")), "_words")
     found = lines.join(table, "digest").groupBy("row_key").agg(F.sort_array(F.collect_set("license_id")).alias("notices"))
-    whole = with_digest(keyed, "text").select("doc_id", "row_key", "digest")
-    return whole.join(table, "digest", "left").join(found, "row_key", "left").select(
+    return whole.drop("lines").join(table, "digest", "left").join(found, "row_key", "left").select(
         "doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))

@@ -6,6 +6,7 @@ op10's rounds over parts of every match are tested against a plain version inste
 
 from __future__ import annotations
 
+from boxoffice.llm.license_texts import STANDARD
 from boxoffice.llm.licenses import COPYRIGHT_LINES, KNOWN, SPELLINGS
 from boxoffice.llm.mixing import CAP, WEIGHTS
 from boxoffice.llm.text import ALNUM, LOWER, UPPER, WHITE
@@ -30,8 +31,8 @@ _MIX = f"""
 WITH rows AS (
     SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source,
            CAST(coalesce(len(regexp_extract_all(text, '{WHITE}')), 0) AS BIGINT) AS size,
-           (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-    FROM documents),
+           (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '') || CASE WHEN again > 1 THEN '|' || again ELSE '' END), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+    FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, text) AS again FROM documents)),
 sums AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
            CASE (row_number() OVER (ORDER BY source) - 1) % {len(WEIGHTS)} {_WEIGHT} END::DOUBLE AS weight FROM rows GROUP BY source),
@@ -67,9 +68,12 @@ def _digest(text: str) -> str:
 
 
 _KNOWN = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+_STANDARD = ", ".join(f"('{digest}', '{name}')" for name, digests in STANDARD.items() for digest in digests)
 _LICENSES = f"""
 WITH texts AS (SELECT * FROM (VALUES {_KNOWN}) k(license_id, text)),
-known AS (SELECT {_digest("text")} AS digest, min(license_id) AS license_id FROM texts GROUP BY 1),
+known AS (
+    SELECT digest, min(license_id) AS license_id FROM (
+        SELECT {_digest("text")} AS digest, license_id FROM texts UNION ALL SELECT * FROM (VALUES {_STANDARD}) s(digest, license_id)) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
 notices AS (
