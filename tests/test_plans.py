@@ -10,7 +10,7 @@ BATCH = sorted(n for n in QUERIES if not n.startswith("stream_"))
 # Broadcast sides of a size fixed by the call: axes, pages, rule tables, per-type heads.
 BROADCASTS = {
     "listings_by_type", "listings_by_status", "chart_json", "recent_activity", "catalogue_search", "search_sorted", "user_search",
-    "registration_search", "similar_listings", "missing_details",
+    "registration_search", "similar_listings", "missing_details", "indexed_user_search", "indexed_registration_search",
 }
 
 
