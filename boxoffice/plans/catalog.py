@@ -17,7 +17,7 @@ from boxoffice.session import materialize, new_folder
 from boxoffice.sources import derived, files, layout
 from boxoffice.sources.tables import Tables
 from boxoffice.sources.textindex import TextIndex
-from boxoffice.streaming import activity, kpis
+from boxoffice.streaming import activity, due, kpis
 
 AS_OF = datetime(2001, 8, 1, 12, 0, 0)
 TREND_AS_OF = datetime(2001, 7, 31, 12, 0, 0)
@@ -438,6 +438,21 @@ def stream_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return activity.latest_versions(spark, f"{path}/rows", schema, ["listing_id"])
 
 
+TICKS = (datetime(1997, 3, 1), datetime(1999, 6, 15, 20, 30), AS_OF)
+
+
+def stream_due_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ticks of the sweep over the calendar, the stream being started anew for each."""
+    t, path = _stored(derived.from_trade_tables(spark, sf_dir), "listings"), new_folder(spark, "due")
+    due.enter(t.listings, f"{path}/calendar", known_at=datetime(1995, 1, 1))
+    for tick in TICKS:
+        spark.createDataFrame([(tick,)], "tick timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{path}/clock")
+        ticks = activity.read_stream(spark, f"{path}/clock", spark.read.parquet(f"{path}/clock").schema)
+        now = lambda: due.with_changes(t.listings, due.emitted(spark, f"{path}/out"))
+        due.due_sweep(ticks, f"{path}/calendar", now, f"{path}/out", f"{path}/progress").awaitTermination()
+    return due.emitted(spark, f"{path}/out").drop("due")
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = activity.read_stream(spark, f"{sf_dir}/conversations.parquet", CHAT_SCHEMA)
     return derived.messages(talk, derived.sizes(spark, sf_dir))
@@ -448,5 +463,5 @@ def stream_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 for _stream in (stream_daily_views, stream_first_scans, stream_activity_counts, stream_kpis, stream_kpi_changes, stream_unread, stream_unread_messages,
-                stream_publish_notices, stream_saves, stream_follows, stream_lifecycle, stream_messages):
+                stream_publish_notices, stream_saves, stream_follows, stream_lifecycle, stream_due_sweep, stream_messages):
     QUERIES[_stream.__name__] = _stream

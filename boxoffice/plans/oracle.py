@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 
 from boxoffice.operators.attendees import spend_axis
-from boxoffice.plans.catalog import AS_OF, DETAIL_RULES, PRUNED, TREND_AS_OF, TYPES, YEAR
+from boxoffice.plans.catalog import AS_OF, DETAIL_RULES, PRUNED, TICKS, TREND_AS_OF, TYPES, YEAR
 from boxoffice.schema import SETTING_DEFAULTS
 
 # The rules of the data model, written out here once more so that a gap in the library's own lists shows.
@@ -842,6 +842,10 @@ BODIES: dict[str, str] = {
     "stream_lifecycle": f"""
         SELECT id AS listing_id, status AS old_status, CASE status WHEN 'published' THEN 'ended' ELSE 'cancelled' END AS new_status FROM listings
         WHERE (status = 'published' AND date_end < {NOW}) OR (status = 'draft' AND date_start < {NOW})""",
+    "stream_due_sweep": f"""
+        SELECT id AS listing_id, status AS old_status, CASE status WHEN 'published' THEN 'ended' ELSE 'cancelled' END AS new_status, min(tick) AS tick
+        FROM listings JOIN (VALUES {", ".join(f"(TIMESTAMP '{x}')" for x in TICKS)}) c(tick)
+          ON (status = 'published' AND date_end < tick) OR (status = 'draft' AND date_start < tick) GROUP BY ALL""",
     "stream_messages": "SELECT thread_id, id, sender_id, message_text, sent_at FROM messages",
 }
 
