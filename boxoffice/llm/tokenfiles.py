@@ -12,7 +12,8 @@ exceptions that do not fit. Of ``PERCENTILES`` each block takes the one that mak
 Texts of plain and Latin letters are split into the tokenizer's own pieces on their byte arrays; pieces are known by
 64-bit fingerprints, and only new ones are passed to the tokenizer's model (with the at most ``CACHE_PIECES`` pieces known
 at a time, two of them share a fingerprint with a chance below 1e-7). Texts with contractions are split by a regular
-expression, others by white-space words, and texts that hold a special token's mark are encoded as a whole.
+expression, others by white-space words, and texts that hold a special token's mark are encoded as a whole. All this holds for one
+normaliser and pre-tokenizer; with a tokenizer that has others, every text is encoded as a whole.
 
 Defined results: null and empty texts have the end id alone; null ids come first; rows with equal ids are in order of their
 text's hash; no rows give no files; other columns are ignored.
@@ -20,6 +21,7 @@ text's hash; no rows give no files; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -46,6 +48,12 @@ CACHE_PIECES = 1_000_000
 MAGIC = b"PFORIDS1"
 HEADER = struct.Struct("<8sQQQ")
 
+# The normaliser and pre-tokenizer for which the cuts below hold.
+NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 LATIN = "a-zß-öø-ÿ"
 PLAIN = re.compile(r"[\t-\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 CONTRACTION = re.compile(r"'(?:[stmd]|re|ve|ll)", re.IGNORECASE)
@@ -71,6 +79,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.cuts_hold = (told.get("normalizer"), told.get("pre_tokenizer"), told["model"].get("type")) == (NORMALIZER, PRE_TOKENIZER, "BPE")
         self.marks = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.clear()
 
@@ -119,6 +130,9 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of ids per text."""
+        if not self.cuts_hold:
+            found = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
         if len(self.known) > CACHE_PIECES:
             self.clear()
         out: list = [None] * len(texts)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxoffice.llm import pii, tokenfiles
+from boxoffice.session import materialize
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD_TEXTS = ["It's we'll. .'s ''s x''ll don't <|endoftext|> hi", "naïve ΟΔΟΣ ΣΑΣ. café é …’s ²³ 12a", None, "", "\x00a\x1cb\x85c\xa0d",
@@ -38,6 +39,18 @@ def test_ids_are_those_of_the_whole_text():
             at += n
 
 
+def test_other_tokenizers_encode_whole_texts(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = tokenfiles.Encoder(path)
+    assert tokenfiles.Encoder(PATH).cuts_hold and not encoder.cuts_hold
+    texts = ["Hello  World", "don't", "A\n\nB 123", *ODD_TEXTS]
+    ids, counts = encoder.encode(texts)
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
+    got = sorted(tuple(r) for r in tokenfiles.document_tokens(docs(texts), path).collect())
+    assert [r[2] for r in got] == list(map(len, want)) and [r[3] for r in got] == [zlib.crc32(np.array(w, "<u4").tobytes()) for w in want]
+
+
 def expected(rows):
     encoder, start, out = tokenfiles.Encoder(PATH), 0, []
     for doc_id, text in rows:
@@ -131,6 +144,71 @@ def test_the_date_permutation_is_one(spark):
     assert tuple(r) == (a * b, a - 1, b - 1)
 
 
+def test_a_single_free_position_is_ranked(docs, spark):
+    """Names of one letter or digit are permuted among their kind, not shifted; names without any stay."""
+    names = [*"abcdefghijklmnopqrstuvwxyz", *"ABCDEFGHIJKLMNOPQRSTUVWXYZ", *"0123456789", "_", "._%", *(f"{c}_" for c in "abc")]
+    for key in ("k", "other"):
+        got = replaced(docs, [f"{n}@x.org" for n in names], key)
+        new = {n: got[i][0][:-6] for i, n in enumerate(names)}
+        for group in (names[:26], names[26:52], names[52:62]):
+            assert sorted(new[n] for n in group) == sorted(group)
+            assert len({(ord(new[n]) - ord(n)) % len(group) for n in group}) > 3
+        assert new["_"] == "_" and new["._%"] == "._%" and got[names.index("_")][1] == 0
+        assert [new[f"{c}_"] for c in "abc"] == [f"{new[c]}_" for c in "abc"]
+
+
+def slash_texts(spark, first, days):
+    """Dates written month first, and those after a 12th day first as well."""
+    day = F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int"))
+    dates = spark.range(first, first + days).select(day.alias("day"))
+    return dates.select(F.date_format("day", "MM/dd/yyyy").alias("t")).unionByName(
+        dates.filter(F.dayofmonth("day") > 12).select(F.date_format("day", "dd/MM/yyyy").alias("t"))).repartition(16)
+
+
+def test_every_slash_date_has_a_number_of_its_own(spark, monkeypatch):
+    """With the permutations left out, all 234,594 texts come back."""
+    monkeypatch.setattr(pii, "_pair", lambda index, radix, key, kind: index + F.lit(0))
+    texts = slash_texts(spark, 0, 146097)
+    r = texts.agg(F.count("*"), F.count_if(pii.slash_date(F.col("t"), "k") == F.col("t"))).first()
+    assert tuple(r) == (234594, 234594)
+
+
+def test_slash_dates_stay_different(spark):
+    new = materialize(slash_texts(spark, 36_000, 6000).select("t", pii.slash_date(F.col("t"), "k").alias("p")), "slash")
+    sort = lambda c: F.when((F.substring(c, 1, 2) <= "12") & (F.substring(c, 4, 2) <= "12"), 0).when(F.substring(c, 1, 2) <= "12", 1).otherwise(2)
+    r = new.agg(F.count("p") - F.count_distinct("p"), F.count_if(sort(F.col("t")) != sort(F.col("p"))), F.count_if(F.col("t") == F.col("p"))).first()
+    assert tuple(r[:2]) == (0, 0) and r[2] < 20 and new.count() > 9000
+
+
+@pytest.mark.parametrize("radix", [pii.EARLY_RADIX, pii.LATE_RADIX])
+def test_the_slash_permutations_are_ones(spark, radix):
+    numbers = spark.range(radix[0] * radix[1]).repartition(16).select(pii._pair(F.col("id"), radix, "k", "kind").alias("n"))
+    assert tuple(numbers.agg(F.count_distinct("n"), F.min("n"), F.max("n")).first()) == (radix[0] * radix[1], 0, radix[0] * radix[1] - 1)
+
+
+def plain_slash(text, key):
+    import datetime as dt
+    a, b, year = map(int, text.split("/"))
+    month, day = (a, b) if a <= 12 else (b, a)
+    first = dt.date(1800, 1, 1)
+    if day <= 12:
+        n = (year - 1800) * 144 + (month - 1) * 12 + day - 1
+        x, y = plain_feistel([n // 240, n % 240], [240, 240], key, "early date")
+        n = x * 240 + y
+        new = dt.date(1800 + n // 144, n // 12 % 12 + 1, n % 12 + 1)
+    else:
+        late = [d for d in (first + dt.timedelta(i) for i in range(146097)) if d.day > 12]
+        x, y = plain_feistel([late.index(dt.date(year, month, day)) // 9833, late.index(dt.date(year, month, day)) % 9833], [9, 9833], key, "late date")
+        new = late[x * 9833 + y]
+    return new.strftime("%m/%d/%Y" if a <= 12 else "%d/%m/%Y")
+
+
+def test_slash_dates_equal_a_plain_version(docs):
+    texts = ["02/03/2020", "12/25/2020", "25/12/2020", "01/01/1800", "12/31/2199", "29/02/2000", "07/12/1999"]
+    got = replaced(docs, texts)
+    assert [got[i][0] for i in range(len(texts))] == [plain_slash(t, "k") for t in texts]
+
+
 def test_odd_rows_of_text(odd, none):
     got = pii.pseudonymised(odd, "k")
     assert got.columns[:-1] == odd.columns
