@@ -11,7 +11,8 @@ to the share of the classes among all labelled training documents. Scoring passe
 
 Defined results: null and empty texts have no votes and the lowest score; a document with several labels counts as toxic
 if one of them is; a null label or id teaches nothing, and without labels of both classes every score is the share of toxic
-ones (0 if there are none); repeated rows are scored alike and teach once; other columns are ignored.
+ones (0 if there are none); repeated rows are scored alike and teach once; of documents
+with one id the text with the least hash teaches; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from boxoffice.session import materialize
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6000, 12000
 BLOCK = 500  # voters whose correlations with all others are held at a time
+PAIRED = 20_000  # firings that are paired with their rows' others at a time
 CORRELATE_EVERY = 5  # rounds of the label model
 LEAST_TOXIC = 3  # sample documents in which a voter fires
 LEAST_LIFT = 4.0  # how much more often in toxic than in clean ones
@@ -78,53 +80,83 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _correlation(votes: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """For each voter, the sum of its positive correlations with all voters, itself included, in one weighted class."""
-    total = w.sum() + 1e-9
-    centred = ((votes - (w @ votes) / total) * np.sqrt(w / total)[:, None]).astype(np.float32)
-    spread = np.sqrt((centred ** 2).sum(0)) + 1e-9
-    centred /= spread
-    blocks = [centred[:, k: k + BLOCK] for k in range(0, centred.shape[1], BLOCK)]
-    return np.concatenate([np.zeros(0), *(np.clip(centred.T @ b, 0, 1).sum(0) for b in blocks)])
-
-
-def label_model(votes: np.ndarray, label: np.ndarray, weight: np.ndarray, rounds: int = 15) -> np.ndarray:
-    """Posterior probability of the class "toxic" for rows of votes (rows by voters, 0/1) with a given 0/1 label.
+class Firings:
+    """Which voters fire in which rows, as pairs of numbers: memory goes by firings, not by rows times voters."""
+
+    def __init__(self, fired: list[list[int]], voters: int):
+        self.rows, self.voters = len(fired), voters
+        self.length = np.fromiter(map(len, fired), np.int64, self.rows)
+        self.row = np.repeat(np.arange(self.rows), self.length)
+        self.voter = np.fromiter((v for f in fired for v in f), np.int64, len(self.row))
+
+    def per_voter(self, value: np.ndarray) -> np.ndarray:
+        """For each voter, the sum of a value over the rows in which it fires."""
+        return np.bincount(self.voter, value[self.row], minlength=self.voters)
+
+    def per_row(self, value: np.ndarray) -> np.ndarray:
+        """For each row, the sum of a value over the voters that fire in it."""
+        return np.bincount(self.row, value[self.voter], minlength=self.rows)
+
+    def correlations(self, weight: np.ndarray) -> np.ndarray:
+        """For each voter, the sum of its positive correlations with all voters, itself included, over weighted rows."""
+        total = weight.sum() + 1e-9
+        mean = self.per_voter(weight) / total
+        spread = np.sqrt(np.maximum(mean - mean ** 2, 0)) + 1e-9
+        out = np.zeros(self.voters)
+        start = np.cumsum(self.length) - self.length
+        order = np.argsort(self.voter, kind="stable")
+        for low in range(0, self.voters, BLOCK):  # the firings of a block's voters, each with all firings of its row
+            high = min(self.voters, low + BLOCK)
+            together = np.zeros(self.voters * (high - low))
+            own = order[np.searchsorted(self.voter, low, sorter=order): np.searchsorted(self.voter, high, sorter=order)]
+            for part in np.array_split(own, max(1, -(-len(own) // PAIRED))):
+                row = self.row[part]
+                n = self.length[row]
+                other = self.voter[np.arange(int(n.sum())) + np.repeat(start[row] - np.cumsum(n) + n, n)]
+                together += np.bincount(other * (high - low) + np.repeat(self.voter[part] - low, n), np.repeat(weight[row], n), minlength=len(together))
+            shared = together.reshape(self.voters, high - low) / total - np.outer(mean, mean[low:high])
+            out[low:high] = np.clip(shared / np.outer(spread, spread[low:high]), 0, 1).sum(0)
+        return out
+
+
+def label_model(votes: Firings, label: np.ndarray, weight: np.ndarray, rounds: int = 15) -> np.ndarray:
+    """Posterior probability of the class "toxic" for rows of votes with a given 0/1 label.
 
     Each voter fires independently given the class, but for its share: 1 / (1 + the sum of its positive correlations
-    with other voters within the classes), estimated anew every few rounds.
+    with other voters within the classes), estimated anew every few rounds. The given label is one more voter, of full share.
     """
-    given = np.column_stack([votes, label]).astype(np.float64)
     posterior = np.where(label == 1, 0.9, 0.1)
     for turn in range(rounds):
         sides = [weight * side for side in (posterior, 1 - posterior)]
-        rates = [(w @ given + 0.5) / (w.sum() + 1) for w in sides]
+        rates = [(np.append(votes.per_voter(w), w @ label) + 0.5) / (w.sum() + 1) for w in sides]
         if turn % CORRELATE_EVERY == 0:
-            share = np.append(1 / np.maximum(1, sum(w.sum() * _correlation(votes, w) for w in sides) / weight.sum()), 1.0)
+            share = np.append(1 / np.maximum(1, sum(w.sum() * votes.correlations(w) for w in sides) / weight.sum()), 1.0)
         fire = np.log(rates[0] / rates[1]) * share
         rest = np.log((1 - rates[0]) / (1 - rates[1])) * share
         prior = np.clip((weight @ posterior) / weight.sum(), 1e-6, 1 - 1e-6)
-        new = _sigmoid(np.log(prior / (1 - prior)) + given @ (fire - rest) + rest.sum())
+        change = fire - rest
+        new = _sigmoid(np.log(prior / (1 - prior)) + votes.per_row(change[:-1]) + label * change[-1] + rest.sum())
         if np.abs(new - posterior).max() < 1e-4:
             break
         posterior = new
     return posterior
 
 
-def linear_classifier(votes: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
+def linear_classifier(votes: Firings, target: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 400) -> np.ndarray:
     """Weights of the voters and, last, the bias: logistic regression on soft targets, by accelerated gradient steps."""
-    x = np.column_stack([votes, np.ones(len(votes))]).astype(np.float64)
-    scale = np.sqrt(weight @ (x * x) + ridge)  # each column its own step
-    penalty = np.append(np.full(x.shape[1] - 1, ridge), 0.0)
-    beta = ahead = np.zeros(x.shape[1])
-    step, vector = 0.0, np.ones(x.shape[1])
+    forth = lambda beta: votes.per_row(beta[:-1]) + beta[-1]
+    back = lambda rest: np.append(votes.per_voter(rest), rest.sum())
+    scale = np.sqrt(back(weight) + ridge)  # each column its own step
+    penalty = np.append(np.full(votes.voters, ridge), 0.0)
+    beta = ahead = np.zeros(votes.voters + 1)
+    step, vector = 0.0, np.ones(votes.voters + 1)
     for _ in range(12):  # largest curvature of the scaled problem
-        vector = x.T @ (weight * (x @ (vector / scale))) / scale
+        vector = back(weight * forth(vector / scale)) / scale
         step = np.linalg.norm(vector)
         vector /= step + 1e-12
     step = 1 / (step / 4 + ridge)
     for k in range(rounds):
-        slope = x.T @ (weight * (_sigmoid(x @ ahead) - target)) + penalty * ahead
+        slope = back(weight * (_sigmoid(forth(ahead)) - target)) + penalty * ahead
         new = ahead - step * slope / scale ** 2
         ahead = new + k / (k + 3) * (new - beta)
         beta = new
@@ -144,7 +176,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, learnable: Column) -> tu
     chosen = near.withColumn("k", F.row_number().over(first)).filter(f"k <= {max(SAMPLE_TOXIC, SAMPLE_CLEAN)}").filter(
         f"k <= if(toxic = 1, {SAMPLE_TOXIC}, {SAMPLE_CLEAN})").select("doc_id", "toxic")
     # broadcast: at most SAMPLE_TOXIC + SAMPLE_CLEAN pairs of numbers
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    sample = one.select("first.text", "toxic")
     return materialize(sample, "toxic-sample"), totals
 
 
@@ -182,10 +216,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column) -> tuple[list[b
 
     # texts in which the same voters fire are one row; most clean ones have none
     patterns = sample.mapInArrow(fired, "toxic int, fired array<int>").groupBy("toxic", "fired").agg(F.count("*").alias("n"))
-    rows = patterns.collect()  # bounded by the sample
-    votes = np.zeros((len(rows), len(voters)), np.float32)
-    for i, r in enumerate(rows):
-        votes[i, r["fired"]] = 1
+    rows = patterns.orderBy("toxic", "fired").collect()  # bounded by the sample
+    votes = Firings([r["fired"] for r in rows], len(voters))
     label, n = np.array([r["toxic"] for r in rows]), np.array([r["n"] for r in rows])
     weight = n * np.where(label == 1, totals[1] / max(1, n[label == 1].sum()), totals[0] / max(1, n[label == 0].sum()))
     weight = weight * n.sum() / weight.sum()
