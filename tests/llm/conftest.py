@@ -1,8 +1,8 @@
 import pytest
 
 #: Names that the operators use inside.
-CLASHES = ("block", "part", "size", "u", "fp", "row_key", "score", "lang_pred", "has_letter", "hit_words", "hit_items", "mix_plan",
-           "mix_key", "mix_turn", "n_values", "pii_values", "bucket", "h", "root", "rank", "_row_key")
+CLASHES = ("block", "size", "u", "fp", "row_key", "score", "lang_pred", "has_letter", "hit_words", "hit_items", "mix_plan",
+           "mix_key", "mix_turn", "mix_repeat", "n_values", "pii_values", "bucket", "h", "root", "rank", "_row_key", "_slice", "repeat", "mix_row", "part", "number", "n", "form", "_words", "_form", "lines")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -29,3 +29,8 @@ def odd(docs):
 @pytest.fixture
 def none(docs):
     return docs([])
+
+
+def untouched(frame):
+    """No operator has written into the columns that only share a name with one of its own."""
+    assert all(tuple(r) == ("x",) * len(CLASHES) for r in frame.select(*(f"`{c}`" for c in CLASHES)).distinct().collect())

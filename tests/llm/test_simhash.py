@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from tests.llm.conftest import untouched
 from boxoffice.llm import simhash
 from boxoffice.llm.components import components, local_roots
 
@@ -73,6 +74,7 @@ def test_odd_rows(odd):
 def test_one_row_of_each_group_stays(odd, none):
     kept = simhash.drop_near_duplicates(odd)
     assert kept.columns == odd.columns
+    untouched(kept)
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids) == [1, 3, 4, 5, 7]
     assert simhash.drop_near_duplicates(none).collect() == []

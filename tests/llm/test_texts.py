@@ -127,6 +127,35 @@ def test_forward_algorithm_sums_all_segmentations():
     assert np.allclose(counts, sum(n * brute(b" " + w)[1][:, 0] for w, n in zip(words, [1, 2, 3, 1, 1])))
 
 
+def test_long_words_teach(monkeypatch):
+    """The path for long words against the other one, and against itself where no other can go."""
+    rng = np.random.default_rng(1)
+    vocab = sorted({bytes([b]) for b in b" abcd"} | {bytes(rng.choice(list(b"abcd"), rng.integers(2, 6)).tolist()) for _ in range(60)})
+    chances = rng.dirichlet(np.ones(len(vocab)))
+    pieces = langid.Pieces(vocab)
+    words = [bytes(rng.choice(list(b"abcd"), n).tolist()) for n in (3, 47, 48, 60, 100)]
+    weights = np.array([1., 2, 1, 3, 1])
+    got = langid.expected_counts(pieces, chances, words, weights)
+    monkeypatch.setattr(langid, "LONG", 1000)
+    assert np.allclose(got, langid.expected_counts(pieces, chances, words, weights))
+    monkeypatch.setattr(langid, "LONG", 0)
+    assert np.allclose(got, langid.expected_counts(pieces, chances, words, weights))
+    endless = bytes(rng.choice(list(b"abcd"), 20_000).tolist())
+    counts = langid._long_counts(pieces, np.log(chances).tolist(), b" " + endless)
+    assert sum(n * len(vocab[p]) for p, n in counts.items()) == pytest.approx(len(endless) + 1)
+
+
+def test_languages_without_spaces(docs):
+    """Japanese and Chinese texts whose sentences are single words; a fifth of them is held out."""
+    rng = np.random.default_rng(5)
+    kana, both, hanzi = list("あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわをん"), list("日本人中国大小山川田学生先時間年月"), list(
+        "这们说对没为来过还后会样当经发现实问题见让给动两长开关门东车书语")
+    text = lambda letters: "".join(rng.choice(letters, 300))
+    rows = [(i, text(kana + both) if i % 2 else text(hanzi + both), "ja" if i % 2 else "zh", "a") for i in range(240)]
+    got = langid.document_languages(docs(rows)).filter("held_out").collect()
+    assert len(got) > 30 and np.mean([r["lang_pred"] == ("ja" if r["doc_id"] % 2 else "zh") for r in got]) > 0.95
+
+
 def test_language_of_held_out_documents(spark):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
     got = langid.document_languages(frame).join(frame.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
@@ -174,14 +203,76 @@ def test_every_feature_that_passes_votes(spark):
     assert {w.encode() for w in words} <= set(voters)
 
 
+def firings(votes):
+    return toxicity.Firings([np.flatnonzero(v).tolist() for v in votes], votes.shape[1])
+
+
+def plain_label_model(votes, label, weight, rounds=15):
+    """The label model on whole tables."""
+    def correlation(w):
+        total = w.sum() + 1e-9
+        centred = (votes - (w @ votes) / total) * np.sqrt(w / total)[:, None]
+        centred = centred / (np.sqrt((centred ** 2).sum(0)) + 1e-9)
+        return np.clip(centred.T @ centred, 0, 1).sum(0)
+
+    given, posterior = np.column_stack([votes, label]), np.where(label == 1, 0.9, 0.1)
+    for turn in range(rounds):
+        sides = [weight * posterior, weight * (1 - posterior)]
+        rates = [(w @ given + 0.5) / (w.sum() + 1) for w in sides]
+        if turn % 5 == 0:
+            share = np.append(1 / np.maximum(1, sum(w.sum() * correlation(w) for w in sides) / weight.sum()), 1)
+        odds = (given * np.log(rates[0] / rates[1]) + (1 - given) * np.log((1 - rates[0]) / (1 - rates[1]))) @ share
+        prior = (weight @ posterior) / weight.sum()
+        new = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + odds)))
+        done, posterior = np.abs(new - posterior).max() < 1e-4, new
+        if done:
+            return posterior
+    return posterior
+
+
+def some_votes(rows=900, voters=37, seed=3):
+    rng = np.random.default_rng(seed)
+    y = rng.random(rows) < 0.25
+    rate = rng.random(voters) * 0.25
+    votes = (rng.random((rows, voters)) < np.where(y[:, None], rate * 2, rate * 0.4)).astype(float)
+    votes[:, 5] = votes[:, 4]
+    votes[:40] = 0
+    return votes, np.where(rng.random(rows) < 0.1, ~y, y).astype(int), rng.random(rows) * 3 + 0.1
+
+
+def test_label_model_equals_the_one_on_whole_tables(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    monkeypatch.setattr(toxicity, "PAIRED", 50)
+    votes, label, weight = some_votes()
+    assert np.allclose(toxicity.label_model(firings(votes), label, weight), plain_label_model(votes, label, weight), atol=1e-3)
+
+
+def test_linear_classifier_is_at_the_minimum():
+    """The gradient of the penalised log loss, over whole tables, is zero there."""
+    votes, label, weight = some_votes()
+    target = np.clip(label + 0.1, 0, 0.95)
+    beta = toxicity.linear_classifier(firings(votes), target, weight, rounds=3000)
+    score = 1 / (1 + np.exp(-(votes @ beta[:-1] + beta[-1])))
+    slope = np.append(votes.T @ (weight * (score - target)) + beta[:-1], (weight * (score - target)).sum())
+    assert np.abs(slope).max() < 1e-2 * weight.sum() / len(weight)
+
+
+def test_of_documents_with_one_id_the_same_text_teaches(spark, docs):
+    rows = [(i, f"plain words number {i}", "en", "a") for i in range(40)] + [(i, f"vile{i % 3} rant {i}", "en", "a") for i in range(40, 70)]
+    rows += [(50, "another text", "en", "a"), (51, "and vile0 another", "en", "a")]
+    labels = spark.createDataFrame([(i, int(i >= 40)) for i in range(70)], "doc_id long, toxic int")
+    runs = [sorted(map(str, toxicity.document_toxicity(docs(r).repartition(n), labels).collect())) for r, n in ((rows, 3), (rows[::-1], 7))]
+    assert runs[0] == runs[1]
+
+
 def test_label_model_shares_the_weight_of_correlated_voters():
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.3
     good = (rng.random(4000) < np.where(y, 0.7, 0.05)).astype(float)
     other = (rng.random(4000) < np.where(y, 0.6, 0.1)).astype(float)
     label = np.where(rng.random(4000) < 0.1, ~y, y).astype(int)
-    once = toxicity.label_model(np.column_stack([good, other]), label, np.ones(4000))
-    copied = toxicity.label_model(np.column_stack([good] * 5 + [other]), label, np.ones(4000))
+    once = toxicity.label_model(firings(np.column_stack([good, other])), label, np.ones(4000))
+    copied = toxicity.label_model(firings(np.column_stack([good] * 5 + [other])), label, np.ones(4000))
     assert np.mean((once > 0.5) == y) > np.mean(label == y)
     assert np.abs(once - copied).mean() < 0.05
 
@@ -237,8 +328,45 @@ def test_mix_with_tight_caps(docs):
     check_mix(docs(rows, extra=True), lambda s, size, rows: 9)
 
 
+@pytest.mark.parametrize("first", [3, 77, 500])
+def test_repeated_rows_are_cut_one_by_one(docs, first):
+    """Half of a source is one repeated row; its words still come near the target."""
+    rows = [(first, "w " * 10, "en", "a")] * 150 + [(1000 + i, "x " * 10, "en", "a") for i in range(150)] + [(2000 + i, "y " * 10, "en", "b") for i in range(300)]
+    frame = docs(rows, extra=True)
+    got = mixing.mixed_sizes(frame).collect()
+    for source in {r["target"] for r in got}:
+        assert abs(sum(r["taken"] for r in got if r["target"] == source) - source) <= 10
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_sizes(frame.repartition(3)).collect()))
+    mixed = mixing.mix(frame)
+    assert mixed.columns == frame.columns and {r["_slice"] for r in mixed.select("_slice").distinct().collect()} <= {"x"}
+    assert mixed.agg(F.sum(mixing.words_in(F.col("text")))).first()[0] == sum(r["taken"] for r in got)
+
+
 def test_mix_of_odd_rows(odd, none):
     rows = mixing.mixed_sizes(odd).collect()
     assert len(rows) == odd.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
     assert mixing.mixed_sizes(none).collect() == [] and mixing.mix(none).collect() == []
     assert mixing.mix(odd).columns == odd.columns
+
+
+def test_no_line_with_a_known_form_is_left_out(spark, docs, monkeypatch):
+    """Every known text on one line, as it is and in all other spellings at once and one by one, with and without the shapes."""
+    lines = []
+    for _, text in licenses.KNOWN:
+        flat = re.sub(r"\s+", " ", text)
+        lines += [flat, flat.upper() + "."]
+        for spelling, variant in licenses.SPELLINGS:
+            lines.append(re.sub(rf"\b{spelling}\b", variant, flat, flags=re.IGNORECASE))
+        every = flat
+        for spelling, variant in licenses.SPELLINGS[::-1]:
+            every = re.sub(rf"\b{spelling}\b", variant, every, flags=re.IGNORECASE)
+        lines.append(every)
+    texts = sorted(set(lines)) + ["intro\n" + "\n\nand then\r\n".join(lines[:40]), "per cent", "sub licence granted", "MIT", "the\nMIT License"]
+    given = docs(texts)
+    want = sorted(map(str, licenses.license_scan(given).collect()))
+    shapes = licenses.line_shapes(spark)
+    assert len(shapes) < 200
+    monkeypatch.setattr(licenses, "line_shapes", lambda *_: None)
+    assert sorted(map(str, licenses.license_scan(given).collect())) == want
+    found = [r for r in licenses.license_scan(given).collect() if r["notices"]]
+    assert len(found) >= 2 * len(licenses.KNOWN)

@@ -59,9 +59,9 @@ def some_rows(n, seed=0):
     return rows
 
 
-@pytest.mark.parametrize("bounds", [{}, {"arcs_per_task": 60, "last": 20}])
+@pytest.mark.parametrize("bounds", [{}, {"arcs_per_task": 60, "last": 40}])
 def test_shared_prefixes(spark, bounds, monkeypatch):
-    rows = some_rows(300)
+    rows = some_rows(140)
     monkeypatch.setattr(trie, "SLICE", 64 if bounds else trie.SLICE)
     if bounds:
         monkeypatch.setattr(trie.prefix_trie, "__defaults__", (None, bounds["arcs_per_task"], bounds["last"]))
@@ -76,7 +76,7 @@ def test_deep_conversation_and_common_ends(spark, monkeypatch):
     rows = deep + same
     frame = spark.createDataFrame(rows, SCHEMA)
     turns = trie.numbered_turns(frame)
-    built = trie.prefix_trie(turns, arcs_per_task=400, last=50)
+    built = trie.prefix_trie(turns, arcs_per_task=1500, last=150)
     nodes = built.nodes.join(trie.end_digests(built.ends, 500), list(trie.NODE), "left")
     got = nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce(
         "ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
