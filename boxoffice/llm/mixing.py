@@ -47,13 +47,14 @@ def uniform(doc_id: Column, text: Column, repeat: Column) -> Column:
 def numbered_repeats(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with the number of each row among those of equal id and text: 1 but for repeats."""
     columns = docs.columns
-    key, row, order = (fresh([*columns, name], c) for c in ("mix_key", "mix_row", "mix_order"))
+    key, row, order, tie = (fresh([*columns, name], c) for c in ("mix_key", "mix_row", "mix_order", "mix_tie"))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     often = materialize(keyed.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "mix-repeats")
     if often.isEmpty():
         return docs.withColumn(name, F.lit(1).cast("long"))
-    packed = keyed.join(often, key, "left_semi").select(key, F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias(order), F.struct(*(F.col(f"`{c}`") for c in columns)).alias(row))
-    many = positions(packed, [key], [F.col(order)], name).select(f"{row}.*", F.col(name).cast("long").alias(name))
+    packed = keyed.join(often, key, "left_semi").select(key, F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias(order),
+        F.monotonically_increasing_id().alias(tie), F.struct(*(F.col(f"`{c}`") for c in columns)).alias(row))  # the tie lets a range end among equal rows
+    many = positions(packed, [key], [F.col(order), F.col(tie)], name).select(f"{row}.*", F.col(name).cast("long").alias(name))
     return keyed.join(often, key, "left_anti").drop(key).withColumn(name, F.lit(1).cast("long")).unionByName(many)
 
 
