@@ -74,3 +74,19 @@ def test_retractions_over_batches_restarts_and_a_broken_compaction(spark, tables
 def test_nothing_yet(spark):
     got = kpis.kpi_report(kpis.stored_deltas(spark, new_folder(spark, "none")), as_of=DAY).first()
     assert set(got.asDict().values()) == {0}
+
+
+def test_a_batch_is_folded_by_joins_and_writes_what_changed(spark):
+    """No call and no state row per entity: what a batch changes is written with what it replaces, and read for its sums."""
+    source, path = new_folder(spark, "changes"), new_folder(spark, "kpis")
+    for n, given in enumerate(([("a", "confirmed", at(2), 1), ("b", "pending", at(2), 1), (None, "pending", at(2), 1)], [("a", "cancelled", at(3), 1), (None, "cancelled", at(3), 1)])):
+        spark.createDataFrame(given, SCHEMAS["registrations"]).coalesce(1).write.mode("append").parquet(source)
+        read = activity.read_stream(spark, source, spark.read.parquet(source).schema)
+        query = kpis.kpi_stream(kpis.registration_changes(read), f"{path}/rows", f"{path}/progress")
+        query.awaitTermination()
+        assert not query.lastProgress["stateOperators"]
+        held = spark.read.schema(kpis.HELD).parquet(f"{path}/rows/held/base=0/version={n}").collect()
+        assert {(r["entity"], r["now"]["kpi"], r["was"] and r["was"]["kpi"]) for r in held} == (
+            {(e, "total_registrations", None) for e in ("registration a", "registration b", None)} if n == 0 else
+            {(e, "", "total_registrations") for e in ("registration a", None)})
+    assert kpis.kpi_report(kpis.stored_deltas(spark, f"{path}/rows"), as_of=DAY).first()["total_registrations"] == 1
