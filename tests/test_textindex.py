@@ -109,3 +109,18 @@ def test_a_search_reads_few_postings(spark, monkeypatch):
         assert built.candidates("text", "needle") is None  # in every row: the scan is cheaper
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_a_gram_is_posted_once_per_block(spark, monkeypatch):
+    """Digits of many rows: a row per block and gram, not one per row and gram; several blocks, text keys, and texts beyond the fold."""
+    monkeypatch.setattr(textindex, "BLOCK", 300)
+    monkeypatch.setattr(textindex, "SHARE", 1.0)
+    monkeypatch.setattr(textindex, "PUSHED", 0)
+    code = F.when(F.col("id") % 500 == 7, F.lit("東京 17")).when(F.col("id") % 400 == 9, F.lit("")).otherwise(F.concat(F.lit("TCK-"), F.col("id") % 10))
+    frame = spark.range(0, 2000, 1, 2).select(F.concat(F.lit("r"), F.col("id")).alias("id"), code.alias("text")).cache()
+    folder = new_folder(spark, "grams")
+    built = TextIndex(spark, folder).add(frame, "id", ("text",))
+    assert spark.read.parquet(f"{folder}/postings").filter("field = 'text'").count() <= 8 * 40
+    for needle in ("k-3", "TCK-7", "17", "7", "tck-77"):
+        scan = frame.filter(has_text(F.col("text"), needle))
+        assert rows(built.narrowed(frame, "id", ("text",), needle).filter(has_text(F.col("text"), needle)), "id") == rows(scan, "id"), needle
