@@ -61,3 +61,11 @@ def test_only_two_numbers_make_a_key(spark, tables):
         tables(registrations=[reg("1-2", 1, 1), reg("7x-1", 1, 1)]).registrations.select(*layout.registration_key(F.col("id"))).collect()
     got = tables(registrations=[reg("1-2", 1, 1), reg("0-90071992547409931", 1, 1)]).registrations.select(*layout.registration_key(F.col("id"))).collect()
     assert sorted(map(tuple, got)) == [(0, 90071992547409931), (1, 2)]
+
+
+def test_buckets_grow_with_the_tables(both):
+    t = both[0]
+    most = max(t.registration_answers.count(), t.payments.count())
+    assert layout.buckets_for(t) == layout.LEAST  # small tables
+    for rows in (100, 1000):
+        assert most / rows <= layout.buckets_for(t, rows=rows, least=1) < most / rows + 1
