@@ -90,3 +90,11 @@ def test_a_batch_is_folded_by_joins_and_writes_what_changed(spark):
             {(e, "total_registrations", None) for e in ("registration a", "registration b", None)} if n == 0 else
             {(e, "", "total_registrations") for e in ("registration a", None)})
     assert kpis.kpi_report(kpis.stored_deltas(spark, f"{path}/rows"), as_of=DAY).first()["total_registrations"] == 1
+
+
+def test_versions_without_a_moment_neither_win_nor_lose(spark):
+    """What came first stays if it has no moment; otherwise such versions are passed over, and those without a seq likewise at the newest moment."""
+    given = [("a", None, 1, "x"), ("a", 5, 1, "y"), ("b", 5, 1, "x"), ("b", None, 9, "y"), ("c", 5, 1, "x"), ("c", 7, None, "y"), ("c", 7, 3, "z"),
+             ("d", 7, 3, "x"), ("d", 7, None, "y"), ("d", 7, 4, "z"), ("d", 6, 9, "v")]
+    changes = spark.createDataFrame(given, "entity string, ts long, seq long, kpi string").coalesce(1).selectExpr("*", "1L amount", "'' dated", "0 day")
+    assert {r["entity"]: r["now"]["kpi"] for r in kpis._newest(changes, None).collect()} == {"a": "x", "b": "x", "c": "y", "d": "z"}
