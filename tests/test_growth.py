@@ -41,3 +41,20 @@ def test_edits_are_cut_to_the_last_moments_before_whole_rows_are_sorted(spark, t
     plan = _ran(got)
     whole = plan.index("max_by(struct(title") if "max_by(struct(title" in plan else plan.index("max_by(")
     assert "ShuffledHashJoin" in plan[whole:]  # below the fold of whole rows, past the streamed moments
+
+
+def test_seats_join_no_event_and_number_none(spark, monkeypatch):
+    """Only the heads of blocks are numbered, and only those who waited meet the seats that came free."""
+    numbered, real = [], seats.positions
+    monkeypatch.setattr(seats, "positions", lambda frame, *a: numbered.append(frame.count()) or real(frame, *a))
+    start = datetime(2026, 1, 1)
+    events = [(f"e{i:05d}", 1, "release" if i % 3 == 2 else "request", start + timedelta(minutes=i)) for i in range(3000)]
+    frame = spark.createDataFrame(events, "id string, listing_id long, kind string, ts timestamp_ntz")
+    moves = seats.seat_moves(frame, spark.createDataFrame([(1, 5, 9)], "listing_id long, capacity int, waiting_places int"))
+    found = seats.seat_history(moves)
+    assert found.count() == 2000
+    assert sum(numbered) <= 3000 // seats.BLOCK + 200  # blocks of the sorted slices, not the 3,000 events
+    counts = {r["verdict"]: r["count"] for r in found.groupBy("verdict").count().collect()}
+    state = seats.seat_state(moves).first()
+    assert (counts["admitted"], counts["promoted"], counts["sold_out"]) == (state.admitted, state.promoted, state.sold_out)
+    assert counts["waiting"] == state.waiting
