@@ -86,3 +86,14 @@ def test_repeated_scans_are_found_among_numbers(spark):
     assert text.exceptAll(found).count() == found.exceptAll(text).count() == 0 and found.count() > 100
     keys = re.findall(r"HashAggregate\(keys=\[([^]]*)\]", _ran(found))
     assert any("l_orderkey" in k and "scan_id" not in k for k in keys)
+
+
+def test_first_requests_are_found_once(spark, tables):
+    t = tables(users=[user(i) for i in range(1, 5)], listings=[listing(1, capacity=2), listing(2, capacity=0)])
+    made = [("a", 1, 1), ("b", 1, 1), ("c", 2, 1), ("d", 3, 1), ("e", 3, 2), ("f", 900, 2), ("g", 4, 9)]
+    requests = spark.createDataFrame([(i, u, e, datetime(2026, 1, 1, n)) for n, (i, u, e) in enumerate(made)],
+                                     "id string, user_id long, listing_id long, created_at timestamp_ntz")
+    got = tickets.admission(requests, t.listings, t.users)
+    assert rows(got, "id", "verdict") == [("a", "admitted"), ("b", "duplicate"), ("c", "admitted"), ("d", "sold_out"), ("e", "admitted"),
+                                          ("f", "not_allowed"), ("g", "not_found")]
+    assert "row_number() windowspecdefinition(user_id" not in _ran(got)  # the first requests are stored
