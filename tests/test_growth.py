@@ -4,7 +4,10 @@ import random
 import re
 from datetime import datetime, timedelta
 
-from boxoffice.operators import lifecycle, seats, tickets
+from pyspark.sql import functions as F
+
+from boxoffice.functions.text import folded
+from boxoffice.operators import integrity, lifecycle, seats, tickets
 from boxoffice.sources import derived
 from tests.conftest import listing, reg, rows, ts, user
 
@@ -97,3 +100,18 @@ def test_first_requests_are_found_once(spark, tables):
     assert rows(got, "id", "verdict") == [("a", "admitted"), ("b", "duplicate"), ("c", "admitted"), ("d", "sold_out"), ("e", "admitted"),
                                           ("f", "not_allowed"), ("g", "not_found")]
     assert "row_number() windowspecdefinition(user_id" not in _ran(got)  # the first requests are stored
+
+
+def test_plain_keys_are_compared_without_the_collation(spark, tables):
+    """Repeats are those that the collation finds, but it compares only what is not plain and what equals that."""
+    pool = ["ab", "AB", "ab ", "áb", "ÁB ", "cd", "çd", "x\ty", "x y", "x\x01 y", "", " ", "\x01", "é", "E", "ﬁ", "FI", "ß", "ss", "1|2", "a\n", "a"]
+    rng = random.Random(2)
+    for _ in range(5):
+        made = [(n, w, rng.choice([1, 1, 2])) for n in (1, 2) for w in rng.sample(pool, 14)]
+        keys = spark.createDataFrame(made, "number int, key string, n long")
+        got = integrity._repeated(keys).groupBy("number").agg(F.sum("violations").alias("v"))
+        want = keys.groupBy("number", folded(F.col("key"))).agg(F.sum("n").alias("n")).filter("n > 1").groupBy("number").agg(F.count("*").alias("v"))
+        assert rows(got, "number", "v") == rows(want, "number", "v")
+    t = tables(users=[user(i) for i in range(50)])
+    plan = _ran(integrity.integrity_audit(t)).split("== Initial Plan ==")[0]
+    assert "HashAggregate(keys=[number" in plan and "LeftSemi" not in plan  # nothing that is not plain: no plain key meets the collation
