@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from boxoffice.functions.text import folded
-from boxoffice.operators import integrity, lifecycle, seats, tickets
+from boxoffice.operators import base, integrity, lifecycle, seats, tickets
 from boxoffice.sources import derived
 from tests.conftest import listing, reg, rows, ts, user
 
@@ -115,3 +115,18 @@ def test_plain_keys_are_compared_without_the_collation(spark, tables):
     t = tables(users=[user(i) for i in range(50)])
     plan = _ran(integrity.integrity_audit(t)).split("== Initial Plan ==")[0]
     assert "HashAggregate(keys=[number" in plan and "LeftSemi" not in plan  # nothing that is not plain: no plain key meets the collation
+
+
+def test_answers_are_shuffled_once(spark, tables, monkeypatch):
+    """Fields folded side by side give the maps of fields folded one by one, ties and missing values included."""
+    rng = random.Random(4)
+    made = [{"id": rng.choice([None, 1, 2, 3]), "registration_id": rng.choice([None, *range(12)]), "question_key": rng.choice(["qty", "é", "", "meal"]),
+             "answer": rng.choice([None, "", "a", "b"])} for _ in range(300)]
+    t = tables(users=[user(1)], listings=[listing(1)], registrations=[reg(i, 1, 1) for i in range(12)], registration_answers=made)
+    folded_maps = lambda: sorted((str(r.registration_id), list(r.fields.items())) for r in tickets.answers_map(t).collect())
+    got = folded_maps()
+    assert "question_key" not in "".join(re.findall(r"Exchange hashpartitioning.*", _ran(tickets.answers_map(t))))
+    monkeypatch.setattr(base, "FIELDS", 3)  # more fields than are folded side by side
+    assert "question_key" in "".join(re.findall(r"Exchange hashpartitioning.*", _ran(tickets.answers_map(t))))
+    assert got == folded_maps() and len(got) == 13
+    assert tickets.ticket_detail(t).count() == tickets.attendee_list(t).count() == 12
