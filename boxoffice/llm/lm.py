@@ -7,8 +7,10 @@ of a part of the training texts that is deleted from the estimates. Scores then
 Plan. Texts are dealt into blocks of about ``BLOCK_BYTES``. A block sends each of its distinct n-grams once,
 as sorted packed 64-bit fingerprints, to the owner of the fingerprint's range; owners add up the counts of all
 blocks and send back one small integer per n-gram asked for. So the shuffled data follows the distinct n-grams,
-a frequent n-gram costs one entry per block, and no table of counts is ever broadcast or collected. The driver
-sees only two totals and the histogram of held-out cells, whose size the bins bound.
+a frequent n-gram costs one entry per block, and no table of counts is ever broadcast or collected. The orders are
+asked for one after the other, and the shuffles of an order are deleted once its replies are stored: the disk holds
+the questions of one order at a time. The driver sees only two totals and the histogram of held-out cells, whose size
+the bins bound.
 
 Defined results: null texts are empty (one end token); a null id belongs to the training texts; repeated rows are
 scored, and counted, each for itself; other columns are ignored. Without training texts every probability is 1.
@@ -18,6 +20,7 @@ Words are known by 64-bit fingerprints; with a billion distinct words two of the
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.llm.text import IS_WHITE, hashed_words, id_crc, mix, total_bytes
-from boxoffice.session import materialize
+from boxoffice.session import materialize, shuffles_deleted
 
 BLOCK_BYTES = 8_000_000
 BUCKET_CODES = 1_500_000
 BINS_PER_OCTAVE = 8
+CELLS = 100_000
 NONE = -32768  # the bin of a zero estimate
 START, END = np.uint64(0xA5A5A5A5DEADBEEF), np.uint64(0x5A5A5A5A0BADF00D)
 
@@ -64,9 +68,9 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
 
 
 class Tokens:
-    """The n-grams of a block's rows. Every row reads: order - 1 starts, its words, one end."""
+    """The n-grams of a block's rows, up to the ``longest`` asked for. Every row reads: order - 1 starts, its words, one end."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, longest: int | None = None):
         words, counts = hashed_words(table.column("text"), IS_WHITE)
         self.pad = order - 1
         lengths = counts + self.pad + 1
@@ -79,7 +83,7 @@ class Tokens:
         self.scored = place >= self.pad
         self.codes, self.ends = [], []
         code = mix(sequence)
-        for m in range(1, order + 1):
+        for m in range(1, (longest or order) + 1):
             if m > 1:  # the n-gram that ends here: the shorter one that ended a place before, and this token
                 longer = np.zeros_like(code)
                 with np.errstate(over="ignore"):
@@ -94,24 +98,24 @@ class Tokens:
         return np.bincount(self.row, weights=values, minlength=len(self.first))
 
 
-def _ask(table: pa.Table, order: int, buckets: int) -> pa.Table:
-    tokens = Tokens(table, order)
+def _ask(table: pa.Table, order: int, m: int, buckets: int) -> pa.Table:
+    """One question per range of fingerprints: the block's distinct n-grams of ``m`` tokens."""
+    tokens = Tokens(table, order, m)
     block = table.column("block")[0].as_py()
     train_row = np.asarray(table.column("part")) <= 1
     out = {k: [] for k in ("bucket", "block", "n_tokens", "n", "codes", "counts", "train")}
-    for m in range(1, order + 1):
-        at = tokens.ends[m - 1]
-        codes, index = np.unique(tokens.codes[m - 1][at], return_inverse=True)
-        rows = tokens.row[at]
-        # of the deleted texts in blocks below 0, of the kept ones in all others
-        given = np.bincount(index, weights=train_row[rows], minlength=len(codes)).astype(np.int64)
-        train = np.bincount(index, weights=(train_row[rows] & tokens.scored[at]), minlength=len(codes)).astype(np.int64)
-        bucket = ((codes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(codes)]):
-            for name, value in zip(out, (int(bucket[lo]), block, m, hi - lo, pack_sorted(codes[lo:hi]), pack_counts(given[lo:hi]),
-                                         pack_counts(train[lo:hi]) if m == 1 else b"")):
-                out[name].append(value)
+    at = tokens.ends[m - 1]
+    codes, index = np.unique(tokens.codes[m - 1][at], return_inverse=True)
+    rows = tokens.row[at]
+    # of the deleted texts in blocks below 0, of the kept ones in all others
+    given = np.bincount(index, weights=train_row[rows], minlength=len(codes)).astype(np.int64)
+    train = np.bincount(index, weights=(train_row[rows] & tokens.scored[at]), minlength=len(codes)).astype(np.int64)
+    bucket = ((codes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(codes)]):
+        for name, value in zip(out, (int(bucket[lo]), block, m, hi - lo, pack_sorted(codes[lo:hi]), pack_counts(given[lo:hi]),
+                                     pack_counts(train[lo:hi]) if m == 1 else b"")):
+            out[name].append(value)
     types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
     return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types)})
 
@@ -220,22 +224,32 @@ def learn_weights(cells: list[tuple[int, list[int], int]], order: int, rounds: i
     ``cells``: bucket, bins of the estimates' ratios, tokens. A bucket without held-out tokens takes the weights of the
     nearest bucket of its context length, and equal weights if there is none.
     """
+    return fit_weights(np.array([c[0] for c in cells], np.int64), np.array([c[1] for c in cells], np.int64).reshape(-1, order),
+                       np.array([c[2] for c in cells], float), order, rounds)
+
+
+def fit_weights(key: np.ndarray, bins: np.ndarray, n: np.ndarray, order: int, rounds: int = 60) -> np.ndarray:
+    """``learn_weights`` of cells in columns; besides a ratio per cell and order it holds the shares of ``CELLS`` cells at a time."""
     keys = 1 + 64 * (order - 1)
     longest = np.array([1 if k == 0 else 2 + (k - 1) // 64 for k in range(keys)])
     usable = np.arange(order + 1)[None] <= longest[:, None]
     weights = usable / usable.sum(1, keepdims=True)
-    if not cells:
+    if not len(key):
         return weights
-    key = np.array([c[0] for c in cells])
-    bins = np.array([c[1] for c in cells])
-    n = np.array([c[2] for c in cells], float)
-    ratio = np.hstack([np.ones((len(cells), 1)), np.where(bins == NONE, 0, np.exp2(bins / BINS_PER_OCTAVE))])
+    ratio = np.ones((len(key), order + 1))
+    for m in range(order):
+        ratio[:, m + 1] = np.where(bins[:, m] == NONE, 0, np.exp2(bins[:, m] / BINS_PER_OCTAVE))
     seen = np.bincount(key, weights=n, minlength=keys)
     for _ in range(rounds):
-        share = weights[key] * ratio
-        share *= (n / share.sum(1))[:, None]
+        sums = np.zeros((order + 1, keys))
+        for at in range(0, len(key), CELLS):
+            here = slice(at, at + CELLS)
+            share = weights[key[here]] * ratio[here]
+            share *= (n[here] / share.sum(1))[:, None]
+            for m in range(order + 1):
+                sums[m] += np.bincount(key[here], weights=share[:, m], minlength=keys)
         for m in range(order + 1):
-            weights[:, m] = np.where(seen > 0, (np.bincount(key, weights=share[:, m], minlength=keys) + 1e-3 * usable[:, m])
+            weights[:, m] = np.where(seen > 0, (sums[m] + 1e-3 * usable[:, m])
                                      / (seen + 1e-3 * usable.sum(1)), weights[:, m])
     for k in np.flatnonzero(seen == 0):
         near = [j for j in np.flatnonzero(seen > 0) if longest[j] == longest[k]]
@@ -255,21 +269,28 @@ def interpolated_scores(docs: DataFrame, held_out: Column, deleted: Column, orde
     size = total_bytes(docs)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(least, math.ceil(size / BLOCK_BYTES))
-    buckets = max(least, math.ceil(size / 6 * order / BUCKET_CODES))
+    buckets = max(least, math.ceil(size / 6 / BUCKET_CODES))
     part = F.when(held_out, 2).when(deleted, 1).otherwise(0)
     place = F.xxhash64("doc_id", "text")
     rows = docs.select("doc_id", "text", part.cast("int").alias("part")).withColumn(
         "block", F.when(F.col("part") == 1, -1 - F.pmod(place, F.lit(max(1, blocks // 8)))).otherwise(F.pmod(place, F.lit(blocks))).cast("int"))
-    questions = rows.groupBy("block").applyInArrow(lambda t: _ask(t, order, buckets), QUERY)
-    replies = materialize(questions.groupBy("bucket").applyInArrow(lambda t: _answer(t, whole), REPLY), "lm-counts")
+
+    def counted(m: int) -> DataFrame:
+        questions = rows.groupBy("block").applyInArrow(lambda t: _ask(t, order, m, buckets), QUERY)
+        with shuffles_deleted(spark):
+            return materialize(questions.groupBy("bucket").applyInArrow(lambda t: _answer(t, whole), REPLY), "lm-counts")
+
+    replies = reduce(DataFrame.unionAll, [counted(m) for m in range(1, order + 1)])
     sums = replies.filter("block is null").agg(F.sum("n"), F.sum("kept_total"), F.sum("train_total")).first()
     totals = dict(zip(("types", "kept", "train"), (x or 0 for x in sums)))
     of_blocks = replies.filter("block is not null").select("block", "n_tokens", "bucket", "n", "kept", "total", "train")
 
     held = rows.filter("part = 1").groupBy("block").cogroup(of_blocks.filter("block < 0").groupBy("block")).applyInArrow(
         lambda left, right: _held_out(left, right, order, totals), "key int, bins array<int>, n long")
-    cells = held.groupBy("key", "bins").agg(F.sum("n").alias("n")).collect()
-    weights = learn_weights([(c["key"], c["bins"], c["n"]) for c in cells], order)
+    with shuffles_deleted(spark):
+        cells = held.groupBy("key", "bins").agg(F.sum("n").alias("n")).toArrow()  # in columns: no Python object per cell
+    bins = np.asarray(pa.concat_arrays([c.flatten() for c in cells.column("bins").chunks] or [pa.array([], pa.int32())])).reshape(-1, order)
+    weights = fit_weights(np.asarray(cells.column("key")), bins, np.asarray(cells.column("n"), float), order)
     return rows.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInArrow(
         lambda left, right: _score(left, right, order, totals, weights, whole),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from boxoffice.llm import lm
 from boxoffice.llm.queries import QUERIES
 from boxoffice.llm.text import id_crc
+from boxoffice.session import materialize
 
 TEXTS = ["the cat sat on the mat", "The cat sat", "a dog sat on the cat", "the dog", "", None, "on the mat the cat", "zebra quagga"] * 12
 
@@ -126,3 +127,30 @@ def test_beats_the_base_on_held_out_documents(spark):
     scored = lm.document_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out")
     r = scored.agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert r["s"] > 0.9 * r["b"]
+
+
+def test_orders_are_asked_one_at_a_time_and_their_shuffles_deleted(spark, docs, monkeypatch):
+    key, asked = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+
+    def stored(frame, purpose):
+        out = materialize(frame, purpose)
+        asked.append(({r[0] for r in out.filter("block is not null").select("n_tokens").distinct().collect()}, spark.conf.get(key)))
+        return out
+
+    before = spark.conf.get(key)
+    monkeypatch.setattr(lm, "materialize", stored)
+    assert lm.document_scores(docs(TEXTS), 3, True).count() == len(TEXTS)
+    assert asked == [({1}, "true"), ({2}, "true"), ({3}, "true")] and spark.conf.get(key) == before
+
+
+def test_many_cells_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n, order = 400_000, 3
+    key, bins = rng.integers(0, 129, n), rng.integers(-40, 90, (n, order))
+    tracemalloc.start()
+    weights = lm.fit_weights(key, bins, np.ones(n), order, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert weights.sum(1) == pytest.approx(1) and most < 70 * n
