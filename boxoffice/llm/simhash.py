@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxoffice.llm.components import components, local_roots
-from boxoffice.llm.text import FOLD, fresh
+from boxoffice.llm.text import FOLD, fresh, slices
 from boxoffice.session import materialize
 
 DISTANCE = 4
@@ -52,7 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches):
-    for batch in batches:
+    for batch in slices(batches):
         values = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "fp": pa.array(values)})
 

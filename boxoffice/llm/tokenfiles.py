@@ -44,7 +44,7 @@ END_ID = 2
 BLOCK = 256
 FILE_IDS = 4_000_000
 PERCENTILES = (0.80, 0.90, 0.96, 1.0)
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 200_000  # about 30 MB of each Python worker
 MAGIC = b"PFORIDS1"
 HEADER = struct.Struct("<8sQQQ")
 
@@ -190,7 +190,9 @@ def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     full = full.reshape(blocks, BLOCK)
     low = full.min(1) if blocks else np.zeros(0, np.uint32)
     rest = full - low[:, None]
-    need = np.ceil(np.log2(rest.astype(np.float64) + 1)).astype(np.uint8)  # bits of each value
+    need = np.empty(rest.shape, np.uint8)  # bits of each value
+    for at in range(0, blocks, 1024):
+        need[at: at + 1024] = np.ceil(np.log2(rest[at: at + 1024].astype(np.float64) + 1))
     ranked = np.sort(need, axis=1)
     choices = ranked[:, [min(BLOCK - 1, int(p * BLOCK)) for p in PERCENTILES]].astype(np.int64)
     cost = np.stack([BLOCK // 8 * w + 5 * (need > w[:, None]).sum(1) for w in choices.T], axis=1)

@@ -215,3 +215,14 @@ def test_odd_rows_of_text(odd, none):
     assert sorted(map(str, got.drop(got.columns[-1]).collect())) == sorted(map(str, odd.collect()))
     assert pii.pseudonymised(none, "k").collect() == []
     assert not re.search("Python|Arrow|Pandas|Exchange", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_packing_ids_takes_little_memory():
+    import tracemalloc
+
+    ids = np.random.default_rng(5).integers(0, 49_000, 4_000_000).astype(np.uint32)
+    tracemalloc.start()
+    packed = tokenfiles.pack_ids(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 20 * len(ids) and (tokenfiles.unpack_ids(len(ids), *packed) == ids).all()

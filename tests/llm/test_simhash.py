@@ -95,3 +95,12 @@ def test_components(spark, edges):
     want = local_roots(len(nodes), np.array([a for a, _ in links], int), np.array([b for _, b in links], int))
     assert set(got) == set(nodes)
     assert len({(got[n], want[place[n]]) for n in nodes}) == len(set(got.values())) == len(set(want.tolist()))
+
+
+def test_fingerprints_hold_the_texts_of_few_rows_at_a_time():
+    import pyarrow as pa
+
+    n = 1000
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": [f"word {i}" for i in range(n)], "row_key": pa.array(range(n), pa.int64())})
+    out = list(simhash._fingerprints(iter([batch])))
+    assert max(b.num_rows for b in out) <= 256 and sum((b.column("doc_id").to_pylist() for b in out), []) == list(range(n))
